@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .packing import best_fit_pack
+from .token_files import read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +17,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_file(name: str) -> str:
+    """Where a public tokenizer file lies; every machine has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(_table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), end_id=2)
+    return read_token_files(files.read())
+
+
 _ORACLES = {
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
