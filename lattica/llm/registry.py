@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontamination import mark_contaminated
 from .exact_dedup import exact_dedup
 from .language_id import language_query
+from .line_dedup import dedup_lines
 from .packing import best_fit_pack
 from .token_files import read_token_files, write_token_files
 
@@ -38,6 +40,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's numbers, the runs removed (first-end, end exclusive) and the digest of what is left."""
+    runs = F.concat_ws(",", F.transform("removed", lambda r: F.concat_ws("-", r["first"], r["end"])))
+    cleaned = dedup_lines(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", runs.alias("removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
