@@ -11,6 +11,7 @@ from .decontamination import mark_contaminated
 from .exact_dedup import exact_dedup
 from .language_id import language_query
 from .line_dedup import dedup_lines
+from .ngram_join import ngram_components
 from .packing import best_fit_pack
 from .token_files import read_token_files, write_token_files
 
@@ -40,6 +41,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's numbers, the runs removed (first-end, end exclusive) and the digest of what is left."""
     runs = F.concat_ws(",", F.transform("removed", lambda r: F.concat_ws("-", r["first"], r["end"])))
