@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .packing import best_fit_pack
 from .token_files import read_token_files, write_token_files
+from .toxicity import toxicity_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +53,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", runs.alias("removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
