@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .attention_lm import score_texts
 from .decontamination import mark_contaminated
 from .exact_dedup import exact_dedup
 from .language_id import language_query
@@ -38,6 +39,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(_table(spark, sf_dir, "documents"))
 
