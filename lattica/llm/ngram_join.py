@@ -9,6 +9,9 @@
    argument whole - in its own band, and in the one below if a partner may lie there. Signatures met once go no further.
    Equal signatures are tied as a star to their least class, within each task before anything travels and again in each
    bucket after, so a signature that very many classes share is a row per task, never a pair per pair.
+   Shingles that are frequent in the corpus (at most HEAVY_MOST, found by counting) would tie unlike texts that share a
+   passage. The argument holds in any part of the hash space, so a set sends the signatures of what is left without them;
+   where less than LIGHT_PART is left, on its own side or possibly on a partner's, those of the whole set go too.
 3. Clusters are the components of those stars. No similar pair spans two clusters.
 4. In each cluster a prefix tree holds the sorted sets; equal beginnings share a path and its overlap is counted once. A
    set is run down the tree; a subtree is left as soon as the shared part so far plus what can remain on both sides is too
@@ -32,11 +35,16 @@ from .components import connected_components
 from .shared import MASK63, Table, keyed_texts, mix64, slices_of
 from .words import shingle_set
 
-SPARE = 3
+SPARE = 10
 BAND = 1.6
 BUCKET_SIGNATURES = 500_000
 FLUSH_SIGNATURES = 3_000_000
 BLOCK_TOKENS = 1_000_000
+LOCAL_COUNT = 3
+HEAVY_COUNT = 30
+HEAVY_MOST = 1 << 18
+LIGHT_PART = 0.5
+PROBE = 48
 
 
 def set_digest(s: np.ndarray) -> int:
@@ -44,18 +52,37 @@ def set_digest(s: np.ndarray) -> int:
 
 
 def class_rows(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, cid (null for empty sets)."""
+    """Rows of kind 0: doc_id, n_shingles, cid (null for empty sets). Rows of kind 1: a shingle often met in one place, its count."""
 
     def make(batches):
         for b in batches:
-            sizes, cids = [], []
+            sizes, cids, sets, held = [], [], [], 0
+            doc_ids = b["doc_id"].astype("Int64")
             for text in b["text"]:
                 s = shingle_set(text, width)
                 sizes.append(len(s))
                 cids.append(set_digest(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": sizes, "cid": pd.array(cids, "Int64")})
+                sets.append(s)
+                held += len(s)
+                if held >= FLUSH_SIGNATURES:
+                    yield often(sets)
+                    sets, held = [], 0
+            yield often(sets)
+            yield pd.DataFrame({"kind": 0, "doc_id": doc_ids, "n_shingles": sizes, "cid": pd.array(cids, "Int64")})
+
+    def often(sets):
+        each, n = np.unique(np.concatenate(sets or [np.empty(0, np.uint64)]), return_counts=True)
+        each, n = each[n >= LOCAL_COUNT], n[n >= LOCAL_COUNT]
+        return pd.DataFrame({"kind": 1, "doc_id": pd.array(each.view(np.int64), "Int64"), "n_shingles": n, "cid": pd.array([None] * len(n), "Int64")})
+
+    return texts.mapInPandas(make, "kind int, doc_id long, n_shingles long, cid long")
+
 
-    return texts.mapInPandas(make, "doc_id long, n_shingles long, cid long")
+def heavy_shingles(rows: DataFrame) -> np.ndarray:
+    """The most frequent shingles, at most HEAVY_MOST, sorted. Which they are changes what is compared, never what is found."""
+    sums = rows.where("kind = 1").groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= HEAVY_COUNT)
+    top = sums.orderBy(F.desc("n"), "doc_id").limit(HEAVY_MOST).select("doc_id").toPandas()
+    return np.sort(top["doc_id"].to_numpy(np.int64).view(np.uint64))
 
 
 def bands_of(n: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -76,19 +103,32 @@ def bands_of(n: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+def signatures(s: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of the set without heavy shingles if at least LIGHT_PART is left; of the whole set if that, or a partner's, may not be."""
+    light = s[heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] != s] if len(heavy) else s
+    rest = len(light) / len(s)
+    ratio = den / num
+    out = []
+    if rest >= LIGHT_PART:
+        out.append(_part_hashes(light, len(s), 0, num, den))
+    if rest < LIGHT_PART * ratio + (den - num) / (den + num) * (1 + ratio):
+        out.append(_part_hashes(s, len(s), 1, num, den))
+    return np.concatenate(out)
+
+
+def _part_hashes(s: np.ndarray, size: int, kind: int, num: int, den: int) -> np.ndarray:
     out = []
-    for band, parts in bands_of(len(s), num, den):
-        part = (mix64(s ^ np.uint64(0xA5A5 + band)) % np.uint64(parts)).astype(np.int64)
+    for band, parts in bands_of(size, num, den):
+        salt = 2 * band + kind
+        part = (mix64(s ^ np.uint64(0xA5A5 + salt)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        held, groups = part[order], mix64(s[order] + np.uint64(band))
-        starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-        sums = np.add.reduceat(groups, starts)
-        which = held[starts]
+        held, groups = part[order], mix64(s[order] + np.uint64(salt + 7))
+        starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(s) else np.empty(0, np.int64)
+        which, sums = held[starts], np.add.reduceat(groups, starts) if len(s) else groups
         if parts - len(starts) > SPARE:
             none = np.setdiff1d(np.arange(parts), which)
             which, sums = np.concatenate([which, none]), np.concatenate([sums, np.zeros(len(none), np.uint64)])
-        out.append(mix64(sums ^ mix64((which + band * 1_000_003).astype(np.uint64))))
+        out.append(mix64(sums ^ mix64((which + (salt + 3) * 1_000_003).astype(np.uint64))))
     return np.concatenate(out)
 
 
@@ -103,7 +143,7 @@ def _star(sigs: np.ndarray, cids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s[head], c[head], edges
 
 
-def candidate_edges(texts: DataFrame, total_shingles: int, width: int, num: int, den: int) -> DataFrame:
+def candidate_edges(texts: DataFrame, total_shingles: int, heavy, width: int, num: int, den: int) -> DataFrame:
     buckets = slices_of(int(0.35 * total_shingles) + 1, BUCKET_SIGNATURES)
 
     def send(batches):
@@ -125,7 +165,7 @@ def candidate_edges(texts: DataFrame, total_shingles: int, width: int, num: int,
                 s = shingle_set(text, width)
                 if not len(s):
                     continue
-                own = signatures(s, num, den)
+                own = signatures(s, heavy.value, num, den)
                 sigs.append(own)
                 cids.append(np.full(len(own), set_digest(s), np.int64))
                 held += len(own)
@@ -224,21 +264,25 @@ class PrefixTree:
     def link(self, s: np.ndarray, member: int) -> None:
         """Join member with one set of every component that has a similar one."""
         x, num, den, forest = len(s), self.num, self.den, self.forest
+        padded = np.append(s, np.uint64(0))
         stack = [(self.root, 0, 0, 0)]  # node, overlap, elements of the path, elements of s that the path has passed
         while stack:
             node, overlap, depth, passed = stack.pop()
             if self._all_in(node, forest.find(member)):
                 continue
-            if len(node.run):
-                at = np.searchsorted(s, node.run)
-                hit = at < x
-                overlap += int((s[at[hit]] == node.run[hit]).sum())
-                depth += len(node.run)
-                passed = int(np.searchsorted(s, node.run[-1], side="right"))
             # With y elements the pair needs den * overlap >= num * (x + y - overlap).
             y = max(node.least, math.ceil(num * x / den))
-            most = overlap + min(x - passed, node.most - depth)
-            if y > node.most or y * num > x * den or (num + den) * most < num * (x + y):
+            fits = y <= node.most and y * num <= x * den
+            for a in range(0, len(node.run) if fits else 0, PROBE):
+                run = node.run[a : a + PROBE]
+                at = np.searchsorted(s, run)
+                overlap += int((padded[at] == run).sum())
+                depth += len(run)
+                passed = int(at[-1])
+                fits = (num + den) * (overlap + min(x - passed, node.most - depth)) >= num * (x + y)
+                if not fits:
+                    break
+            if not fits:
                 continue
             for other, size in node.ends:
                 if (num + den) * overlap >= num * (x + size):
@@ -330,11 +374,13 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     are not read.
     """
     texts = keyed_texts(docs)
-    rows = Table(class_rows(texts, width), "classes")
+    scanned = Table(class_rows(texts, width), "classes")
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(scanned.read()))
+    rows = Table(scanned.read().where("kind = 0").drop("kind"), "rows")
     total = rows.read().agg(F.sum("n_shingles")).first()[0] or 0
     classes = rows.read().where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     classes = Table(classes, "class")
-    stars = Table(candidate_edges(texts, total, width, num, den), "candidates")
+    stars = Table(candidate_edges(texts, total, heavy, width, num, den), "candidates")
     clusters = Table(connected_components(stars.read()), "clusters")
     wanted = clusters.read().select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
     wanted = wanted.join(classes.read().where("rep is not null"), "cid").select("rep", "cid", "cluster")
