@@ -14,6 +14,7 @@ from .language_id import language_query
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .packing import best_fit_pack
+from .pii import pii_query
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity_query
 
@@ -62,6 +63,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_query(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
