@@ -1,11 +1,63 @@
-"""The cleaning pipeline over documents; each stage works on what its predecessor kept."""
+"""The cleaning pipeline over documents; each stage works on all that its predecessor kept.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lattica.llm.decontamination import decontaminate
+from lattica.llm.exact_dedup import keep_winners
+from lattica.llm.ngram_join import keep_representatives
+from lattica.llm.packing import best_fit_pack
+from lattica.llm.registry import vocabulary_file
+from lattica.llm.shared import Table
+from lattica.llm.toxicity import fit_model, keep_clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples call toxic go."""
+    return keep_clean(docs, fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of identical texts the one with the largest doc_id stays."""
+    return keep_winners(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links of Jaccard 0.8 or more over five-word shingles, the one with the least doc_id stays."""
+    return keep_representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its error budget go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences of 2048 tokens."""
+    return best_fit_pack(docs, vocabulary_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", packing),
+]
+
+#: Nearest neighbours, edit distance and tokenizers are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents, each written to the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = Table(docs, name).read()
     return docs

@@ -154,3 +154,20 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
     return out
+
+
+def keep_winners(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, one for each distinct text: that with the largest doc_id (of repeated rows any one).
+
+    A text that only rows without an id have keeps one of them.
+    """
+    named = exact_dedup(docs)
+    kept = named.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.where(docs["doc_id"].isNotNull())
+    out = rows.join(kept, rows["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where(docs["doc_id"].isNull())
+    if nameless.isEmpty():
+        return out
+    alone = named.where("keep_id is null").select(F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(F.coalesce(nameless["text"], F.lit("")).cast("binary"), 256)
+    return out.unionByName(nameless.join(alone, sha == alone["_sha"], "left_semi").dropDuplicates(["text"]))

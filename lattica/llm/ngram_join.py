@@ -402,3 +402,14 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     least = least.agg(F.min("rep").alias("least"))
     out = joined.join(least, "root", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs, all columns, of which one document of each component stays: that with the least doc_id.
+
+    Rows without an id cannot be told apart by one and stay.
+    """
+    found = ngram_components(docs, width, num, den)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    return named.unionByName(docs.where(docs["doc_id"].isNull()))
