@@ -28,6 +28,7 @@ MAX_EXAMPLES = 16_000
 MAX_FEATURES = 4096
 K = 15
 BLOCK = 64
+FIRST_BLOCKS = 4
 PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
 _SIDES = (4, 5, 6, 7, 8)
@@ -109,40 +110,52 @@ class BlockMaxIndex:
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
         order = np.lexsort((rows, cols))
         self.rows, self.weight = rows[order].astype(np.int32), weight[order]
-        self.at = np.searchsorted(cols[order], np.arange(features + 1))
+        # Where each feature's postings of each block begin; a feature's end is the next one's first place.
+        cell = np.arange(features * self.blocks + 1)
+        self.at = np.searchsorted(cols[order] * self.blocks + self.rows // BLOCK, cell).astype(np.int32)
         self.top = np.zeros((features, self.blocks))
         np.maximum.at(self.top, (cols, rows // BLOCK), weight)
 
+    def _read(self, which: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The exact cosines of the examples in these blocks, where above 0."""
+        cells = (which[:, None] * self.blocks + blocks[None, :]).ravel()
+        starts = self.at[cells]
+        sizes = self.at[cells + 1] - starts
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]))
+        scores = np.bincount(self.rows[at], self.weight[at] * np.repeat(np.repeat(weight, len(blocks)), sizes), self.n)
+        found = np.flatnonzero(scores > 0)
+        return found, scores[found]
+
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest with a cosine above 0; ties go to the lower position."""
+        """Positions and cosines of the k nearest with a cosine above 0; ties go to the lower position.
+
+        The blocks with the highest bounds are read first; the k-th best cosine there is what any other block must reach.
+        """
         which, weight = vector
         if not len(which) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
         bound = weight @ self.top[which]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        found, cosine, done = np.empty(0, np.int64), np.empty(0), 0
-        step = 8
-        while done < len(order):
-            if len(found) >= k and bound[order[done]] < cosine[-1] - 1e-12:
-                break
-            scores: dict[int, np.ndarray] = {}
-            for block in order[done : done + step].tolist():
-                own = np.zeros(BLOCK)
-                for f, w in zip(which[self.top[which, block] > 0].tolist(), weight[self.top[which, block] > 0].tolist(), strict=True):
-                    lo, hi = self.at[f], self.at[f + 1]
-                    a, b = lo + np.searchsorted(self.rows[lo:hi], (block * BLOCK, block * BLOCK + BLOCK))
-                    own[self.rows[a:b] - block * BLOCK] += w * self.weight[a:b]
-                scores[block] = own
-            done += step
-            at = np.concatenate([np.arange(BLOCK) + b * BLOCK for b in scores])
-            got = np.concatenate(list(scores.values()))
-            keep = (got > 0) & (at != without)
-            found, cosine = np.concatenate([found, at[keep]]), np.concatenate([cosine, got[keep]])
-            best = np.lexsort((found, -np.round(cosine, 12)))[:k]
-            found, cosine = found[best], cosine[best]
+        if not len(order):
+            return np.empty(0, np.int64), np.empty(0)
+        found, cosine = self._best(*self._read(which, weight, order[:FIRST_BLOCKS]), k, without)
+        rest = order[FIRST_BLOCKS:]
+        if len(found) == k:
+            rest = rest[bound[rest] >= cosine[-1] - 1e-9]
+        if len(rest):
+            more, more_cosine = self._read(which, weight, rest)
+            found, cosine = self._best(np.concatenate([found, more]), np.concatenate([cosine, more_cosine]), k, without)
         return found, cosine
 
+    @staticmethod
+    def _best(found: np.ndarray, cosine: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        keep = found != without
+        found, cosine = found[keep], cosine[keep]
+        best = np.lexsort((found, -np.round(cosine, 12)))[:k]
+        return found[best], cosine[best]
+
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the best non-decreasing fit (pooling adjacent violators)."""
