@@ -51,7 +51,8 @@ def _parabola(f: Column) -> list[Column]:
 def _sample(points: DataFrame, key: str, voxels: DataFrame, dims, origin, size, taps, values) -> DataFrame:
     low, high, weights = taps
     spread = _taps(points.select(key, "x", "y", "z"), dims, origin, size, low, high, weights)
-    got = spread.join(voxels, list(IJK), "left").groupBy(key).agg(*(F.sum(F.col("_w") * F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in values))
+    spread = spread.select(key, *IJK, "_w")
+    got = spread.join(voxels.select(*IJK, *values), list(IJK), "left").groupBy(key).agg(*(F.sum(F.col("_w") * F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in values))
     fine = points.select(key, _finite(*(F.col(c).cast("double") for c in "xyz")).alias("_fine"))
     return fine.join(got, key, "left").select(key, *(F.when(F.col("_fine"), F.col(c)).otherwise(0.0).alias(c) for c in values))
 
@@ -148,8 +149,9 @@ def voxels_along_ray(rays: DataFrame, dims, most: int) -> DataFrame:
     """
     cuts = []
     for x, n in zip("xyz", dims, strict=True):
-        planes = F.sequence(F.lit(0), F.lit(min(n, most)))
-        cuts.append(F.when(F.abs(f"d{x}") > 1e-12, F.transform(planes, lambda p, x=x: (p - F.col(f"o{x}")) / F.col(f"d{x}"))).otherwise(F.array().cast("array<double>")))
+        planes, at, along = F.sequence(F.lit(0), F.lit(min(n, most))), F.col(f"o{x}"), F.col(f"d{x}")
+        crossed = F.transform(planes, lambda p: (p - at) / along)  # noqa: B023  (used at once)
+        cuts.append(F.when(F.abs(along) > 1e-12, crossed).otherwise(F.array().cast("array<double>")))
     inner = F.filter(F.concat(*cuts), lambda t: (t > F.col("tmin")) & (t < F.col("tmax")))
     stops = F.array_sort(F.array_distinct(F.concat(inner, F.array(F.col("tmin").cast("double"), F.col("tmax").cast("double")))))
     rows = rays.select("*", F.posexplode(stops).alias("s", "t"))
