@@ -28,7 +28,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import field_queries, index_queries, shape_queries  # noqa: F401  (they register themselves)
+    from . import field_queries, index_queries, shape_queries, solid_queries  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict[str, Query]:

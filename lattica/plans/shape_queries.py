@@ -197,7 +197,7 @@ def resample_nearest(spark, sf_dir):
 
 
 def _resample_sql(nx, ny, nz, size, weight, steps):
-    cells = f"""pts AS (SELECT CAST(a.i AS INT) AS pi, CAST(b.j AS INT) AS pj, CAST(e.k AS INT) AS pk, (a.i + 0.5) * {size} AS x, (b.j + 0.5) * {size} AS y, (e.k + 0.5) * {size} AS z
+    cells = f"""pts AS (SELECT CAST(a.i AS INT) AS pi, CAST(b.j AS INT) AS pj, CAST(e.k AS INT) AS pk, CAST((a.i + 0.5) * {size} AS DOUBLE) AS x, CAST((b.j + 0.5) * {size} AS DOUBLE) AS y, CAST((e.k + 0.5) * {size} AS DOUBLE) AS z
         FROM range(0, {nx}) a(i) CROSS JOIN range(0, {ny}) b(j) CROSS JOIN range(0, {nz}) e(k))"""
     return _tap_sql(weight, steps).replace(_POINTS, cells).replace("SELECT p_partkey, least(", "SELECT pi, pj, pk, least(") + f" SELECT pi AS i, pj AS j, pk AS k, round(sum(w * d.v) * 0.9731377, 6) + 0.0 AS v FROM t {_JOIN} GROUP BY 1, 2, 3"
 
