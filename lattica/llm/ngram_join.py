@@ -13,9 +13,10 @@
    passage. The argument holds in any part of the hash space, so a set sends the signatures of what is left without them;
    where less than LIGHT_PART is left, on its own side or possibly on a partner's, those of the whole set go too.
 3. Clusters are the components of those stars. No similar pair spans two clusters.
-4. In each cluster a prefix tree holds the sorted sets; equal beginnings share a path and its overlap is counted once. A
-   set is run down the tree; a subtree is left as soon as the shared part so far plus what can remain on both sides is too
-   small, or when all its sets are already in the component at hand. A cluster above BLOCK_TOKENS is cut into blocks: each
+4. In each cluster a prefix tree holds the sets, their elements in one order (rare ones first); equal beginnings share a
+   path and its overlap is counted once. A set is run down the paths whose sets share an element of the prefix with it; a
+   subtree is left as soon as the shared part so far plus what can remain on both sides is too small, and a group of sets
+   when it is already in the component at hand. A cluster above BLOCK_TOKENS is cut into blocks: each
    block is joined alone; then one set stands for each component of a block, and the representatives are joined in turn;
    at last the sets outside the cluster's largest component are run against every block. So no link between different
    components is lost and no task holds a whole large cluster.
@@ -206,72 +207,116 @@ class Forest:
 
 
 class Node:
-    __slots__ = ("run", "children", "ends", "least", "most", "members", "same")
+    __slots__ = ("run", "parent", "children", "ends", "least", "most", "asked", "marked")
 
-    def __init__(self, run: np.ndarray):
-        self.run, self.children, self.ends = run, {}, []
-        self.least, self.most, self.members, self.same = 1 << 60, 0, [], None
+    def __init__(self, run: np.ndarray, parent: Node | None):
+        self.run, self.parent, self.children, self.ends = run, parent, {}, []
+        self.least, self.most, self.asked, self.marked = 1 << 60, 0, -1, []
 
 
 class PrefixTree:
-    """Sorted sets with shared beginnings; each node holds a run of elements."""
+    """Sorted sets with shared beginnings; each node holds a run of elements.
+
+    The header names, for each element, the sets that have it in their prefix (the first size - ceil(t * size) + 1 elements,
+    of which a similar pair shares one), grouped by component. A set enters the tree only along the paths that the header
+    names for its own prefix, and leaves a group of the header as soon as it has joined that group's component.
+    """
 
     def __init__(self, forest: Forest, num: int, den: int):
-        self.root, self.forest, self.num, self.den = Node(np.empty(0, np.uint64)), forest, num, den
+        self.root, self.forest, self.num, self.den = Node(np.empty(0, np.int64), None), forest, num, den
+        self.header: dict[int, int | dict[int, list[int]]] = {}
+        self.leaf: dict[int, Node] = {}
+        self.size: dict[int, int] = {}
+        self.question = 0
+
+    def prefix(self, s: np.ndarray) -> list[int]:
+        return s[: len(s) - -(-self.num * len(s) // self.den) + 1].tolist()
 
     def add(self, s: np.ndarray, member: int) -> None:
         node, at = self.root, 0
-        self._count(node, len(s), member)
+        self._count(node, len(s))
         while at < len(s):
             key = int(s[at])
             child = node.children.get(key)
             if child is None:
-                child = node.children[key] = Node(s[at:])
+                child = node.children[key] = Node(s[at:], node)
                 at = len(s)
             else:
                 n = min(len(child.run), len(s) - at)
                 differ = np.flatnonzero(child.run[:n] != s[at : at + n])
                 shared = int(differ[0]) if len(differ) else n
                 if shared < len(child.run):
-                    upper = Node(child.run[:shared])
-                    upper.least, upper.most, upper.members = child.least, child.most, list(child.members)
-                    child.run = child.run[shared:]
+                    upper = Node(child.run[:shared], node)
+                    upper.least, upper.most = child.least, child.most
+                    child.run, child.parent = child.run[shared:], upper
                     upper.children[int(child.run[0])] = child
                     node.children[key] = child = upper
                 at += shared
-            self._count(child, len(s), member)
+            self._count(child, len(s))
             node = child
-        node.ends.append((member, len(s)))
-
-    def _count(self, node: Node, size: int, member: int) -> None:
-        node.least, node.most, node.same = min(node.least, size), max(node.most, size), None
-        node.members.append(member)
-
-    def _all_in(self, node: Node, root: int) -> bool:
-        """Whether every set below is in that component; components only grow, so a yes is kept."""
+        node.ends.append(member)
+        self.leaf[member], self.size[member] = node, len(s)
+        for e in self.prefix(s):
+            entry = self.header.get(e)
+            if entry is None:
+                self.header[e] = member
+                continue
+            if isinstance(entry, int):
+                entry = self.header[e] = {entry: [entry]}
+            entry.setdefault(self.forest.find(member), []).append(member)
+
+    def _count(self, node: Node, size: int) -> None:
+        node.least, node.most = min(node.least, size), max(node.most, size)
+
+    def _groups(self, e: int) -> dict[int, list[int]]:
+        """The header's sets for an element by the components of now."""
+        entry = self.header.get(e)
+        if entry is None:
+            return {}
         find = self.forest.find
-        if node.same is not None:
-            return find(node.same) == root
-        if not node.members:
-            return True
-        first = find(node.members[0])
-        for m in node.members:
-            if find(m) != first:
-                return False
-        node.same, node.members = first, node.members[:1]
-        return first == root
+        if isinstance(entry, int):
+            return {find(entry): [entry]}
+        if any(find(r) != r for r in entry):
+            merged: dict[int, list[int]] = {}
+            for r, own in entry.items():
+                have = merged.get(find(r))
+                if have is None:
+                    merged[find(r)] = own
+                elif len(have) >= len(own):
+                    have += own
+                else:
+                    own += have
+                    merged[find(r)] = own
+            entry = self.header[e] = merged
+        return entry
 
     def link(self, s: np.ndarray, member: int) -> None:
         """Join member with one set of every component that has a similar one."""
+        find, x, seen = self.forest.find, len(s), set()
+        for e in self.prefix(s):
+            for root, own in list(self._groups(e).items()):
+                at, many = 0, 4
+                while at < len(own) and find(root) != find(member):
+                    batch = [m for m in own[at : at + many] if m not in seen and self.size[m] * self.num <= x * self.den and x * self.num <= self.size[m] * self.den]
+                    if batch:
+                        seen.update(batch)
+                        self._descend(s, member, batch)
+                    at, many = at + many, 2 * many
+
+    def _descend(self, s: np.ndarray, member: int, targets: list[int]) -> None:
+        """Run s down the paths to the targets, each shared part once."""
+        self.question += 1
+        self.root.asked, self.root.marked = self.question, []
+        for m in targets:
+            self._mark(self.leaf[m])
         x, num, den, forest = len(s), self.num, self.den, self.forest
-        padded = np.append(s, np.uint64(0))
+        padded = np.append(s, np.int64(-1))
+        wanted = set(targets)
         stack = [(self.root, 0, 0, 0)]  # node, overlap, elements of the path, elements of s that the path has passed
         while stack:
             node, overlap, depth, passed = stack.pop()
-            if self._all_in(node, forest.find(member)):
-                continue
             # With y elements the pair needs den * overlap >= num * (x + y - overlap).
-            y = max(node.least, math.ceil(num * x / den))
+            y = max(node.least, -(-num * x // den))
             fits = y <= node.most and y * num <= x * den
             for a in range(0, len(node.run) if fits else 0, PROBE):
                 run = node.run[a : a + PROBE]
@@ -284,10 +329,34 @@ class PrefixTree:
                     break
             if not fits:
                 continue
-            for other, size in node.ends:
-                if (num + den) * overlap >= num * (x + size):
+            for other in node.ends:
+                if other in wanted and (num + den) * overlap >= num * (x + self.size[other]):
                     forest.join(member, other)
-            stack += [(c, overlap, depth, passed) for c in node.children.values()]
+            stack += [(c, overlap, depth, passed) for c in node.marked]
+
+    def _mark(self, node: Node) -> None:
+        """Hang the path from the root to the node into the marked tree."""
+        below = None
+        while True:
+            new = node.asked != self.question
+            if new:
+                node.asked, node.marked = self.question, []
+            if below is not None:
+                node.marked.append(below)
+            if not new:
+                return
+            below, node = node, node.parent
+
+
+def ranked(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets over the numbers 0.. of one order: rare elements first, ties by hash. It is the same for all sets at hand."""
+    if not sets:
+        return []
+    elements, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(elements), np.int64)
+    rank[np.lexsort((elements, counts))] = np.arange(len(elements))
+    cuts = np.cumsum([len(s) for s in sets])[:-1]
+    return [np.sort(part) for part in np.split(rank[inverse], cuts)]
 
 
 def tree_components(sets: list[np.ndarray], num: int, den: int, roots: list[int] | None = None, asking: list[bool] | None = None) -> list[int]:
@@ -300,7 +369,7 @@ def tree_components(sets: list[np.ndarray], num: int, den: int, roots: list[int]
         first: dict[int, int] = {}
         for n, r in enumerate(roots):
             forest.join(first.setdefault(r, n), n)
-    tree = PrefixTree(forest, num, den)
+    tree, sets = PrefixTree(forest, num, den), ranked(sets)
     order = sorted(range(len(sets)), key=lambda n: len(sets[n]))
     if asking is not None:
         order = [n for n in order if not asking[n]] + [n for n in order if asking[n]]
