@@ -14,7 +14,7 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -60,11 +60,12 @@ class ByteBpe(_Cached):
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.little = {i: i.to_bytes(4, "little") for i in ranks.values()}
 
     def piece(self, piece: str) -> bytes:
         if self.special and self.special.search(piece):
             return self.whole(piece)
-        return np.array(self.fast.encode_ordinary(piece), "<u4").tobytes()
+        return b"".join(map(self.little.__getitem__, self.fast.encode_ordinary(piece)))
 
 
 class WordBpe(_Cached):
@@ -90,15 +91,29 @@ class WordBpe(_Cached):
             token = "".join(pair if isinstance(pair, list) else pair.split(" "))
             if ranks.setdefault(merged(token), 512 + n) == 512 + n:
                 real[512 + n] = vocab[token]
-        self.real = real
-        self.fast = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.little = {n: i.to_bytes(4, "little") for n, i in real.items()}
+        self.merge = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def piece(self, piece: str) -> bytes:
         if self._LETTERS.match(piece):
-            ids = self.fast._encode_single_piece(piece.lower().encode() + b"\xff")
-            return np.array([self.real[i] for i in ids], "<u4").tobytes()
+            return b"".join(map(self.little.__getitem__, self.merge(piece.lower().encode() + b"\xff")))
         return self.whole(piece)
 
+    def word_ids(self, word: bytes) -> bytes:
+        """The ids of one word (no ASCII white space in it); a text's ids are its words' ids end to end."""
+        text = word.decode("utf-8", "replace")
+        if _OTHER_SPACE.search(text):
+            return self.whole(text)
+        held = self.held
+        pieces = self.PIECES.findall(text)
+        for piece in pieces:
+            if piece not in held:
+                if len(held) > CACHE_PIECES:
+                    held.clear()
+                    return b"".join(map(self.piece, pieces))
+                held[piece] = self.piece(piece)
+        return b"".join(map(held.__getitem__, pieces))
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level BPE files write for each byte."""

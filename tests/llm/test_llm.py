@@ -58,7 +58,7 @@ def test_exact_dedup(spark):
 
 def test_exact_dedup_with_null_ids_repeats_and_history(spark):
     docs = table(spark, ["x", "x", "y", "y", "z"], [None, 4, None, None, 4])
-    got = sorted((r["doc_id"] or -1, r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect())
+    got = sorted(((r["doc_id"] or -1, r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect()), key=str)
     assert got == [(-1, 4, 2, False), (-1, None, 2, False), (-1, None, 2, False), (4, 4, 1, True), (4, 4, 2, True)]
     batch, old = table(spark, ["x", "q"], [1, 2]), table(spark, ["x", "x"], [10, 11])
     got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(batch, old).collect()}
