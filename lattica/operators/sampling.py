@@ -201,14 +201,74 @@ def integrate_tsdf(voxels: DataFrame, pixels: DataFrame, frame: dict, size: floa
     )
 
 
-def advect(dense: DataFrame, dims, velocity: DataFrame, step: float) -> DataFrame:
-    """Second-order backtrace through a velocity grid (x, y, z per cell), then a trilinear sample."""
-    centre = [(F.col(c) + 0.5).alias(x) for c, x in zip(IJK, "xyz", strict=True)]
-    start = velocity.select(F.struct(*IJK).alias("cell"), *centre, *(F.col(x).alias(f"u{x}") for x in "xyz"))
-    half = start.select("cell", *((F.col(x) - 0.5 * step * F.col(f"u{x}")).alias(x) for x in "xyz"))
-    middle = trilinear(half, "cell", velocity, dims, values=("x", "y", "z"))
-    back = middle.select("cell", *((F.col(f"cell.{c}") + 0.5 - step * F.col(x)).alias(x) for c, x in zip(IJK, "xyz", strict=True)))
-    return trilinear(back, "cell", dense, dims).select(*(F.col(f"cell.{c}").alias(c) for c in IJK), "v")
+#: Explicit Runge-Kutta steps: for each stage the weights of the stages before it, then those of the sum.
+_STEPS = {
+    1: ([[]], [1.0]),
+    2: ([[], [0.5]], [0.0, 1.0]),
+    3: ([[], [0.5], [-1.0, 2.0]], [1 / 6, 4 / 6, 1 / 6]),
+    4: ([[], [0.5], [0.0, 0.5], [0.0, 0.0, 1.0]], [1 / 6, 2 / 6, 2 / 6, 1 / 6]),
+}
+
+
+def _backtrace(dense: DataFrame, dims, velocity: DataFrame, step: float, order: int) -> DataFrame:
+    """The value at each cell's point of departure, found by a Runge-Kutta step of the given order."""
+    stages, total = _STEPS[order]
+    state = velocity.select(F.struct(*IJK).alias("cell"), *(F.col(x).alias(f"k0{x}") for x in "xyz"))
+    centre = {x: F.col(f"cell.{c}") + 0.5 for c, x in zip(IJK, "xyz", strict=True)}
+
+    def moved(weights) -> list[Column]:
+        out = []
+        for x in "xyz":
+            way = F.lit(0.0)
+            for n, w in enumerate(weights):
+                if w:
+                    way = way + w * F.col(f"k{n}{x}")
+            out.append((centre[x] - step * way).alias(x))
+        return out
+
+    for n, weights in enumerate(stages[1:], 1):
+        at = state.select("cell", *moved(weights))
+        found = trilinear(at, "cell", velocity, dims, values=("x", "y", "z")).select("cell", *(F.col(x).alias(f"k{n}{x}") for x in "xyz"))
+        state = state.join(found, "cell")
+    return trilinear(state.select("cell", *moved(total)), "cell", dense, dims).select(*(F.col(f"cell.{c}").alias(c) for c in IJK), "v")
+
+
+def advect(dense: DataFrame, dims, velocity: DataFrame, step: float, order: int = 2, scheme: str = "plain") -> DataFrame:
+    """Semi-Lagrangian transport through a velocity grid (x, y, z per cell).
+
+    order: of the Runge-Kutta backtrace, 1 to 4. scheme: plain, maccormack (half the error of a step there and back is taken
+    off after the step) or bfecc (before it).
+    """
+    go = lambda field, dt: _backtrace(field, dims, velocity, dt, order)
+    if scheme == "plain":
+        return go(dense, step)
+    there = go(dense, step)
+    back = go(there, -step).select(*IJK, F.col("v").alias("_b"))
+    half = 0.5 * (F.col("_o") - F.col("_b"))
+    start = dense.select(*IJK, F.col("v").alias("_o")).join(back, list(IJK))
+    if scheme == "maccormack":
+        return there.join(start, list(IJK)).select(*IJK, (F.col("v") + half).alias("v"))
+    if scheme == "bfecc":
+        return go(start.select(*IJK, (F.col("_o") + half).alias("v")), step)
+    raise ValueError(f"unknown scheme {scheme}")
+
+
+def volume_to_spheres(dense: DataFrame, most: int, overlap: float = 0.0, least: float = 0.5, size: float = 1.0) -> DataFrame:
+    """n, x, y, z, r: greedily the deepest cell's ball (radius its depth), then what (1 - overlap) of that ball covers is left out.
+
+    One ball follows from the one before, so there is one small aggregation for each; the driver holds `most` rows.
+    """
+    found, left = [], dense.select(*IJK, "v")
+    for n in range(most):
+        best = left.agg(F.min(F.struct("v", "k", "j", "i")).alias("m")).first()["m"]
+        if best is None or -best["v"] < least:
+            break
+        centre = tuple((best[c] + 0.5) * size for c in IJK)
+        found.append((n, *centre, float(-best["v"])))
+        reach = (1 - overlap) * -best["v"]
+        d2 = sum((((F.col(c) + 0.5) * size - o) ** 2 for c, o in zip(IJK[1:], centre[1:], strict=True)), ((F.col("i") + 0.5) * size - centre[0]) ** 2)
+        left = left.where(d2 >= reach * reach)
+    return dense.sparkSession.createDataFrame(found, "n int, x double, y double, z double, r double")
 
 
 def particles_to_sdf(cells: DataFrame, particles: DataFrame, band: float, size: float = 1.0) -> DataFrame:

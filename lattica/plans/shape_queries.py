@@ -275,11 +275,24 @@ def apply_affine(spark, sf_dir):
     return _rounded(sampling.apply_affine(_part_points(spark, sf_dir), [0.5, -0.25, 0.1, 1.0, 0.0, 2.0, 1.0, -3.0, -1.0, 0.0, 0.75, 0.5]), "x", "y", "z")
 
 
-@register("advect")
-def advect(spark, sf_dir):
+def _wind(spark, sf_dir):
     d = dense(spark, sf_dir)
-    velocity = d.select(*IJK, (F.col("j") / 10.0).alias("x"), F.lit(0.3).alias("y"), (F.col("v") / 40).alias("z"))
-    return _rounded(sampling.advect(d, DENSE_DIMS, velocity, 0.7), "v")
+    return d, d.select(*IJK, (F.col("j") / 10.0).alias("x"), F.lit(0.3).alias("y"), (F.col("v") / 40).alias("z"))
+
+
+for _order in (1, 2, 3, 4):
+    register(f"advect_rk{_order}")(lambda spark, sf_dir, order=_order: _rounded(sampling.advect(*_placed(_wind(spark, sf_dir)), 0.7, order), "v"))
+for _scheme in ("maccormack", "bfecc"):
+    register(f"advect_{_scheme}")(lambda spark, sf_dir, scheme=_scheme: _rounded(sampling.advect(*_placed(_wind(spark, sf_dir)), 0.7, 2, scheme), "v"))
+
+
+def _placed(pair):
+    return pair[0], DENSE_DIMS, pair[1]
+
+
+@register("volume_to_spheres")
+def volume_to_spheres(spark, sf_dir):
+    return _rounded(sampling.volume_to_spheres(dense(spark, sf_dir), 12, 0.1), "x", "y", "z", "r")
 
 
 @register("particles_to_sdf", f"""WITH {DENSE_SQL}, p AS (SELECT CAST(s_suppkey AS DOUBLE) % 11 + 0.3 AS x, CAST(s_acctbal AS DOUBLE) / 1000 AS y, CAST(s_suppkey AS DOUBLE) % 9 + 0.1 AS z, 0.4 + (s_suppkey % 3) * 0.2 AS r FROM supplier)

@@ -162,11 +162,30 @@ def test_volume_render_of_uniform_fog(spark):
     assert got == pytest.approx(1 - through + 0.25 * through)
 
 
-def test_advection_moves_a_ramp(spark):
-    v = np.broadcast_to(np.arange(8.0)[:, None, None], (8, 3, 3)).copy()
+@pytest.mark.parametrize("order,scheme", [(1, "plain"), (2, "plain"), (3, "plain"), (4, "plain"), (2, "maccormack"), (2, "bfecc")])
+def test_advection_moves_a_ramp(spark, order, scheme):
+    v = np.broadcast_to(np.arange(8.0)[:, None, None], (8, 2, 2)).copy()
     wind = box(spark, v.shape).selectExpr("i", "j", "k", "double(1) x", "double(0) y", "double(0) z")
-    got = array(sampling.advect(grid(spark, v), v.shape, wind, 0.5), v.shape)
-    assert np.allclose(got[1:], v[1:] - 0.5)
+    got = array(sampling.advect(grid(spark, v), v.shape, wind, 0.5, order, scheme), v.shape)
+    assert np.allclose(got[2:-1], v[2:-1] - 0.5)
+
+
+def test_higher_orders_follow_a_turning_wind_more_closely(spark):
+    n = 9
+    p = np.stack(np.meshgrid(np.arange(n) + 0.5, np.arange(n) + 0.5, [0.5], indexing="ij")) - n / 2
+    v = p[0] + 0 * p[1]
+    wind = box(spark, v.shape).selectExpr("i", "j", "k", f"-(j + 0.5 - {n / 2}) x", f"i + 0.5 - {n / 2} y", "double(0) z")
+    want = math.cos(0.6) * p[0] + math.sin(0.6) * p[1]
+    error = [np.abs(array(sampling.advect(grid(spark, v), v.shape, wind, 0.6, order), v.shape) - want)[3:6, 3:6].max() for order in (1, 2, 4)]
+    assert error[0] > error[1] > error[2] and error[2] < 0.01
+
+
+def test_spheres_of_a_ball(spark):
+    p = np.stack(np.meshgrid(*[np.arange(9) - 4.0] * 3, indexing="ij"))
+    v = np.sqrt((p**2).sum(axis=0)) - 3
+    got = sampling.volume_to_spheres(grid(spark, v), 5, 0.0).orderBy("n").collect()
+    assert (got[0]["x"], got[0]["y"], got[0]["z"], got[0]["r"]) == (4.5, 4.5, 4.5, 3.0)
+    assert all((r["x"] - 4.5) ** 2 + (r["y"] - 4.5) ** 2 + (r["z"] - 4.5) ** 2 >= 9 for r in got[1:])
 
 
 def octahedron(spark):
