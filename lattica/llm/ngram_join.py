@@ -17,7 +17,7 @@
    path and its overlap is counted once. A set is run down the paths whose sets share an element of the prefix with it; a
    subtree is left as soon as the shared part so far plus what can remain on both sides is too small, and a group of sets
    when it is already in the component at hand. A cluster above BLOCK_TOKENS is cut into blocks: each
-   block is joined alone; then one set stands for each component of a block, and the representatives are joined in turn;
+   block is joined alone; then a few sets stand for each larger component of a block, and these are joined in turn;
    at last the sets outside the cluster's largest component are run against every block. So no link between different
    components is lost and no task holds a whole large cluster.
 """
@@ -46,6 +46,7 @@ HEAVY_COUNT = 30
 HEAVY_MOST = 1 << 18
 LIGHT_PART = 0.5
 PROBE = 48
+STANDS = 4
 
 
 def set_digest(s: np.ndarray) -> int:
@@ -400,21 +401,22 @@ def verified_edges(sets: DataFrame, num: int, den: int) -> DataFrame:
     large = dealt.where("blocks > 1")
     if large.isEmpty():
         return edges
-    # One set for each component of a block; dealt out anew and joined until they fit one block or no longer get fewer.
-    before = -1
-    while True:
-        roots = connected_components(edges)
-        named = large.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        named = Table(named, "named").read()
-        stand = named.where("cid = root")
-        count = stand.count()
-        if count == before or stand.groupBy("cluster").count().where("count > 1").isEmpty():
-            break
-        before = count
-        again = stand.groupBy("cluster").agg(F.sum("n").alias("tokens")).select("cluster", blocks.alias("parts"))
-        redealt = stand.join(again, "cluster").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(count)), F.col("parts")).cast("int"))
-        more = redealt.select("cluster", "part", "cid", "elements").groupBy("cluster", "part").applyInPandas(alone, edge)
-        edges = edges.union(Table(more, "stand-edges").read())
+    # A few sets stand for each component of a block, so that those which the cut has parted find together again.
+    roots = connected_components(edges).withColumnRenamed("node", "cid")
+    named = Table(large.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "named").read()
+    mark = F.xxhash64("cid")
+    counted = named.groupBy("cluster", "root", F.pmod(mark, F.lit(STANDS)).alias("s")).agg(F.min_by("cid", mark).alias("cid"), F.count("*").alias("c"))
+    many = counted.groupBy("root").agg(F.sum("c").alias("c")).where(F.col("c") >= STANDS).select("root")
+    stand = named.join(counted.join(many, "root").select("cid"), "cid", "left_semi")
+    again = stand.groupBy("cluster").agg(F.sum("n").alias("tokens")).select("cluster", blocks.alias("parts"))
+    redealt = stand.join(again, "cluster").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int"))
+    more = Table(redealt.select("cluster", "part", "cid", "elements").groupBy("cluster", "part").applyInPandas(alone, edge), "stand-edges").read()
+    met = more.join(named.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(named.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
+    above = connected_components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    above = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = named.join(above, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    named = Table(named, "named").read()
+    edges = edges.union(more)
     # The sets outside the largest component of their cluster go to every block of it.
     per = named.groupBy("cluster", "root").agg(F.count("*").alias("c"))
     best = per.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
