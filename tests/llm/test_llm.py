@@ -182,6 +182,21 @@ def test_model_is_a_distribution_and_its_gradient_is_right():
     assert np.allclose(a[: at + 1], b[: at + 1]) and not np.allclose(a[at + 1], b[at + 1])
 
 
+def test_scores_are_those_of_the_forward_pass():
+    r, k = np.random.default_rng(5), attention_lm.CLASSES
+    bigram = np.log(r.dirichlet(np.ones(k), k + 1)).astype(np.float32)
+    classes = r.integers(0, k, 49408).astype(np.int32)
+    inside = -r.random((k + 1, 49408)).astype(np.float32)
+    model = attention_lm.Model(classes, inside, bigram, attention_lm.Weights.fresh())
+    texts = [r.integers(0, 5000, n).astype("<u2") for n in (1, 8, 9, 300)]
+    for t, got in zip(texts, model.score(texts), strict=True):
+        own = classes[t]
+        inputs, targets, _, first = attention_lm.blocks_of([own])
+        logits = attention_lm.forward(model.weights, bigram, inputs, attention_lm.previous(inputs), first)[: len(t)].astype(float)
+        want = (logits[np.arange(len(t)), own] - np.log(np.exp(logits).sum(axis=1))).sum() + inside[np.concatenate([[k], own[:-1]]), t].sum()
+        assert got == pytest.approx(want / np.log(10), rel=1e-5)
+
+
 # 4
 
 
