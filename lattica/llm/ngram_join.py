@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import MASK63, Table, keyed_texts, mix64, slices_of
+from .shared import MASK63, Table, keyed_texts, mix64, slices_of, tidy
 from .words import shingle_set
 
 SPARE = 10
@@ -47,6 +47,7 @@ HEAVY_MOST = 1 << 18
 LIGHT_PART = 0.5
 PROBE = 48
 STANDS = 4
+BROADCAST_ROWS = 500_000
 
 
 def set_digest(s: np.ndarray) -> int:
@@ -388,51 +389,60 @@ def _edges_of(frame: pd.DataFrame, num: int, den: int, roots=None, asking=None)
     return pd.DataFrame({"a": cids[found], "b": cids})
 
 
-def verified_edges(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sets: cluster, cid, n, elements. Edges (a, b), self-edges among them, whose components are those of the true links."""
-    sets = Table(sets, "sets").read()
-    sizes = sets.groupBy("cluster").agg(F.sum("n").alias("tokens"))
+def verified_edges(sets: Table, num: int, den: int) -> DataFrame:
+    """sets: cluster, cid, n, elements. Edges (a, b), self-edges among them, whose components are those of the true links.
+
+    Elements are written once, in sets; what is written after holds only names.
+    """
+    every = sets.read()
+    sizes = every.groupBy("cluster").agg(F.sum("n").alias("tokens"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")
-    plan = Table(sizes.select("cluster", blocks), "blocks").read()
-    dealt = Table(sets.join(plan, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "dealt").read()
+    plan = Table(sizes.select("cluster", blocks), "blocks")
+    dealt = every.join(plan.read(), "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     edge = "a long, b long"
-    alone = lambda f: _edges_of(f.sort_values("cid", ignore_index=True), num, den)
+
+    def alone(frame: pd.DataFrame) -> pd.DataFrame:
+        return _edges_of(frame.drop_duplicates("cid").sort_values("cid", ignore_index=True), num, den)
+
     edges = Table(dealt.groupBy("cluster", "block").applyInPandas(alone, edge), "block-edges").read()
-    large = dealt.where("blocks > 1")
-    if large.isEmpty():
+    tidy(sets.spark)
+    if plan.read().where("blocks > 1").isEmpty():
         return edges
-    # A few sets stand for each component of a block, so that those which the cut has parted find together again.
+    large = every.join(plan.read().where("blocks > 1"), "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    # A few sets stand for each larger component of a block, so that those which the cut has parted find together again.
     roots = connected_components(edges).withColumnRenamed("node", "cid")
-    named = Table(large.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "named").read()
+    names = large.select("cluster", "cid", "n", "blocks", "block").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = Table(names.dropDuplicates(["cid"]), "named").read()
     mark = F.xxhash64("cid")
     counted = named.groupBy("cluster", "root", F.pmod(mark, F.lit(STANDS)).alias("s")).agg(F.min_by("cid", mark).alias("cid"), F.count("*").alias("c"))
     many = counted.groupBy("root").agg(F.sum("c").alias("c")).where(F.col("c") >= STANDS).select("root")
-    stand = named.join(counted.join(many, "root").select("cid"), "cid", "left_semi")
+    stand = named.join(counted.join(many, "root").select("cid"), "cid", "left_semi").select("cluster", "cid", "n")
     again = stand.groupBy("cluster").agg(F.sum("n").alias("tokens")).select("cluster", blocks.alias("parts"))
     redealt = stand.join(again, "cluster").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int"))
-    more = Table(redealt.select("cluster", "part", "cid", "elements").groupBy("cluster", "part").applyInPandas(alone, edge), "stand-edges").read()
+    standing = redealt.select("cluster", "part", "cid").join(every.select("cid", "elements"), "cid")
+    more = Table(standing.groupBy("cluster", "part").applyInPandas(alone, edge), "stand-edges").read()
     met = more.join(named.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(named.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
     above = connected_components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     above = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = named.join(above, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    named = Table(named, "named").read()
+    named = Table(named.join(above, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "renamed").read()
     edges = edges.union(more)
     # The sets outside the largest component of their cluster go to every block of it.
     per = named.groupBy("cluster", "root").agg(F.count("*").alias("c"))
     best = per.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
-    marked = Table(named.join(best, "cluster").withColumn("asks", F.col("root") != F.col("main")), "marked").read()
-    asking = marked.where("asks").withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asking = asking.where("own <> block").drop("own")
-    final = marked.withColumn("asks", F.lit(False)).unionByName(asking)
+    marked = named.join(best, "cluster").withColumn("asks", F.col("root") != F.col("main"))
+    marked = Table(marked.select("cluster", "cid", "block", "blocks", "root", "asks"), "marked").read()
+    there = marked.where("asks").withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every_place = marked.withColumn("asks", F.lit(False)).unionByName(there.where("own <> block").drop("own"))
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         if not frame["asks"].any():
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        frame = frame.sort_values("cid", ignore_index=True)
+        frame = frame.drop_duplicates("cid").sort_values("cid", ignore_index=True)
         return _edges_of(frame, num, den, frame["root"].tolist(), frame["asks"].tolist())
 
-    columns = ["cluster", "block", "cid", "elements", "root", "asks"]
-    last = final.select(*columns).groupBy("cluster", "block").applyInPandas(ask, edge)
+    placed = every_place.select("cluster", "block", "cid", "root", "asks").join(every.select("cid", "elements"), "cid")
+    last = Table(placed.groupBy("cluster", "block").applyInPandas(ask, edge), "asked-edges").read()
+    tidy(sets.spark)
     return edges.union(last)
 
 
@@ -453,8 +463,11 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     classes = Table(classes, "class")
     stars = Table(candidate_edges(texts, total, heavy, width, num, den), "candidates")
     clusters = Table(connected_components(stars.read()), "clusters")
+    tidy(docs.sparkSession)
     wanted = clusters.read().select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
-    wanted = wanted.join(classes.read().where("rep is not null"), "cid").select("rep", "cid", "cluster")
+    wanted = Table(wanted.join(classes.read().where("rep is not null"), "cid").select("rep", "cid", "cluster"), "wanted").read()
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)  # 24 bytes a row; beyond that both sides are shuffled by id
     picked = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("cid", "cluster", "text")
 
     def rebuild(batches):
@@ -466,8 +479,11 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
                 "n": [len(sets[n]) for n in right], "elements": [sets[n].tobytes() for n in right],
             })
 
-    sets = picked.mapInPandas(rebuild, "cluster long, cid long, n long, elements binary").dropDuplicates(["cid"])
+    sets = picked.mapInPandas(rebuild, "cluster long, cid long, n long, elements binary")
+    sets = Table(sets, "sets")
+    tidy(docs.sparkSession)
     roots = connected_components(verified_edges(sets, num, den))
+    sets.drop()
     joined = rows.read().join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = classes.read().join(roots.withColumnRenamed("node", "cid"), "cid", "left").groupBy(F.coalesce("root", "cid").alias("root"))
     least = least.agg(F.min("rep").alias("least"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,12 @@ class Table:
         _remove(self.spark, self.path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the cluster remove shuffle files that no live DataFrame refers to any more; they go when the driver's JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(docs[text], F.lit(""))
