@@ -1,6 +1,6 @@
 """Bulk-synchronous best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Every document is cut into pieces of at most the capacity. Pieces and gaps are kept range-sorted by size. A superstep takes
+Every document is cut into pieces of the capacity, of which the first may be shorter. Pieces and gaps are kept range-sorted by size. A superstep takes
 the longest pieces still open and sweeps the sorted gaps upwards for their successors (the least gap that holds them);
 where several pieces want one gap, ranks decide: the r-th piece of a length takes the r-th such gap. Filled gaps shrink,
 move to their new place in the order, and the next superstep begins; what found no gap opens new sequences.
@@ -38,8 +38,10 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids:
             out = []
             for doc_id, text in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["text"], strict=True):
                 ids = enc.ids(text) + end
-                for n, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
+                first = len(ids) % step or step
+                for n, end_at in enumerate(range(first, len(ids) + 1, step)):
+                    at = max(0, end_at - step)
+                    part = ids[at:end_at]
                     out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if with_ids else ()))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))

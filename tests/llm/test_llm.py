@@ -435,6 +435,16 @@ def test_packing(spark):
     assert packing.best_fit_pack(table(spark, []), BYTE).count() == 0
 
 
+@pytest.mark.parametrize("n,want", [(904, [904]), (2048, [2048]), (4096, [2048, 2048]), (5000, [904, 2048, 2048])])
+def test_only_the_first_piece_is_shorter(spark, n, want):
+    text = " a" * (n - 1)
+    ids = np.append(ids_of("byte", BYTE, text), 0).astype("<u4")
+    own = sorted(packing.best_fit_pack(table(spark, [text]), BYTE, 2048, 0).collect(), key=lambda r: r["piece"])
+    assert len(ids) == n and [r["length"] for r in own] == want
+    assert [r["start"] for r in own] == np.cumsum([0, *want[:-1]]).tolist()
+    assert [r["ids_crc32"] for r in own] == [zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own]
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_IDS", 4000)
     texts = [*ODD, *(" ".join(words(n * 11 % 700, n % 5)) for n in range(60)), "# ## #"]
