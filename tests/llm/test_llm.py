@@ -182,6 +182,26 @@ def test_model_is_a_distribution_and_its_gradient_is_right():
     assert np.allclose(a[: at + 1], b[: at + 1]) and not np.allclose(a[at + 1], b[at + 1])
 
 
+def test_attention_is_fitted_on_all_training_documents(spark, monkeypatch):
+    texts = [" ".join(words(60, n, 50)) for n in range(120)]
+    rows = [(n, bytes(np.append(ids_of("word", WORD, t), 49407).astype("<u2").tobytes())) for n, t in enumerate(texts)]
+    docs, total = spark.createDataFrame(rows, "doc_id long, ids binary").repartition(3), sum(len(x) // 2 for _, x in rows)
+    monkeypatch.setattr(attention_lm, "SAMPLE_IDS", total // 4)
+    model = attention_lm.fit(docs)
+    assert model.trained == total
+    sample = attention_lm.first_documents(docs, total, np.arange(49408))
+    whole = {x for _, x in rows}
+    assert 0 < sum(map(len, sample)) < total // 2 and all(x.astype("<u2").tobytes() in whole for x in sample)
+    start = attention_lm.train([model.classes[x] for x in sample], model.bigram)
+    assert not np.allclose(start["u"], model.weights["u"], atol=1e-4)
+    # Averaged over two equal tasks, the weights are those of one.
+    row = spark.createDataFrame(rows[:1], "doc_id long, ids binary")
+    size = len(rows[0][1]) // 2
+    one, n = attention_lm.train_on_all(row, model.classes, model.bigram, start, size)
+    two, m = attention_lm.train_on_all(row.unionAll(row), model.classes, model.bigram, start, 2 * size)
+    assert (n, m) == (size, 2 * size) and all(np.allclose(one[k], two[k], atol=1e-6) for k in one)
+
+
 def test_scores_are_those_of_the_forward_pass():
     r, k = np.random.default_rng(5), attention_lm.CLASSES
     bigram = np.log(r.dirichlet(np.ones(k), k + 1)).astype(np.float32)
