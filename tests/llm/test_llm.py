@@ -202,6 +202,49 @@ def test_attention_is_fitted_on_all_training_documents(spark, monkeypatch):
     assert (n, m) == (size, 2 * size) and all(np.allclose(one[k], two[k], atol=1e-6) for k in one)
 
 
+def test_attention_reads_ids_and_not_classes_alone():
+    r, k = np.random.default_rng(8), attention_lm.CLASSES
+    classes = np.full(49408, 3, np.int32)
+    classes[:100] = np.arange(100)
+    company, counts = r.integers(0, 9, (49408, 2 * attention_lm.COMPANY)), r.integers(1, 50, 49408)
+    bigram, inside = np.full((k + 1, k), -math.log(k), np.float32), np.zeros((k + 1, 49408), np.float32)
+    vectors = attention_lm.own_vectors(company, counts)
+    model = attention_lm.Model(classes, inside, bigram, attention_lm.Weights.fresh(), 0, vectors)
+    text = r.integers(0, 100, 60)
+    for place in (20, 30):  # of the class of its neighbour 200; more than 16 ids before the last
+        one, other = text.copy(), text.copy()
+        one[place], other[place] = 200, 201
+        assert classes[200] == classes[201] and abs(model.score([one])[0] - model.score([other])[0]) > 1e-6
+    w, docs = attention_lm.Weights({n: x.astype(np.float64) for n, x in attention_lm.Weights.fresh().items()}), [text, text[:9]]
+    inputs, targets, _, depth = attention_lm.blocks_of(docs, 49408)
+    before, named = attention_lm.previous(inputs), np.append(classes, k)
+    own, t = vectors[np.concatenate([before, inputs], axis=1)].astype(float), classes[np.maximum(targets.reshape(-1), 0)]
+    run = lambda keep: attention_lm.forward(w, bigram, named[inputs], named[before], depth, keep=keep, vectors=own)
+    logits, held = run(True)
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    seen = targets.reshape(-1) >= 0
+    fast = np.log(p[seen, t[seen]]).sum() / math.log(10)
+    assert model.score(docs).sum() == pytest.approx(fast, rel=1e-5)
+    # The last id of a text sees the whole window, 32 ids before its block.
+    far = text.copy()
+    far[25] = 201
+    moved = attention_lm.blocks_of([far], 49408)[0]
+    late = lambda x: attention_lm.forward(w, bigram, named[x], named[attention_lm.previous(x)], depth[:8], vectors=vectors[np.concatenate([attention_lm.previous(x), x], axis=1)])[56:60]
+    assert not np.allclose(late(inputs[:8]), late(moved), atol=1e-6)
+    grad = p.copy()
+    grad[np.arange(len(t)), t] -= 1
+    grad[~seen] = 0
+    g = attention_lm.backward(w, named[inputs], held, grad)
+    for name in "ptqkv":
+        at, eps, sums = tuple(r.integers(0, n) for n in w[name].shape), 1e-5, []
+        for step in (eps, -2 * eps):
+            w[name][at] += step
+            y = run(False)
+            sums.append((np.log(np.exp(y).sum(axis=1)) - y[np.arange(len(t)), t])[seen].sum())
+        w[name][at] += eps
+        assert g[name][at] == pytest.approx((sums[0] - sums[1]) / (2 * eps), rel=2e-2, abs=1e-4), name
+
+
 def test_scores_are_those_of_the_forward_pass():
     r, k = np.random.default_rng(5), attention_lm.CLASSES
     bigram = np.log(r.dirichlet(np.ones(k), k + 1)).astype(np.float32)
