@@ -1,8 +1,9 @@
 """Token-id files compressed by Re-Pair grammars, with random access to each document.
 
 A shard holds whole documents in ascending doc_id order. Its grammar is its own: in each round the frequent pairs of
-adjacent ids are replaced by new nonterminals (the more frequent pair wins where two overlap), until no pair occurs
-MIN_PAIR times, the id space of 16 bits is used up or MAX_ROUNDS rounds have passed. Pairs that would cross a document's
+adjacent ids are replaced by new nonterminals (the more frequent pair wins where two overlap, every other pair of a run of
+one id), until no pair occurs MIN_PAIR times or the id space of 16 bits is used up. A pair that wins fewer than half of
+MIN_PAIR places in a round takes no nonterminal and is counted again in the next. Pairs that would cross a document's
 end never form, because the end id is kept out of all pairs; so each document's symbols are a range of the
 payload, and with the rules' expansion lengths any document is decoded by itself.
 
@@ -27,7 +28,6 @@ from .tokens import encoder
 
 SHARD_IDS = 1 << 20
 MIN_PAIR = 24
-MAX_ROUNDS = 5
 PAIRS_A_ROUND = 4096
 _TOP = 1 << 16
 FILE_SCHEMA = "part int, shard int, n_ids long, file binary"
@@ -56,11 +56,18 @@ def _round(ids: np.ndarray, first_new: int, end_id: int) -> tuple[np.ndarray, np
     at = _slot(pair)
     rank = np.where(table_pair[at] == pair, table_rank[at], np.uint16(0xFFFF))
     wins = rank != 0xFFFF
-    wins[1:] &= rank[1:] < rank[:-1]
+    wins[1:] &= rank[1:] <= rank[:-1]
     wins[:-1] &= rank[:-1] <= rank[1:]
+    again = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] != 0xFFFF)) + 1
+    if len(again):
+        # In a run of one id each place has the same pair as the one before it; of those the second, fourth and so on lose.
+        begins = np.maximum.accumulate(np.where(np.diff(again, prepend=-1) > 1, np.arange(len(again)), 0))
+        wins[again[(np.arange(len(again)) - begins) % 2 == 0]] = False
     at = np.flatnonzero(wins)
+    enough = np.bincount(rank[at], minlength=len(chosen)) >= MIN_PAIR // 2
+    at, chosen, number = at[enough[rank[at]]], chosen[enough], np.cumsum(enough) - 1
     out = ids.copy()
-    out[at] = (first_new + rank[at]).astype(np.uint16)
+    out[at] = (first_new + number[rank[at]]).astype(np.uint16)
     keep = np.ones(len(ids), bool)
     keep[at + 1] = False
     return out[keep], chosen
@@ -69,10 +76,7 @@ def _round(ids: np.ndarray, first_new: int, end_id: int) -> tuple[np.ndarray, np
 def repair(ids: np.ndarray, end_id: int, first_new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n x 2) and their expansion lengths."""
     rules, symbols = np.empty((0, 2), np.uint16), ids.astype(np.uint16)
-    for _ in range(MAX_ROUNDS):
-        made = _round(symbols, first_new + len(rules), end_id) if len(symbols) > 1 else None
-        if made is None:
-            break
+    while len(symbols) > 1 and (made := _round(symbols, first_new + len(rules), end_id)):
         symbols, chosen = made
         rules = np.concatenate([rules, np.stack([chosen >> 16, chosen & 0xFFFF], 1).astype(np.uint16)])
     return symbols, rules, expansion_lengths(rules, first_new)

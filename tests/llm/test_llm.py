@@ -524,6 +524,21 @@ def test_token_files(spark, monkeypatch):
     assert token_files.read_token_files(empty.read()).count() == 0
 
 
+def test_pairs_are_replaced_until_none_is_frequent():
+    r = np.random.default_rng(4)
+    passage = r.integers(10, 9000, 700)
+    docs = [np.full(5000, 7), np.full(333, 7), *[np.concatenate([passage, r.integers(10, 9000, 3)]) for _ in range(40)], np.tile([11, 11, 12], 90), np.array([], int)]
+    docs = [np.append(d, 2).astype("<u4") for d in docs]
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    data = token_files.write_file(list(range(len(docs))), ends, ids, 0, 2, 49408)
+    f = token_files.TokenFile(data)
+    assert all(np.array_equal(f.decode(n), d) for n, d in enumerate(docs))
+    symbols = f.symbols.tolist()
+    left = collections.Counter(p for p in zip(symbols, symbols[1:]) if 2 not in p)
+    assert max(left.values()) < token_files.MIN_PAIR and f.length.max() > 500
+    assert len(symbols) < len(ids) // 50 and len(symbols[: f.symbol_ends[0]]) < 100
+
+
 def test_wide_ids_are_stored_plainly():
     ids = np.array([70000, 5, 2, 9, 2], "<u4")
     f = token_files.TokenFile(token_files.write_file([1, None], np.array([3, 5]), ids, 7, 2, 49408))
