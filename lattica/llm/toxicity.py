@@ -1,14 +1,17 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded, documented sample of labelled rows (MAX_EXAMPLES, in the order of a hash of the id) is the index. Features are
-plain words and word beginnings of 4 to 8 bytes; those that tell the labels apart (by the G statistic against
-chance over all features tried; at most MAX_FEATURES) are kept, weighted 1 + ln(tf) times idf and scaled to length one. Every text is compared with the examples
-by exact TF-IDF cosine through a block-max inverted index: postings lie in blocks of examples, each feature knows its
-largest weight in each block, and blocks are read in the order of their upper bounds until none can enter the top K.
+A bounded, documented sample of labelled rows (MAX_EXAMPLES, in the order of a hash of the id) is the index. A text's vector
+has every word, weighted 1 + ln(tf) times idf and scaled to length one. Beside it stands a second part of the features
+that tell the labels apart (words and word beginnings of 4 to 8 bytes, by the G statistic against chance over all features
+tried; at most MAX_FEATURES), weighted and scaled alike; where a text has any, that part makes up TELLING of the squared
+length. So no word is left out, and an equal text has the cosine 1. Words that no example has count for the length alone.
+Every text is compared with the examples by the exact cosine of these vectors through a block-max inverted index: postings
+lie in blocks of examples, each feature knows its largest weight in each block, blocks with the highest upper bounds are
+read first, and what the others could add is read only where it can still enter the top K.
 
 The K nearest vote with weight 1 / (1.05 - cosine), with the share of label 1 among all examples as a prior vote. Votes
 become scores by isotonic regression over the examples' own votes, each taken without itself and with equal texts counted
-once. Texts without any kept feature (empty ones too) get the share of label 1 among such examples.
+once. Texts that share no word with the examples (empty ones too) get the share of label 1 among such examples.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table, id_remainder, keyed_texts, text_of
+from .shared import Table, id_remainder, keyed_texts, slices_of, text_of
 from .words import plain_words
 
 MAX_EXAMPLES = 16_000
@@ -31,6 +34,7 @@ BLOCK = 64
 FIRST_BLOCKS = 4
 PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
+TELLING = 0.8
 _SIDES = (4, 5, 6, 7, 8)
 _HELD = 400_000
 
@@ -45,7 +49,7 @@ def counted(text: str) -> Counter:
 
 
 def choose_features(examples: DataFrame) -> dict[bytes, int]:
-    """examples: text, toxic. The features kept, with their number of examples."""
+    """examples: text, toxic. The features that tell the labels apart, with their number of examples."""
 
     def count(batches):
         for b in batches:
@@ -73,31 +77,66 @@ def choose_features(examples: DataFrame) -> dict[bytes, int]:
     return {bytes(r["feature"]): r["yes"] + r["no"] for r in top.collect()}
 
 
-class Vectors:
-    """Texts as sparse unit vectors over the kept features."""
+def word_counts(examples: DataFrame) -> tuple[dict[bytes, int], int]:
+    """The examples' words with their number of examples, and the number of examples."""
+
+    def count(batches):
+        for b in batches:
+            held = Counter({b"": len(b)})
+            for text in b["text"]:
+                held.update(counted(text).keys())
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
-    def __init__(self, frequencies: dict[bytes, int], examples: int):
-        self.index = {f: n for n, f in enumerate(sorted(frequencies))}
-        self.idf = np.array([math.log((1 + examples) / (1 + frequencies[f])) + 1 for f in sorted(frequencies)])
+    rows = examples.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    words = dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    return words, words.pop(b"", 0)
+
+
+class Vectors:
+    """Texts as sparse unit vectors over the examples' words and, numbered after them, the telling features."""
+
+    def __init__(self, words: dict[bytes, int], telling: dict[bytes, int], examples: int):
+        """Both with their number of examples."""
+        self.index = {f: n for n, f in enumerate(sorted(words))}
+        self.telling = {f: len(words) + n for n, f in enumerate(sorted(telling))}
+        idf = lambda n: math.log((1 + examples) / (1 + n)) + 1
+        self.idf = np.array([*(idf(words[f]) for f in sorted(words)), *(idf(telling[f]) for f in sorted(telling))])
+        self.strange = idf(0)
         self.held: dict[bytes, tuple[int, ...]] = {}
 
+    def __len__(self) -> int:
+        return len(self.idf)
+
     def __getstate__(self):
         return self.__dict__ | {"held": {}}
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         totals: Counter = Counter()
-        held = self.held
+        held, strange = self.held, 0.0
         for word, n in counted(text).items():
             own = held.get(word)
             if own is None:
                 if len(held) > _HELD:
                     held.clear()
-                own = held[word] = tuple(self.index[f] for f in features_of(word) if f in self.index)
+                own = held[word] = (self.index.get(word, -1), *(self.telling[f] for f in features_of(word) if f in self.telling))
             for f in own:
                 totals[f] += n
+            if own[0] < 0:
+                strange += ((1 + math.log(n)) * self.strange) ** 2
+        totals.pop(-1, None)
         which = np.array(sorted(totals), np.int64)
         weight = (1 + np.log(np.array([totals[f] for f in which.tolist()], float))) * self.idf[which]
-        return which, weight / (np.sqrt((weight**2).sum()) or 1)
+        plain = int(np.searchsorted(which, len(self.index)))
+        told = len(which) > plain
+        weight[:plain] *= math.sqrt(1 - TELLING * told) / (math.sqrt((weight[:plain] ** 2).sum() + strange) or 1)
+        weight[plain:] *= math.sqrt(TELLING) / (math.sqrt((weight[plain:] ** 2).sum()) or 1)
+        return which, weight
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts .. starts + sizes - 1 of each, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class BlockMaxIndex:
@@ -105,28 +144,63 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], features: int):
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        rows = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
-        cols = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])
+        cols = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
-        order = np.lexsort((rows, cols))
-        self.rows, self.weight = rows[order].astype(np.int32), weight[order]
-        # Where each feature's postings of each block begin; a feature's end is the next one's first place.
-        cell = np.arange(features * self.blocks + 1)
-        self.at = np.searchsorted(cols[order] * self.blocks + self.rows // BLOCK, cell).astype(np.int32)
-        self.top = np.zeros((features, self.blocks))
-        np.maximum.at(self.top, (cols, rows // BLOCK), weight)
-
-    def _read(self, which: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The exact cosines of the examples in these blocks, where above 0."""
-        cells = (which[:, None] * self.blocks + blocks[None, :]).ravel()
-        starts = self.at[cells]
-        sizes = self.at[cells + 1] - starts
-        ends = np.cumsum(sizes)
-        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]))
-        scores = np.bincount(self.rows[at], self.weight[at] * np.repeat(np.repeat(weight, len(blocks)), sizes), self.n)
+        order = np.argsort(cols, kind="stable")
+        self.rows, self.weight, self.starts = rows[order], weight[order], np.append(0, np.cumsum(np.bincount(cols, minlength=features)))
+        self.ready = False
+
+    def __getstate__(self):
+        """Postings only, in half the bytes; the rest is made where they arrive."""
+        rows = self.rows.astype(np.uint16 if self.n <= 1 << 16 else np.int32)
+        return {"n": self.n, "blocks": self.blocks, "rows": rows, "weight": self.weight.astype(np.float32), "starts": self.starts, "ready": False}
+
+    def __setstate__(self, state):
+        self.__dict__ = state | {"rows": state["rows"].astype(np.int32), "weight": state["weight"].astype(float)}
+
+    def prepare(self) -> None:
+        if self.ready:
+            return
+        features, blocks = len(self.starts) - 1, max(1, self.blocks)
+        cols = np.repeat(np.arange(features, dtype=np.int32), np.diff(self.starts))
+        # By example, for the cosines of single ones.
+        order = np.argsort(self.rows, kind="stable")
+        self.own, self.own_weight = cols[order], self.weight[order]
+        self.own_at = np.append(0, np.cumsum(np.bincount(self.rows, minlength=self.n)))
+        # A cell is a feature's postings in one block: its block, where they begin, and the largest weight.
+        key = cols.astype(np.int64) * blocks + self.rows // BLOCK
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        self.cell_at, self.cell_block = np.append(begin, len(key)).astype(np.int32), (key[begin] % blocks).astype(np.int32)
+        self.cell_top = np.maximum.reduceat(self.weight, begin) if len(begin) else np.empty(0)
+        self.cells = np.searchsorted(cols[begin], np.arange(features + 1))
+        self.top = np.zeros(features)
+        np.maximum.at(self.top, cols[begin], self.cell_top)
+        self.query = np.zeros(features)
+        self.ready = True
+
+    def vector(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        self.prepare()
+        z = slice(self.own_at[n], self.own_at[n + 1])
+        return self.own[z].astype(np.int64), self.own_weight[z]
+
+    def _read(self, cells: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples in these cells and what the cells add to their cosines, where above 0; weight: the query's, for each cell."""
+        sizes = self.cell_at[cells + 1] - self.cell_at[cells]
+        at = _spans(self.cell_at[cells], sizes)
+        scores = np.bincount(self.rows[at], self.weight[at] * np.repeat(weight, sizes), self.n)
         found = np.flatnonzero(scores > 0)
         return found, scores[found]
 
+    def _exact(self, rows: np.ndarray, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The cosines of these examples."""
+        self.query[which] = weight
+        sizes = self.own_at[rows + 1] - self.own_at[rows]
+        at = _spans(self.own_at[rows], sizes)
+        out = np.bincount(np.repeat(np.arange(len(rows)), sizes), self.own_weight[at] * self.query[self.own[at]], len(rows))
+        self.query[which] = 0
+        return out
+
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest with a cosine above 0; ties go to the lower position.
 
@@ -135,18 +209,33 @@ class BlockMaxIndex:
         which, weight = vector
         if not len(which) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        bound = weight @ self.top[which]
+        self.prepare()
+        sizes = self.cells[which + 1] - self.cells[which]
+        cells, own = _spans(self.cells[which], sizes), np.repeat(np.arange(len(which)), sizes)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, self.cell_top[cells] * weight[own], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         if not len(order):
             return np.empty(0, np.int64), np.empty(0)
-        found, cosine = self._best(*self._read(which, weight, order[:FIRST_BLOCKS]), k, without)
-        rest = order[FIRST_BLOCKS:]
-        if len(found) == k:
-            rest = rest[bound[rest] >= cosine[-1] - 1e-9]
-        if len(rest):
-            more, more_cosine = self._read(which, weight, rest)
-            found, cosine = self._best(np.concatenate([found, more]), np.concatenate([cosine, more_cosine]), k, without)
+        read = np.zeros(self.blocks, bool)
+        read[order[:FIRST_BLOCKS]] = True
+        now = read[block]
+        found, cosine = self._best(*self._read(cells[now], weight[own[now]]), k, without)
+        least = cosine[-1] - 1e-9 if len(found) == k else 0.0
+        rest = ~read & (bound > 0) & (bound >= least)
+        if rest.any():
+            # Features that together cannot reach the k-th best name no candidate; they count for those that others name.
+            most = weight * self.top[which]
+            rising = np.argsort(most, kind="stable")
+            sums = np.cumsum(most[rising])
+            few = int(np.searchsorted(sums, least))
+            names = np.ones(len(which), bool)
+            names[rising[:few]] = False
+            now = rest[block] & names[own]
+            more, part = self._read(cells[now], weight[own[now]])
+            more = more[part + (sums[few - 1] if few else 0.0) >= least]
+            found, cosine = self._best(np.concatenate([found, more]), np.concatenate([cosine, self._exact(more, which, weight)]), k, without)
         return found, cosine
 
     @staticmethod
@@ -174,24 +263,28 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Votes of the nearest examples, calibrated."""
 
-    def __init__(self, frame: pd.DataFrame, frequencies: dict[bytes, int]):
-        """frame: doc_id, text, toxic."""
-        self.vectors = Vectors(frequencies, len(frame))
-        made = [self.vectors(t) for t in frame["text"]]
+    def __init__(self, vectors: Vectors, ids: np.ndarray, toxic: np.ndarray, made: list[tuple[np.ndarray, np.ndarray]]):
+        """The examples' ids, labels and vectors."""
+        self.vectors = vectors
         # Examples with the same leading feature lie together, which keeps the blocks' bounds tight.
         lead = [(int(v[0][np.argmax(v[1])]) if len(v[0]) else 1 << 30) for v in made]
-        order = np.lexsort((frame["doc_id"].to_numpy(), frame["toxic"].to_numpy(), lead)) if len(frame) else []
-        made = [made[n] for n in order]
-        self.toxic = frame["toxic"].to_numpy(float)[order] if len(frame) else np.empty(0)
-        self.ids = frame["doc_id"].to_numpy(np.int64)[order] if len(frame) else np.empty(0, np.int64)
-        self.index = BlockMaxIndex(made, len(frequencies))
-        self.prior = float(self.toxic.mean()) if len(frame) else 0.0
-        bare = np.array([not len(v[0]) for v in made], bool)
+        order = np.lexsort((ids, toxic, lead))
+        self.toxic, self.ids = toxic[order].astype(float), ids[order]
+        self.index = BlockMaxIndex([made[n] for n in order], len(vectors))
+        self.prior = float(self.toxic.mean()) if len(toxic) else 0.0
+        bare = np.array([not len(made[n][0]) for n in order], bool)
         self.bare = float((self.toxic[bare].sum() + self.prior) / (bare.sum() + 1))
+        self.full = np.flatnonzero(~bare)
         self.seen: dict[bytes, tuple] = {}
-        full = np.flatnonzero(~bare)
-        own = np.array([self.vote(made[n], int(n))[0] for n in full])
-        self.ends, self.values = isotonic(own, self.toxic[full]) if len(full) else (np.array([1.0]), np.array([self.prior]))
+        self.ends, self.values = np.array([1.0]), np.array([self.prior])
+
+    def calibrate(self, own: np.ndarray) -> None:
+        """own: the votes on the examples in `full`, each without itself."""
+        ends, values = isotonic(own, self.toxic[self.full])
+        # From where a step's votes begin to where they end its value holds; between two steps it rises in a line.
+        known = np.sort(own)
+        begins = known[np.searchsorted(known, np.append(-1.0, ends[:-1]), side="right")]
+        self.ends, self.values = np.stack([begins, ends], 1).ravel(), np.repeat(values, 2)
 
     def __getstate__(self):
         return self.__dict__ | {"seen": {}}
@@ -210,8 +303,7 @@ class Model:
             if len(self.seen) > 20_000:
                 self.seen.clear()
             vote, at, cosine = self.vote(vector)
-            step = min(int(np.searchsorted(self.ends, vote)), len(self.values) - 1)
-            self.seen[key] = float(min(1.0, max(0.0, self.values[step]))), self.ids[at].tolist(), cosine.tolist()
+            self.seen[key] = float(np.interp(vote, self.ends, self.values)), self.ids[at].tolist(), cosine.tolist()
         return self.seen[key]
 
 
@@ -224,17 +316,36 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPL
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "id long, toxic int")
     texts = keyed_texts(docs).where("doc_id is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
-    frequencies = choose_features(texts)
-    # What comes to the driver is each example cut down to the words that carry a kept feature.
-    useful = set(frequencies)
-
-    def cut(batches):
+    examples = Table(texts, "examples")
+    texts = examples.read()
+    telling = choose_features(texts)
+    words, n = word_counts(texts)
+    vectors = Vectors(words, telling, n)
+    held = spark.sparkContext.broadcast(vectors)
+
+    def make(batches):
         for b in batches:
-            kept = [" ".join(w.decode("utf-8", "ignore") for w in plain_words(t) if not useful.isdisjoint(features_of(w))) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": kept, "toxic": b["toxic"]})
-
-    frame = texts.mapInPandas(cut, "doc_id long, text string, toxic int").toPandas()
-    return Model(frame.drop_duplicates().reset_index(drop=True), frequencies)
+            made = [held.value(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "which": [w.astype("<i4").tobytes() for w, _ in made], "weight": [x.tobytes() for _, x in made]})
+
+    rows = texts.mapInPandas(make, "doc_id long, toxic int, which binary, weight binary").distinct().toArrow()
+    examples.drop()
+    made = [(np.frombuffer(w, "<i4"), np.frombuffer(x)) for w, x in zip(rows["which"].to_pylist(), rows["weight"].to_pylist(), strict=True)]
+    model = Model(vectors, np.array(rows["doc_id"].to_pylist(), np.int64), np.array(rows["toxic"].to_pylist(), np.int64), made)
+    del rows, made
+    if len(model.full):
+        ready = spark.sparkContext.broadcast(model)
+
+        def votes(batches):
+            for b in batches:
+                yield pd.DataFrame({"n": b["n"], "vote": [ready.value.vote(ready.value.index.vector(n), n)[0] for n in b["n"].tolist()]})
+
+        places = spark.createDataFrame(pd.DataFrame({"n": model.full})).repartition(slices_of(len(model.full), 500, 1))
+        own = places.mapInPandas(votes, "n long, vote double").toArrow()
+        order = np.argsort(np.array(own["n"]))
+        model.calibrate(np.array(own["vote"])[order])
+        ready.destroy()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

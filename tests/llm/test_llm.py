@@ -394,6 +394,24 @@ def test_toxicity_learns_words_and_keeps_odd_rows(spark):
     assert toxicity.toxicity_query(table(spark, ["a"]), labels.limit(0)).first()["predicted"] == 0
 
 
+def test_toxicity_finds_copies_without_telling_words(spark):
+    texts = [" ".join(words(40, n) + ["scum"] * (n % 4 == 0)) for n in range(200)] + ["fifty odd zebras", "fifty odd zebras ran", "unheard"]
+    labels = spark.createDataFrame([(n, int(n % 4 == 0)) for n in range(201)], "doc_id long, toxic int")
+    docs = table(spark, texts)
+    model = toxicity.fit_model(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(got[n]["neighbours"][0] == n and got[n]["cosines"][0] == pytest.approx(1) for n in range(201))
+    assert got[201]["neighbours"][0] == 200 and 0.7 < got[201]["cosines"][0] < 0.9 and got[202]["neighbours"] == []
+    made = [model.vectors(t) for t in texts]
+    unit = np.zeros((len(made), len(model.vectors)))
+    for n, (which, weight) in enumerate(made):
+        unit[n, which] = weight
+    for n in range(0, 202, 7):
+        cosine = unit[:201] @ unit[n]
+        best = np.sort(cosine[cosine > 0])[::-1][:15]
+        assert np.allclose(got[n]["cosines"], best)
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(3)
     dense = r.random((500, 30)) * (r.random((500, 30)) < 0.15)
