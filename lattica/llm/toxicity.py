@@ -9,9 +9,9 @@ Every text is compared with the examples by the exact cosine of these vectors th
 lie in blocks of examples, each feature knows its largest weight in each block, blocks with the highest upper bounds are
 read first, and what the others could add is read only where it can still enter the top K.
 
-The K nearest vote with weight 1 / (1.05 - cosine), with the share of label 1 among all examples as a prior vote. Votes
-become scores by isotonic regression over the examples' own votes, each taken without itself and with equal texts counted
-once. Texts that share no word with the examples (empty ones too) get the share of label 1 among such examples.
+The K nearest vote with weight 1 / (1.05 - cosine), with the share of label 1 among all examples as a prior vote. Equal
+example texts are one example with the share of label 1 among them, named by the lowest id. Votes become scores by isotonic
+regression over the examples' own votes, each taken without itself. Texts that share no word with the examples (empty ones too) get the share of label 1 among such examples.
 """
 
 from __future__ import annotations
@@ -328,10 +328,12 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPL
             made = [held.value(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "which": [w.astype("<i4").tobytes() for w, _ in made], "weight": [x.tobytes() for _, x in made]})
 
-    rows = texts.mapInPandas(make, "doc_id long, toxic int, which binary, weight binary").distinct().toArrow()
+    # Equal texts are one example: the lowest id, the share of label 1.
+    each = texts.mapInPandas(make, "doc_id long, toxic int, which binary, weight binary").groupBy("which", "weight")
+    rows = each.agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic")).toArrow()
     examples.drop()
     made = [(np.frombuffer(w, "<i4"), np.frombuffer(x)) for w, x in zip(rows["which"].to_pylist(), rows["weight"].to_pylist(), strict=True)]
-    model = Model(vectors, np.array(rows["doc_id"].to_pylist(), np.int64), np.array(rows["toxic"].to_pylist(), np.int64), made)
+    model = Model(vectors, np.array(rows["doc_id"].to_pylist(), np.int64), np.array(rows["toxic"].to_pylist(), float), made)
     del rows, made
     if len(model.full):
         ready = spark.sparkContext.broadcast(model)

@@ -412,6 +412,13 @@ def test_toxicity_finds_copies_without_telling_words(spark):
         assert np.allclose(got[n]["cosines"], best)
 
 
+def test_equal_toxicity_examples_are_one(spark):
+    texts = [" ".join(words(20, n)) for n in range(30)] + ["the very same words"] * 40
+    labels = spark.createDataFrame([(n, int(n % 4 == 0)) for n in range(70)], "doc_id long, toxic int")
+    model = toxicity.fit_model(table(spark, texts), labels)
+    assert sorted(model.ids.tolist()) == list(range(31)) and model.toxic[model.ids.tolist().index(30)] == pytest.approx(0.25)
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(3)
     dense = r.random((500, 30)) * (r.random((500, 30)) < 0.15)
