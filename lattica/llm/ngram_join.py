@@ -3,41 +3,44 @@
 1. Sets. Every whole text becomes its sorted set of 64-bit shingle hashes - one global order. Documents with equal sets form
    one class; only classes go on, so thousands of copies are one.
 2. Candidates, exactly and in linear space. Two sets of sizes x <= y with Jaccard >= t differ in at most
-   k = (1 - t) / (1 + t) * (x + y) elements. Sizes are cut into bands; in each band the hash space is cut into k + 1 + SPARE
-   parts, so at least SPARE + 1 parts of a similar pair are identical. A class sends one signature (the hash of a part's
-   subset) for each part that is not empty - for the empty ones too if it has more than SPARE of them, which keeps the
-   argument whole - in its own band, and in the one below if a partner may lie there. Signatures met once go no further.
-   Equal signatures are tied as a star to their least class, within each task before anything travels and again in each
-   bucket after, so a signature that very many classes share is a row per task, never a pair per pair.
-   Shingles that are frequent in the corpus (at most HEAVY_MOST, found by counting) would tie unlike texts that share a
-   passage. The argument holds in any part of the hash space, so a set sends the signatures of what is left without them;
-   where less than LIGHT_PART is left, on its own side or possibly on a partner's, those of the whole set go too.
-3. Clusters are the components of those stars. No similar pair spans two clusters.
+   k = (1 - t) / (1 + t) * (x + y) elements. Sizes are cut into bands; in each band the hash space is cut into
+   k + 1 + spare parts (spare is a SPARE-th of k), so at least spare + 1 parts of a similar pair are identical. A class sends
+   one signature (the hash of a part's subset) for each part that is not empty - for the empty ones too if it has more than
+   spare of them, which keeps the argument whole - in its own band, and in those below if a partner may lie there.
+   Signatures met once go no further. Equal signatures are tied as a star to their least class, within each task before
+   anything travels and again in each bucket after, so a signature that very many classes share is a row per task, never a
+   pair per pair. Shingles that are frequent in the corpus (at most HEAVY_MOST, found by counting) would tie unlike texts
+   that share a passage. The argument holds in any part of the hash space, so a set sends the signatures of what is left
+   without them; where less than LIGHT_PART is left, on its own side or possibly on a partner's, those of the whole set go too.
+3. Clusters are the components of those stars. No similar pair spans two clusters. Clusters above BLOCK_TOKENS are cut by the
+   signatures of up to REFINE other salts, taken within the cluster: similar pairs stay together under every salt.
 4. In each cluster a prefix tree holds the sets, their elements in one order (rare ones first); equal beginnings share a
    path and its overlap is counted once. A set is run down the paths whose sets share an element of the prefix with it; a
    subtree is left as soon as the shared part so far plus what can remain on both sides is too small, and a group of sets
-   when it is already in the component at hand. A cluster above BLOCK_TOKENS is cut into blocks: each
-   block is joined alone; then a few sets stand for each larger component of a block, and these are joined in turn;
-   at last the sets outside the cluster's largest component are run against every block. So no link between different
-   components is lost and no task holds a whole large cluster.
+   when it is already in the component at hand. What stays above BLOCK_TOKENS goes through large_edges().
+
+Sets are named by 63-bit digests of their 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import MASK63, Table, keyed_texts, mix64, slices_of, tidy
+from .shared import MASK63, Table, keyed_texts, mix64, slices_of, text_of, tidy
 from .words import shingle_set
 
 SPARE = 10
-BAND = 1.6
+BAND = 1.3
+REFINE = 2
+ASK_FIRST = 4
 BUCKET_SIGNATURES = 500_000
 FLUSH_SIGNATURES = 3_000_000
 BLOCK_TOKENS = 1_000_000
@@ -48,6 +51,7 @@ LIGHT_PART = 0.5
 PROBE = 48
 STANDS = 4
 BROADCAST_ROWS = 500_000
+EDGE = "a long, b long"
 
 
 def set_digest(s: np.ndarray) -> int:
@@ -88,50 +92,59 @@ def heavy_shingles(rows: DataFrame) -> np.ndarray:
     return np.sort(top["doc_id"].to_numpy(np.int64).view(np.uint64))
 
 
-def bands_of(n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(band, parts) for a set of n elements; the similarity is num / den."""
-    own = math.ceil(math.log(n, BAND) - 1e-9) if n > 1 else 0
-    while BAND ** (own - 1) >= n:
+def bands_of(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(band, parts, spare) for a set of n elements; the similarity is num / den.
+
+    A pair meets in the band of its smaller set, so a set also sends to every band below whose largest size it may join.
+    """
+    own = max(0, math.ceil(math.log(n, BAND)))
+    while own and math.floor(BAND ** (own - 1) + 1e-9) >= n:
         own -= 1
-    while BAND**own < n:
+    while math.floor(BAND**own + 1e-9) < n:
         own += 1
     out = []
-    for band in {own, own - 1}:
+    for band in range(own, -1, -1):
         top = math.floor(BAND**band + 1e-9)  # the largest size of the band; a partner from above is at most top * den / num
-        low = BAND ** (band - 1)
-        if band == own or (band >= 0 and n * num <= top * den and top > low):
-            # Pairs whose smaller set is in this band: x <= top, y <= x * den / num.
-            most = math.floor((den - num) * (top + math.floor(top * den / num)) / (den + num))
-            out.append((band, most + 1 + SPARE))
+        if top * den < n * num:
+            break
+        if band and top == math.floor(BAND ** (band - 1) + 1e-9) and band != own:
+            continue  # no size is in this band
+        most = (den - num) * (top + top * den // num) // (den + num)
+        spare = -(-most // SPARE)
+        out.append((band, most + 1 + spare, spare))
     return out
 
 
-def signatures(s: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Of the set without heavy shingles if at least LIGHT_PART is left; of the whole set if that, or a partner's, may not be."""
+def signatures(s: np.ndarray, heavy: np.ndarray, num: int, den: int, salt: int = 0) -> np.ndarray:
+    """Of the set without heavy shingles if at least LIGHT_PART is left; of the whole set if that, or a partner's, may not be.
+
+    Another salt cuts the hash space anew; similar pairs share a signature under every salt.
+    """
     light = s[heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] != s] if len(heavy) else s
     rest = len(light) / len(s)
     ratio = den / num
     out = []
     if rest >= LIGHT_PART:
-        out.append(_part_hashes(light, len(s), 0, num, den))
+        out.append(_part_hashes(light, len(s), 2 * salt, num, den))
     if rest < LIGHT_PART * ratio + (den - num) / (den + num) * (1 + ratio):
-        out.append(_part_hashes(s, len(s), 1, num, den))
+        out.append(_part_hashes(s, len(s), 2 * salt + 1, num, den))
     return np.concatenate(out)
 
 
 def _part_hashes(s: np.ndarray, size: int, kind: int, num: int, den: int) -> np.ndarray:
     out = []
-    for band, parts in bands_of(size, num, den):
-        salt = 2 * band + kind
-        part = (mix64(s ^ np.uint64(0xA5A5 + salt)) % np.uint64(parts)).astype(np.int64)
+    for band, parts, spare in bands_of(size, num, den):
+        salt = (kind << 16) + band
+        hashes = mix64(s ^ np.uint64(0xA5A5_0000_0000 + salt))
+        part = (hashes % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        held, groups = part[order], mix64(s[order] + np.uint64(salt + 7))
-        starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(s) else np.empty(0, np.int64)
+        held, groups = part[order], mix64(hashes[order])
+        starts = np.flatnonzero(np.diff(held, prepend=-1))
         which, sums = held[starts], np.add.reduceat(groups, starts) if len(s) else groups
-        if parts - len(starts) > SPARE:
+        if parts - len(starts) > spare:
             none = np.setdiff1d(np.arange(parts), which)
             which, sums = np.concatenate([which, none]), np.concatenate([sums, np.zeros(len(none), np.uint64)])
-        out.append(mix64(sums ^ mix64((which + (salt + 3) * 1_000_003).astype(np.uint64))))
+        out.append(mix64(sums ^ mix64(which.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(salt))))
     return np.concatenate(out)
 
 
@@ -389,86 +402,146 @@ def _edges_of(frame: pd.DataFrame, num: int, den: int, roots=None, asking=None)
     return pd.DataFrame({"a": cids[found], "b": cids})
 
 
-def verified_edges(sets: Table, num: int, den: int) -> DataFrame:
+def refined(names: DataFrame, every: DataFrame, heavy, num: int, den: int, salt: int) -> DataFrame:
+    """names: cluster, cid, n. The same under the clusters that another salt's signatures leave; sets left alone go."""
+
+    def send(batches):
+        for b in batches:
+            own = [signatures(np.frombuffer(x, np.uint64), heavy.value, num, den, salt) for x in b["elements"]]
+            size = [len(x) for x in own]
+            place = mix64(np.repeat(b["cluster"].to_numpy(np.int64).view(np.uint64), size))
+            yield pd.DataFrame({"sig": (np.concatenate(own) ^ place).view(np.int64), "cid": np.repeat(b["cid"].to_numpy(np.int64), size)})
+
+    placed = names.select("cluster", "cid").join(every.select("cid", "elements"), "cid")
+    sent = Table(placed.mapInPandas(send, "sig long, cid long"), "refined").read()
+    least = sent.groupBy("sig").agg(F.min("cid").alias("a"), F.max("cid").alias("most")).where("a <> most").select("sig", "a")
+    stars = sent.join(least, "sig").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+    found = connected_components(Table(stars, "refined-stars").read()).select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
+    return names.select("cid", "n").join(found, "cid").select("cluster", "cid", "n")
+
+
+def verified_edges(sets: Table, heavy, num: int, den: int) -> DataFrame:
     """sets: cluster, cid, n, elements. Edges (a, b), self-edges among them, whose components are those of the true links.
 
     Elements are written once, in sets; what is written after holds only names.
     """
     every = sets.read()
-    sizes = every.groupBy("cluster").agg(F.sum("n").alias("tokens"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")
-    plan = Table(sizes.select("cluster", blocks), "blocks")
-    dealt = every.join(plan.read(), "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    edge = "a long, b long"
-
-    def alone(frame: pd.DataFrame) -> pd.DataFrame:
-        return _edges_of(frame.drop_duplicates("cid").sort_values("cid", ignore_index=True), num, den)
-
-    edges = Table(dealt.groupBy("cluster", "block").applyInPandas(alone, edge), "block-edges").read()
-    tidy(sets.spark)
-    if plan.read().where("blocks > 1").isEmpty():
-        return edges
-    large = every.join(plan.read().where("blocks > 1"), "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    # A few sets stand for each larger component of a block, so that those which the cut has parted find together again.
-    roots = connected_components(edges).withColumnRenamed("node", "cid")
-    names = large.select("cluster", "cid", "n", "blocks", "block").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    named = Table(names.dropDuplicates(["cid"]), "named").read()
+    names, edges = every.select("cluster", "cid", "n"), None
+    for salt in range(1, REFINE + 2):
+        tokens = Table(names.groupBy("cluster").agg(F.sum("n").alias("tokens")), "tokens").read()
+        small = tokens.where(F.col("tokens") <= BLOCK_TOKENS).select("cluster")
+        ready = every if salt == 1 else names.select("cluster", "cid").join(every.drop("cluster"), "cid")
+        found = Table(ready.join(small, "cluster").groupBy("cluster").applyInPandas(functools.partial(_alone, num, den), EDGE), "cluster-edges").read()
+        edges = found if edges is None else edges.union(found)
+        tidy(sets.spark)
+        large = tokens.where(F.col("tokens") > BLOCK_TOKENS).select("cluster")
+        if large.isEmpty():
+            return edges
+        names = names.join(large, "cluster").dropDuplicates(["cid"])
+        if salt <= REFINE:
+            names = Table(refined(names, every, heavy, num, den, salt), "names").read()
+    return edges.union(large_edges(names, every, num, den))
+
+
+def _alone(num: int, den: int, frame: pd.DataFrame) -> pd.DataFrame:
+    return _edges_of(frame.drop_duplicates("cid").sort_values("cid", ignore_index=True), num, den)
+
+
+def blocks_by_size(names: DataFrame) -> DataFrame:
+    """names with a block: sets of like size together, about BLOCK_TOKENS elements in each. A size that alone has more is cut by hash."""
+    per = names.groupBy("cluster", "n").agg((F.count("*") * F.col("n")).alias("tokens"))
+    before = F.sum("tokens").over(Window.partitionBy("cluster").orderBy("n")) - F.col("tokens")  # one row for each size there is
+    group = F.floor(before / BLOCK_TOKENS)
+    cut = per.select("cluster", "n", F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("cuts"), group.alias("group"))
+    own = F.when(F.col("cuts") > 1, F.struct(F.col("n").alias("x"), F.pmod(F.xxhash64("cid"), F.col("cuts")).alias("y")))
+    own = F.coalesce(own, F.struct((-1 - F.col("group")).alias("x"), F.lit(0).cast("long").alias("y")))
+    return names.join(cut, ["cluster", "n"]).withColumn("block", F.xxhash64("cluster", own)).drop("cuts", "group")
+
+
+def large_edges(names: DataFrame, every: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges of the clusters that no salt makes small. names: cluster, cid, n.
+
+    1. Blocks of sets of like size are joined alone. 2. STANDS sets stand for each larger component of a block; they are
+    joined again, so that a component which the cut has parted is one. 3. Sets outside their cluster's largest component ask
+    the blocks whose sizes they may link with: first ASK_FIRST of them, and those still outside all the others. A task holds
+    one block and about BLOCK_TOKENS of askers.
+    """
+    named = Table(blocks_by_size(names), "blocks").read()
+    elements = every.select("cid", "elements").dropDuplicates(["cid"])
+    parts = named.select("cluster", "block", "cid").join(elements, "cid")
+    edges = Table(parts.groupBy("block").applyInPandas(functools.partial(_alone, num, den), EDGE), "block-edges").read()
+
+    def with_roots(edges: DataFrame) -> DataFrame:
+        roots = connected_components(edges).select(F.col("node").alias("cid"), "root")
+        return Table(named.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted").read()
+
+    rooted = with_roots(edges)
     mark = F.xxhash64("cid")
-    counted = named.groupBy("cluster", "root", F.pmod(mark, F.lit(STANDS)).alias("s")).agg(F.min_by("cid", mark).alias("cid"), F.count("*").alias("c"))
-    many = counted.groupBy("root").agg(F.sum("c").alias("c")).where(F.col("c") >= STANDS).select("root")
-    stand = named.join(counted.join(many, "root").select("cid"), "cid", "left_semi").select("cluster", "cid", "n")
-    again = stand.groupBy("cluster").agg(F.sum("n").alias("tokens")).select("cluster", blocks.alias("parts"))
-    redealt = stand.join(again, "cluster").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int"))
-    standing = redealt.select("cluster", "part", "cid").join(every.select("cid", "elements"), "cid")
-    more = Table(standing.groupBy("cluster", "part").applyInPandas(alone, edge), "stand-edges").read()
-    met = more.join(named.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(named.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
-    above = connected_components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    above = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = Table(named.join(above, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "renamed").read()
-    edges = edges.union(more)
-    # The sets outside the largest component of their cluster go to every block of it.
-    per = named.groupBy("cluster", "root").agg(F.count("*").alias("c"))
-    best = per.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
-    marked = named.join(best, "cluster").withColumn("asks", F.col("root") != F.col("main"))
-    marked = Table(marked.select("cluster", "cid", "block", "blocks", "root", "asks"), "marked").read()
-    there = marked.where("asks").withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    every_place = marked.withColumn("asks", F.lit(False)).unionByName(there.where("own <> block").drop("own"))
-
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        if not frame["asks"].any():
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        frame = frame.drop_duplicates("cid").sort_values("cid", ignore_index=True)
-        return _edges_of(frame, num, den, frame["root"].tolist(), frame["asks"].tolist())
-
-    placed = every_place.select("cluster", "block", "cid", "root", "asks").join(every.select("cid", "elements"), "cid")
-    last = Table(placed.groupBy("cluster", "block").applyInPandas(ask, edge), "asked-edges").read()
-    tidy(sets.spark)
-    return edges.union(last)
+    picked = rooted.groupBy("cluster", "root", F.pmod(mark, F.lit(STANDS)).alias("s")).agg(F.min_by("cid", mark).alias("cid"), F.min_by("n", mark).alias("n"), F.count("*").alias("c"))
+    many = picked.groupBy("root").agg(F.sum("c").alias("c")).where(F.col("c") >= STANDS).select("root")
+    stands = Table(blocks_by_size(picked.join(many, "root").select("cluster", "cid", "n")), "stands").read()
+    parts = stands.select("block", "cid").join(elements, "cid")
+    edges = edges.union(Table(parts.groupBy("block").applyInPandas(functools.partial(_alone, num, den), EDGE), "stand-edges").read())
+    ranges = Table(named.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "ranges").read()
+    for first in (True, False):
+        rooted = with_roots(edges)
+        per = rooted.groupBy("cluster", "root").agg(F.count("*").alias("c"))
+        main = per.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
+        askers = rooted.join(main, "cluster").where("root <> main").select("cluster", "cid", "n", F.col("block").alias("home"), "root")
+        fits = (F.col("low") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("high") * den) & (F.col("block") != F.col("home"))
+        visits = askers.join(ranges, "cluster").where(fits).select("cluster", "block", "cid", "n", "root")
+        if first:
+            near = Window.partitionBy("cid").orderBy(F.xxhash64("cid", "block"))
+            visits = visits.withColumn("turn", F.row_number().over(near)).where(F.col("turn") <= ASK_FIRST).drop("turn")
+        visits = Table(visits, "visits").read()
+        load = visits.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("shifts"))
+        asking = visits.join(load, "block").select("block", F.pmod(mark, F.col("shifts")).cast("int").alias("shift"), "cid", "root", F.lit(True).alias("asks"))
+        there = rooted.join(load, "block").withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("shifts") - 1)))
+        there = there.select("block", "shift", "cid", "root", F.lit(False).alias("asks"))
+
+        def ask(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["asks", "cid"], ignore_index=True)
+            return _edges_of(frame, num, den, frame["root"].tolist(), frame["asks"].tolist())
+
+        placed = there.union(asking).join(elements, "cid")
+        edges = edges.union(Table(placed.groupBy("block", "shift").applyInPandas(ask, EDGE), "asked-edges").read())
+        tidy(names.sparkSession)
+    return edges
 
 
 def ngram_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id. Documents link at Jaccard >= num / den.
 
     component_id is the least doc_id that links reach, the document's own included. Texts without words (null, empty) have
-    no shingles and link with nothing. Repeated rows each get a row. A null doc_id keeps a null id; it is never the least,
-    and its component_id is null if it links with no other. Empty input gives no rows. Columns other than doc_id and text
-    are not read.
+    no shingles and link with nothing. Repeated rows each get a row. A null doc_id keeps a null id and is never the least,
+    but links like any other; its component_id is null only if its links reach no id. Empty input gives no rows. Columns
+    other than doc_id and text are not read.
     """
-    texts = keyed_texts(docs)
+    rows, roots, classes = _rows_and_roots(keyed_texts(docs), width, num, den)
+    joined = rows.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = classes.join(roots, "cid", "left").groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("rep").alias("least"))
+    out = joined.join(least, "root", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _rows_and_roots(texts: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """texts: doc_id, text. (doc_id, n_shingles, cid) of every row; cid and root of the classes that link; cid, rep, n of all classes."""
+    spark = texts.sparkSession
     scanned = Table(class_rows(texts, width), "classes")
-    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(scanned.read()))
+    heavy = spark.sparkContext.broadcast(heavy_shingles(scanned.read()))
     rows = Table(scanned.read().where("kind = 0").drop("kind"), "rows")
+    scanned.drop()
     total = rows.read().agg(F.sum("n_shingles")).first()[0] or 0
-    classes = rows.read().where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    classes = Table(classes, "class")
+    classes = Table(rows.read().where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "class")
     stars = Table(candidate_edges(texts, total, heavy, width, num, den), "candidates")
     clusters = Table(connected_components(stars.read()), "clusters")
-    tidy(docs.sparkSession)
+    tidy(spark)
     wanted = clusters.read().select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
-    wanted = Table(wanted.join(classes.read().where("rep is not null"), "cid").select("rep", "cid", "cluster"), "wanted").read()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)  # 24 bytes a row; beyond that both sides are shuffled by id
-    picked = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("cid", "cluster", "text")
+    wanted = Table(wanted.join(classes.read(), "cid").select("rep", "cid", "cluster"), "wanted").read()
+    named = wanted.where("rep is not null")
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)  # 24 bytes a row; beyond that both sides are shuffled by id
+    picked = texts.join(named, F.col("doc_id") == F.col("rep")).select("cid", "cluster", "text")
 
     def rebuild(batches):
         for b in batches:
@@ -479,24 +552,60 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
                 "n": [len(sets[n]) for n in right], "elements": [sets[n].tobytes() for n in right],
             })
 
-    sets = picked.mapInPandas(rebuild, "cluster long, cid long, n long, elements binary")
-    sets = Table(sets, "sets")
-    tidy(docs.sparkSession)
-    roots = connected_components(verified_edges(sets, num, den))
+    def name(batches):
+        """Rows without an id are found by their set's digest; a task sends each digest once while its memory of them lasts."""
+        seen: set[int] = set()
+        for b in batches:
+            own = {}
+            for s in (shingle_set(t, width) for t in b["text"]):
+                if len(s) and (c := set_digest(s)) not in seen:
+                    seen.add(c)
+                    own[c] = s
+            if len(seen) > FLUSH_SIGNATURES:
+                seen.clear()
+            yield pd.DataFrame({"cid": list(own), "n": [len(s) for s in own.values()], "elements": [s.tobytes() for s in own.values()]})
+
+    made = picked.mapInPandas(rebuild, "cluster long, cid long, n long, elements binary")
+    nameless = wanted.where("rep is null").select("cid", "cluster")
+    if not nameless.isEmpty():
+        found = texts.where("doc_id is null").mapInPandas(name, "cid long, n long, elements binary").join(nameless, "cid")
+        made = made.unionByName(found.dropDuplicates(["cid"]))
+    sets = Table(made, "sets")
+    tidy(spark)
+    roots = Table(connected_components(verified_edges(sets, heavy, num, den)).withColumnRenamed("node", "cid"), "roots")
     sets.drop()
-    joined = rows.read().join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = classes.read().join(roots.withColumnRenamed("node", "cid"), "cid", "left").groupBy(F.coalesce("root", "cid").alias("root"))
-    least = least.agg(F.min("rep").alias("least"))
-    out = joined.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.read(), roots.read(), classes.read()
 
 
 def keep_representatives(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs, all columns, of which one document of each component stays: that with the least doc_id.
+    """The rows of docs, all columns, of which one row of each component stays: that with the least doc_id.
 
-    Rows without an id cannot be told apart by one and stay.
+    Of rows that share this doc_id, or of a component without ids, the one with the least text stays; of equal ones any.
+    Texts without words (null, empty) are no component and all stay. An empty table stays empty; columns of any name are
+    carried through.
     """
-    found = ngram_components(docs, width, num, den)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+    tagged = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    rows, roots, classes = _rows_and_roots(tagged.select("doc_id", "text"), width, num, den)
+    every = classes.join(roots, "cid", "left").groupBy(F.coalesce("root", "cid").alias("root"))
+    winners = every.agg(F.min(F.struct(F.col("rep").isNull().alias("late"), "rep", "cid")).alias("w")).select("w.rep", "w.cid")
+    winners = Table(winners, "winners").read()
+    stay = winners.select(F.col("rep").alias("doc_id")).union(rows.where("cid is null").select("doc_id"))
+    twice = Table(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice").read()
+    one = tagged.where("doc_id is not null").join(stay.distinct(), "doc_id", "left_semi")
+    unsure = tagged.where("doc_id is null")
+    if not twice.isEmpty():
+        one = one.join(twice, "doc_id", "left_anti")
+        unsure = unsure.unionByName(tagged.join(twice, "doc_id", "left_semi").select("row", "doc_id", "text"))
+    if unsure.isEmpty():
+        return one.select("row.*")
+
+    @F.pandas_udf("long")
+    def digest(text: pd.Series) -> pd.Series:
+        sets = (shingle_set(t, width) for t in text)
+        return pd.Series([set_digest(s) if len(s) else None for s in sets], dtype="Int64")
+
+    unsure = unsure.withColumn("cid", digest("text"))
+    won = winners.select(F.col("rep").alias("id"), F.col("cid").alias("own"))
+    first = unsure.join(won, (F.col("cid") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    first = first.groupBy("cid").agg(F.min_by("row", "text").alias("row"))
+    return one.select("row.*").unionByName(unsure.where("cid is null").select("row.*")).unionByName(first.select("row.*"))

@@ -284,9 +284,11 @@ def test_language_id(spark):
 # 5
 
 
-@pytest.mark.parametrize("num,den,width", [(4, 5, 5), (85, 100, 4), (1, 1, 2)])
-def test_ngram_join_by_brute_force(spark, num, den, width, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 400)
+@pytest.mark.parametrize("num,den,width,block,refine", [(4, 5, 5, 400, 2), (4, 5, 5, 100, 0), (85, 100, 4, 400, 2), (1, 1, 2, 400, 2), (1, 2, 3, 200, 1)])
+def test_ngram_join_by_brute_force(spark, num, den, width, block, refine, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(ngram_join, "REFINE", refine)
+    monkeypatch.setattr(ngram_join, "ASK_FIRST", 1)
     r = random.Random(num)
     common = words(12, 77, 50)
     texts = []
@@ -326,6 +328,28 @@ def test_ngram_join_of_odd_tables(spark):
     assert sorted(got, key=str) == [(7, 7), (7, 7), (9, 7), (None, 7)]
 
 
+def test_links_through_rows_without_ids(spark):
+    base = words(60, 3, 5000)
+    texts = [" ".join([*base[:55], *(f"x{n}" for n in range(5 * k))]) for k in range(3)]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.85
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    assert alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
+    got = ngram_join.ngram_components(table(spark, [*texts, texts[1], "alone here now ok"], [5, None, 8, None, None]), 4, 85, 100).collect()
+    assert sorted(((x["doc_id"], x["component_id"]) for x in got), key=str) == [(5, 5), (8, 5), (None, 5), (None, 5), (None, None)]
+
+
+def test_representatives_are_rows_and_not_ids(spark):
+    a, b, c = (" ".join(words(40, n, 5000)) for n in (1, 2, 3))
+    near = a.rsplit(" ", 1)[0]
+    rows = [(3, a), (3, b), (5, near), (3, a), (None, c), (None, c), (None, b), (7, ""), (7, None), (None, "")]
+    docs = clashing(table(spark, [t for _, t in rows], [i for i, _ in rows]))
+    kept = ngram_join.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    want = [(3, a), (3, b), (None, c), (7, ""), (7, None), (None, "")]
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted(want, key=str)
+    assert ngram_join.keep_representatives(table(spark, [])).count() == 0
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(n, n + 1) for n in range(500, 560)]
