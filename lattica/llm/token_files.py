@@ -7,9 +7,12 @@ MIN_PAIR places in a round takes no nonterminal and is counted again in the next
 end never form, because the end id is kept out of all pairs; so each document's symbols are a range of the
 payload, and with the rules' expansion lengths any document is decoded by itself.
 
-File layout (little-endian): magic "RPR1", counts of documents, rules and symbols (3 x u64), ids before the shard in its
-partition (u64); doc ids (i64) with their null flags (u8); each document's symbol end (u64) and id end (u64); rules (2 x u16 each), their expansion
-lengths (u32); symbols (u16, u32 where an id does not fit). Files are the binary column of a table that Spark writes and
+The letters of a grammar are the distinct ids of its shard, numbered; so the vocabulary may be of any size. A shard with more
+than 61,440 distinct ids is stored plainly.
+
+File layout (little-endian): magic "RPR2", counts of documents, rules and symbols (3 x u64), ids before the shard in its
+partition, count of letters, 1 if stored plainly (3 x u64); doc ids (i64) with their null flags (u8); each document's symbol
+end (u64) and id end (u64); letters (u32); rules (2 x u16 each), their expansion lengths (u32); symbols (u16, u32 if plain). Files are the binary column of a table that Spark writes and
 commits, so that any file system works, lost executors are retried, and no half-written file is ever read.
 """
 
@@ -30,31 +33,46 @@ SHARD_IDS = 1 << 20
 MIN_PAIR = 24
 PAIRS_A_ROUND = 4096
 _TOP = 1 << 16
+_MOST_LETTERS = _TOP - 4096
+_SLOT_BITS = 18
+_BARRED, _EMPTY = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)  # no pair: the symbol 65535 is never used
 FILE_SCHEMA = "part int, shard int, n_ids long, file binary"
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
-    return (pair * np.uint32(2654435769)) >> np.uint32(12)
-
-
-def _round(ids: np.ndarray, first_new: int, end_id: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """One replacement round: the shorter ids and the pairs replaced, in the order of their nonterminals."""
-    pair = ids[:-1].astype(np.uint32) << np.uint32(16) | ids[1:]
-    pair[(ids[:-1] == end_id) | (ids[1:] == end_id)] = 0xFFFFFFFF
+    return (pair * np.uint32(2654435769)) >> np.uint32(32 - _SLOT_BITS)
+
+
+def _round(ids: np.ndarray, first_new: int, end_id: int, since: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
+    """One replacement round: the shorter ids and the pairs replaced, in the order of their nonterminals.
+
+    since: only pairs with a symbol of at least this are counted; no other pair can have become frequent by the rounds that
+    made these symbols.
+    """
+    places = None
+    left, right = ids[:-1], ids[1:]
+    if since:
+        new = ids >= since
+        places = np.flatnonzero(new[:-1] | new[1:])
+        left, right = left[places], right[places]
+    pair = left.astype(np.uint32) << np.uint32(16) | right
+    pair[(left == end_id) | (right == end_id)] = _BARRED
     ordered = np.sort(pair)
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
     counts = np.diff(np.append(starts, len(ordered)))
-    often = np.flatnonzero((counts >= MIN_PAIR) & (ordered[starts] != 0xFFFFFFFF))
+    often = np.flatnonzero((counts >= MIN_PAIR) & (ordered[starts] != _BARRED))
     often = often[np.argsort(-counts[often], kind="stable")][: min(PAIRS_A_ROUND, _TOP - 1 - first_new)]
     if not len(often):
         return None
     chosen = ordered[starts[often]]
     # Two pairs may share a slot of this table; the more frequent keeps it and the other waits for the next round.
-    table_pair, table_rank = np.full(1 << 20, 0xFFFFFFFF, np.uint32), np.full(1 << 20, 0xFFFF, np.uint16)
+    table_pair, table_rank = np.full(1 << _SLOT_BITS, _EMPTY, np.uint32), np.zeros(1 << _SLOT_BITS, np.uint16)
     slots = _slot(chosen)[::-1]
     table_pair[slots], table_rank[slots] = chosen[::-1], np.arange(len(chosen), dtype=np.uint16)[::-1]
     at = _slot(pair)
-    rank = np.where(table_pair[at] == pair, table_rank[at], np.uint16(0xFFFF))
+    hit = np.flatnonzero(table_pair[at] == pair)
+    rank = np.full(len(ids) - 1, 0xFFFF, np.uint16)
+    rank[hit if places is None else places[hit]] = table_rank[at[hit]]
     wins = rank != 0xFFFF
     wins[1:] &= rank[1:] <= rank[:-1]
     wins[:-1] &= rank[:-1] <= rank[1:]
@@ -74,11 +92,23 @@ def _round(ids: np.ndarray, first_new: int, end_id: int) -> tuple[np.ndarray, np
 
 
 def repair(ids: np.ndarray, end_id: int, first_new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (n x 2) and their expansion lengths."""
-    rules, symbols = np.empty((0, 2), np.uint16), ids.astype(np.uint16)
-    while len(symbols) > 1 and (made := _round(symbols, first_new + len(rules), end_id)):
+    """Symbols, rules (n x 2) and their expansion lengths.
+
+    After a round over all pairs come rounds over the pairs with a symbol of the round before, until none of those is
+    frequent; then again one over all, until that finds none.
+    """
+    rules, symbols, since = np.empty((0, 2), np.uint16), ids.astype(np.uint16), 0
+    while len(symbols) > 1:
+        top = first_new + len(rules)
+        made = _round(symbols, top, end_id, since)
+        if made is None or not len(made[1]):
+            if not since:
+                break
+            since = 0
+            continue
         symbols, chosen = made
         rules = np.concatenate([rules, np.stack([chosen >> 16, chosen & 0xFFFF], 1).astype(np.uint16)])
+        since = top
     return symbols, rules, expansion_lengths(rules, first_new)
 
 
@@ -89,21 +119,28 @@ def expansion_lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
     return length[first_new:].astype(np.uint32)
 
 
-def write_file(doc_ids: list, ends: np.ndarray, ids: np.ndarray, before: int, end_id: int, first_new: int) -> bytes:
+def write_file(doc_ids: list, ends: np.ndarray, ids: np.ndarray, before: int, end_id: int) -> bytes:
     """ends: for each document, the number of ids up to and with its end."""
-    wide = int(ids.max(initial=0)) >= first_new or first_new >= _TOP
+    seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    seen[ids] = True
+    letters = np.flatnonzero(seen)
+    wide = len(letters) > _MOST_LETTERS
     if wide:
-        symbols, rules, lengths = ids.astype("<u4"), np.empty((0, 2), np.uint16), np.empty(0, np.uint32)
+        letters, symbols, rules, lengths = letters[:0], ids.astype("<u4"), np.empty((0, 2), np.uint16), np.empty(0, np.uint32)
+        reach = np.arange(1, len(symbols) + 1)
     else:
-        symbols, rules, lengths = repair(ids, end_id, first_new)
-    every = np.ones(max(_TOP, first_new + len(rules)), np.int64)
-    every[first_new : first_new + len(rules)] = lengths
-    reach = np.cumsum(every[symbols]) if not wide else np.arange(1, len(symbols) + 1)
+        number = np.zeros(len(seen), np.uint16)
+        number[letters] = np.arange(len(letters))
+        end = int(number[end_id]) if end_id < len(seen) and seen[end_id] else _TOP - 1
+        symbols, rules, lengths = repair(number[ids], end, len(letters))
+        every = np.ones(_TOP, np.int64)
+        every[len(letters) : len(letters) + len(rules)] = lengths
+        reach = np.cumsum(every[symbols])
     symbol_ends = np.searchsorted(reach, ends) + 1
     known = np.array([0 if d is None else int(d) for d in doc_ids], "<i8")
     flags = np.array([d is None for d in doc_ids], "u1")
-    head = b"RPR1" + struct.pack("<QQQQQQ", len(doc_ids), len(rules), len(symbols), before, first_new, int(wide))
-    parts = (known, flags, symbol_ends.astype("<u8"), ends.astype("<u8"), rules.astype("<u2"), lengths.astype("<u4"), symbols.astype("<u4" if wide else "<u2"))
+    head = b"RPR2" + struct.pack("<QQQQQQ", len(doc_ids), len(rules), len(symbols), before, len(letters), int(wide))
+    parts = (known, flags, symbol_ends.astype("<u8"), ends.astype("<u8"), letters.astype("<u4"), rules.astype("<u2"), lengths.astype("<u4"), symbols.astype("<u4" if wide else "<u2"))
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -111,7 +148,7 @@ class TokenFile:
     """Reads one file; decode(n) touches the symbols of document n only."""
 
     def __init__(self, data: bytes):
-        if data[:4] != b"RPR1":
+        if data[:4] != b"RPR2":
             raise ValueError("not a token file")
         docs, rules, symbols, self.before, first_new, wide = struct.unpack_from("<QQQQQQ", data, 4)
         at = 52
@@ -125,6 +162,7 @@ class TokenFile:
         known, flags = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if f else int(d) for d, f in zip(known, flags, strict=True)]
         self.symbol_ends, self.id_ends = take("<u8", docs).astype(np.int64), take("<u8", docs).astype(np.int64)
+        self.letters = take("<u4", first_new)
         self.rules, lengths = take("<u2", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.symbols = take("<u4" if wide else "<u2", symbols)
         self.first_new, self.wide = first_new, bool(wide)
@@ -139,7 +177,7 @@ class TokenFile:
             lengths = self.length[self.first_new : self.first_new + len(self.rules)]
             offsets = _TOP + np.concatenate([[0], np.cumsum(lengths)])
             flat = np.empty(int(offsets[-1]), "<u4")
-            flat[:_TOP] = np.arange(_TOP)
+            flat[: self.first_new] = self.letters
             for n, (a, b) in enumerate(self.rules.tolist()):
                 s, cut = offsets[n], self.length[a]
                 flat[s : s + cut] = flat[starts[a] : starts[a] + cut]
@@ -159,7 +197,7 @@ class TokenFile:
         return flat[at]
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int = 49408) -> Table:
+def write_token_files(docs: DataFrame, path: str, end_id: int = 2) -> Table:
     """Documents' ids in ascending doc_id order, each closed by end_id; null doc_ids come first, null text is empty."""
 
     def encode(batches):
@@ -171,7 +209,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: i
 
         def flush():
             nonlocal shard, before, held, ids, ends, total
-            file = write_file(held, np.array(ends, np.int64), np.frombuffer(b"".join(ids), "<u4"), before, end_id, vocabulary)
+            file = write_file(held, np.array(ends, np.int64), np.frombuffer(b"".join(ids), "<u4"), before, end_id)
             row = pd.DataFrame([(part, shard, total, file)], columns=["part", "shard", "n_ids", "file"])
             shard, before, held, ids, ends, total = shard + 1, before + total, [], [], [], 0
             return row

@@ -1,8 +1,9 @@
 """Ids of public tokenizer files, fast on whole corpora: every distinct piece of text is encoded once and looked up after.
 
-Both encoders cut a text only where the tokenizer itself always cuts (before white space, and between a word and its
+Both encoders cut a text only where the tokenizer itself always cuts (before a space, and between a word and its
 punctuation), so the ids are those of encoding the whole text; a text with any white space but space and newline goes to
-the tokenizer whole. A bounded dictionary holds what was encoded; it is emptied when full, which changes no id.
+the tokenizer whole. Two bounded dictionaries hold what was encoded; when the younger is full it becomes the older and the
+older goes, so frequent pieces stay. That changes no id.
 """
 
 from __future__ import annotations
@@ -14,39 +15,61 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 300_000
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+CACHE_PIECES = 200_000
+CACHE_MARKS = 20_000
+# White space other than space and newline.
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_SIGNS = r"[!-&(-/:-@\[-`{-~]+"  # without the apostrophe, which may join what follows
+# Words of letters and signs alone; a cut lies between letters and signs, and nowhere else.
+_SIMPLE, _PARTS, _LETTER = re.compile(f"(?:{_LETTERS}+|{_SIGNS}+)++"), re.compile(f"{_LETTERS}|{_SIGNS}"), re.compile(_LETTERS)
+
+
+def _odd(text: str) -> bool:
+    return any(map(text.__contains__, _OTHER_SPACE[: 8 if text.isascii() else None]))
 
 
 class _Cached:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if _OTHER_SPACE.search(text):
-            return self.whole(text)
-        pieces = self.PIECES.findall(text)
+    def mark(self, signs: str) -> bytes:
+        known = self.marks.get(signs)
+        if known is None:
+            if len(self.marks) > CACHE_MARKS:
+                self.marks.clear()
+            known = self.marks[signs] = self.whole(signs)
+        return known
+
+    def parts(self, word: str) -> list[str] | None:
+        """The word's runs of letters and of signs, or None if it has anything else or might hold a special token."""
+        return _PARTS.findall(word) if _SIMPLE.fullmatch(word) and "<|" not in word else None
+
+    def joined(self, pieces: list[str]) -> bytes:
         try:
             return b"".join(map(self.held.__getitem__, pieces))
         except KeyError:
             pass
-        held = self.held
-        if len(held) > CACHE_PIECES:
-            held.clear()
-        for piece in set(pieces).difference(held):
-            held[piece] = self.piece(piece)
+        missing = set(pieces).difference(self.held)
+        if len(self.held) > CACHE_PIECES:
+            self.held, self.older, missing = {}, self.held, set(pieces)
+        held, older = self.held, self.older
+        for piece in missing:
+            known = older.get(piece)
+            held[piece] = self.piece(piece) if known is None else known
         return b"".join(map(held.__getitem__, pieces))
 
 
 class ByteBpe(_Cached):
     """A byte-level BPE file whose words begin with their space."""
 
-    PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+    _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -59,10 +82,33 @@ class ByteBpe(_Cached):
         # The pattern of byte-level BPE with use_regex; fixed by the tokenizer file's kind.
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.merge = self.fast._core_bpe.encode_single_piece
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.little = {i: i.to_bytes(4, "little") for i in ranks.values()}
 
-    def piece(self, piece: str) -> bytes:
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if _odd(text):
+            return self.whole(text)
+        if "  " in text or text[-1:] == " ":
+            return b"".join(map(self.encoded, self._RUNS.findall(text)))
+        # Where single spaces part the words, each word's ids are those of the word with its space.
+        first, *rest = text.split(" ")
+        return self.encoded(first) + self.joined(rest)
+
+    def piece(self, word: str) -> bytes:
+        """The ids of a space and the word."""
+        parts = self.parts(word)
+        if not parts:
+            return self.encoded(" " + word)
+        first, *rest = parts
+        return self._run(" " + first) + b"".join(map(self._run, rest))
+
+    def _run(self, run: str) -> bytes:
+        own = self.merge(run.encode())
+        return self.little[own[0]] if len(own) == 1 else b"".join([self.little[x] for x in own])
+
+    def encoded(self, piece: str) -> bytes:
         if self.special and self.special.search(piece):
             return self.whole(piece)
         return b"".join(map(self.little.__getitem__, self.fast.encode_ordinary(piece)))
@@ -71,9 +117,6 @@ class ByteBpe(_Cached):
 class WordBpe(_Cached):
     """A BPE file with word ends that lower-cases and drops white space."""
 
-    PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^ \n.,])|[.,]++(?![^ \n])|[^ \n]++")
-    _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
-
     def __init__(self, path: str):
         super().__init__(path)
         import tiktoken
@@ -94,25 +137,25 @@ class WordBpe(_Cached):
         self.little = {n: i.to_bytes(4, "little") for n, i in real.items()}
         self.merge = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    def piece(self, piece: str) -> bytes:
-        if self._LETTERS.match(piece):
-            return b"".join(map(self.little.__getitem__, self.merge(piece.lower().encode() + b"\xff")))
-        return self.whole(piece)
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers: the words' ids end to end."""
+        return self.whole(text) if _odd(text) else self.joined(text.split())
+
+    def piece(self, word: str) -> bytes:
+        if _LETTER.fullmatch(word):
+            return self._letters(word)
+        parts = self.parts(word)
+        if not parts:
+            return self.whole(word)
+        return b"".join([self._letters(x) if _LETTER.match(x) else self.mark(x) for x in parts])
+
+    def _letters(self, part: str) -> bytes:
+        own = self.merge(part.lower().encode() + b"\xff")
+        return self.little[own[0]] if len(own) == 1 else b"".join([self.little[x] for x in own])
 
     def word_ids(self, word: bytes) -> bytes:
         """The ids of one word (no ASCII white space in it); a text's ids are its words' ids end to end."""
-        text = word.decode("utf-8", "replace")
-        if _OTHER_SPACE.search(text):
-            return self.whole(text)
-        held = self.held
-        pieces = self.PIECES.findall(text)
-        for piece in pieces:
-            if piece not in held:
-                if len(held) > CACHE_PIECES:
-                    held.clear()
-                    return b"".join(map(self.piece, pieces))
-                held[piece] = self.piece(piece)
-        return b"".join(map(held.__getitem__, pieces))
+        return self.ids(word.decode("utf-8", "replace"))
 
 
 def _byte_letters() -> dict[int, str]:

@@ -579,19 +579,25 @@ def test_pairs_are_replaced_until_none_is_frequent():
     docs = [np.full(5000, 7), np.full(333, 7), *[np.concatenate([passage, r.integers(10, 9000, 3)]) for _ in range(40)], np.tile([11, 11, 12], 90), np.array([], int)]
     docs = [np.append(d, 2).astype("<u4") for d in docs]
     ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
-    data = token_files.write_file(list(range(len(docs))), ends, ids, 0, 2, 49408)
+    data = token_files.write_file(list(range(len(docs))), ends, ids, 0, 2)
     f = token_files.TokenFile(data)
     assert all(np.array_equal(f.decode(n), d) for n, d in enumerate(docs))
     symbols = f.symbols.tolist()
-    left = collections.Counter(p for p in zip(symbols, symbols[1:]) if 2 not in p)
+    end = f.letters.tolist().index(2)
+    left = collections.Counter(p for p in zip(symbols, symbols[1:]) if end not in p)
     assert max(left.values()) < token_files.MIN_PAIR and f.length.max() > 500
     assert len(symbols) < len(ids) // 50 and len(symbols[: f.symbol_ends[0]]) < 100
 
 
-def test_wide_ids_are_stored_plainly():
-    ids = np.array([70000, 5, 2, 9, 2], "<u4")
-    f = token_files.TokenFile(token_files.write_file([1, None], np.array([3, 5]), ids, 7, 2, 49408))
-    assert f.doc_ids == [1, None] and f.decode(0).tolist() == [70000, 5, 2] and f.decode(1).tolist() == [9, 2]
+def test_vocabularies_of_any_size(monkeypatch):
+    ids = np.concatenate([np.array([70000, 5, 2, 9, 2]), np.tile([90001, 5, 3_000_000, 8], 50), [2]]).astype("<u4")
+    ends = np.array([3, 5, len(ids)])
+    for wide in (False, True):
+        if wide:
+            monkeypatch.setattr(token_files, "_MOST_LETTERS", 3)
+        f = token_files.TokenFile(token_files.write_file([1, None, 4], ends, ids, 7, 2))
+        assert f.wide == wide and f.doc_ids == [1, None, 4] and f.decode(0).tolist() == [70000, 5, 2] and f.decode(1).tolist() == [9, 2]
+        assert f.decode(2).tolist() == ids[5:].tolist() and wide == (len(f.symbols) > 60)
 
 
 @pytest.mark.parametrize("kind,path", [("byte", BYTE), ("word", WORD)])
@@ -599,3 +605,17 @@ def test_cached_ids_are_the_tokenizers_own(kind, path):
     enc = encoder(kind, path)
     for t in [*filter(None, ODD[:5] + ODD[7:]), "  a\n\n b  ", "\x1c x\x85", "It's we'll 'S x's", "<|startoftext|>.a", "Aİ ﬁ Ⅷ", "a.b,c d.,. .e"]:
         assert enc.ids(t) == enc.whole(t), t
+
+
+@pytest.mark.parametrize("kind,path", [("byte", BYTE), ("word", WORD)])
+def test_ids_of_a_whole_table_are_the_tokenizers_own(kind, path, monkeypatch):
+    from lattica.llm import tokens
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3000)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    enc = tokens.ByteBpe(path) if kind == "byte" else tokens.WordBpe(path)
+    marks = [t.replace(" ", "  ", 3).replace(". ", ".\n ", 2) + " \n" * (n % 3) for n, t in enumerate(texts[:300])]
+    for t in [*texts, *marks, *(" " + t[:200] + "\n" for t in texts[:300])]:
+        assert enc.ids(t) == enc.whole(t), t
