@@ -5,9 +5,9 @@ has every word, weighted 1 + ln(tf) times idf and scaled to length one. Beside i
 that tell the labels apart (words and word beginnings of 4 to 8 bytes, by the G statistic against chance over all features
 tried; at most MAX_FEATURES), weighted and scaled alike; where a text has any, that part makes up TELLING of the squared
 length. So no word is left out, and an equal text has the cosine 1. Words that no example has count for the length alone.
-Every text is compared with the examples by the exact cosine of these vectors through a block-max inverted index: postings
-lie in blocks of examples, each feature knows its largest weight in each block, blocks with the highest upper bounds are
-read first, and what the others could add is read only where it can still enter the top K.
+Every text is compared with the examples by the exact cosine of these vectors through a block-max inverted index: examples
+lie in blocks, each frequent feature knows its largest weight in each block, the examples with the highest upper bounds are
+read first, and of the others only those that can still enter the top K.
 
 The K nearest vote with weight 1 / (1.05 - cosine), with the share of label 1 among all examples as a prior vote. Equal
 example texts are one example with the share of label 1 among them, named by the lowest id. Votes become scores by isotonic
@@ -21,33 +21,33 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Table, id_remainder, keyed_texts, slices_of, text_of
-from .words import plain_words
+from .words import plain_words, word_hashes
 
 MAX_EXAMPLES = 16_000
 MAX_FEATURES = 4096
 K = 15
 BLOCK = 64
-FIRST_BLOCKS = 4
+WIDE_PART = 16
+MANY_PART = 32
+TOGETHER = 64
+SCORED_TOGETHER = 512
 PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
 TELLING = 0.8
 _SIDES = (4, 5, 6, 7, 8)
-_HELD = 400_000
+_HELD = 200_000
+_MARGIN = 1e-5
 
 
 def features_of(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:n] for n in _SIDES if n < len(word))]
 
 
-def counted(text: str) -> Counter:
-    """Words with their counts."""
-    return Counter(plain_words(text))
-
-
 def choose_features(examples: DataFrame) -> dict[bytes, int]:
     """examples: text, toxic. The features that tell the labels apart, with their number of examples."""
 
@@ -77,70 +77,99 @@ def choose_features(examples: DataFrame) -> dict[bytes, int]:
     return {bytes(r["feature"]): r["yes"] + r["no"] for r in top.collect()}
 
 
-def word_counts(examples: DataFrame) -> tuple[dict[bytes, int], int]:
-    """The examples' words with their number of examples, and the number of examples."""
+def word_counts(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hashes of the examples' words, ascending, with their number of examples, and the number of examples."""
 
     def count(batches):
         for b in batches:
-            held = Counter({b"": len(b)})
+            held: Counter = Counter()
             for text in b["text"]:
-                held.update(counted(text).keys())
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                held.update(set(plain_words(text)))
+            yield pd.DataFrame({"word": word_hashes(list(held)).view(np.int64), "n": list(held.values())})
 
-    rows = examples.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    words = dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True))
-    return words, words.pop(b"", 0)
+    rows = examples.mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    words, n = np.array(rows["word"]).view(np.uint64), np.array(rows["n"])
+    order = np.argsort(words)
+    return words[order], n[order], examples.count()
 
 
 class Vectors:
     """Texts as sparse unit vectors over the examples' words and, numbered after them, the telling features."""
 
-    def __init__(self, words: dict[bytes, int], telling: dict[bytes, int], examples: int):
-        """Both with their number of examples."""
-        self.index = {f: n for n, f in enumerate(sorted(words))}
+    def __init__(self, words: np.ndarray, counts: np.ndarray, telling: dict[bytes, int], examples: int):
+        """words: hashes, ascending; counts, telling: their numbers of examples."""
+        self.words = words
         self.telling = {f: len(words) + n for n, f in enumerate(sorted(telling))}
-        idf = lambda n: math.log((1 + examples) / (1 + n)) + 1
-        self.idf = np.array([*(idf(words[f]) for f in sorted(words)), *(idf(telling[f]) for f in sorted(telling))])
-        self.strange = idf(0)
-        self.held: dict[bytes, tuple[int, ...]] = {}
+        idf = lambda n: np.log((1 + examples) / (1 + n)) + 1
+        self.idf = idf(np.concatenate([counts, [telling[f] for f in self.telling]]).astype(float))
+        self.strange = float(idf(0))
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the words met so far; they are numbered as they come."""
+        self.held: dict[bytes, int] = {}
+        self.place = np.empty(1 << 16, np.int64)  # by number: the word's place in the vector, -1 if no example has it
+        self.tells: dict[int, list[int]] = {}  # by number, where there are any: its telling features
 
     def __len__(self) -> int:
         return len(self.idf)
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}}
+        return self.__dict__ | {"held": {}, "tells": {}, "place": self.place[:1]}
+
+    def _numbered(self, words: list[bytes]) -> np.ndarray:
+        held = self.held
+        try:
+            return np.fromiter(map(held.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            pass
+        if len(held) > _HELD:
+            self.clear()
+            held = self.held
+        new, first = [w for w in dict.fromkeys(words) if w not in held], len(held)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
+        while len(self.place) < first + len(new):
+            self.place = np.concatenate([self.place, np.empty_like(self.place)])
+        self.place[first : first + len(new)] = np.where(self.words[at] == hashes, at, -1) if len(self.words) else -1
+        for n, word in enumerate(new, first):
+            held[word] = n
+            own = [self.telling[f] for f in features_of(word) if f in self.telling]
+            if own:
+                self.tells[n] = own
+        return np.fromiter(map(held.__getitem__, words), np.int64, len(words))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        numbers, tf = np.unique(self._numbered(plain_words(text)), return_counts=True)
+        place, weight = self.place[numbers], 1 + np.log(tf)
+        strange = ((weight[place < 0] * self.strange) ** 2).sum()
+        order = np.argsort(place)[int((place < 0).sum()) :]
+        which = place[order]
         totals: Counter = Counter()
-        held, strange = self.held, 0.0
-        for word, n in counted(text).items():
-            own = held.get(word)
-            if own is None:
-                if len(held) > _HELD:
-                    held.clear()
-                own = held[word] = (self.index.get(word, -1), *(self.telling[f] for f in features_of(word) if f in self.telling))
-            for f in own:
-                totals[f] += n
-            if own[0] < 0:
-                strange += ((1 + math.log(n)) * self.strange) ** 2
-        totals.pop(-1, None)
-        which = np.array(sorted(totals), np.int64)
-        weight = (1 + np.log(np.array([totals[f] for f in which.tolist()], float))) * self.idf[which]
-        plain = int(np.searchsorted(which, len(self.index)))
-        told = len(which) > plain
-        weight[:plain] *= math.sqrt(1 - TELLING * told) / (math.sqrt((weight[:plain] ** 2).sum() + strange) or 1)
-        weight[plain:] *= math.sqrt(TELLING) / (math.sqrt((weight[plain:] ** 2).sum()) or 1)
-        return which, weight
-
-
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places starts .. starts + sizes - 1 of each, end to end."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        for n in self.tells.keys() & numbers.tolist():
+            count = int(tf[np.searchsorted(numbers, n)])
+            for f in self.tells[n]:
+                totals[f] += count
+        plain = weight[order] * self.idf[which]
+        if not totals:
+            return which, plain / (math.sqrt((plain**2).sum() + strange) or 1)
+        told = sorted(totals)
+        side = (1 + np.log(np.array([totals[f] for f in told], float))) * self.idf[told]
+        plain *= math.sqrt(1 - TELLING) / (math.sqrt((plain**2).sum() + strange) or 1)
+        side *= math.sqrt(TELLING) / math.sqrt((side**2).sum())
+        return np.concatenate([which, np.array(told, np.int64)]), np.concatenate([plain, side])
 
 
 class BlockMaxIndex:
-    """Exact top-K cosine over the examples' unit vectors."""
+    """Exact top-K cosine over the examples' unit vectors.
+
+    Features that more than a WIDE_PART-th of the examples have are wide, the others narrow. A query reads the postings of
+    its narrow features whole. What its wide features can add to an example is bounded by their largest weights in the
+    example's block, and by the lengths of both wide parts. The examples with the highest bounds are read first; the k-th
+    best cosine there is what any other must reach, and only those whose bound does are read. Queries whose bounds leave
+    many examples are read together, as one product of matrices. Cosines are summed in 64 bits for all that may be among
+    the K; what is left out before is left out with a margin far above the rounding of 32 bits.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], features: int):
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
@@ -156,94 +185,101 @@ class BlockMaxIndex:
         rows = self.rows.astype(np.uint16 if self.n <= 1 << 16 else np.int32)
         return {"n": self.n, "blocks": self.blocks, "rows": rows, "weight": self.weight.astype(np.float32), "starts": self.starts, "ready": False}
 
-    def __setstate__(self, state):
-        self.__dict__ = state | {"rows": state["rows"].astype(np.int32), "weight": state["weight"].astype(float)}
-
     def prepare(self) -> None:
         if self.ready:
             return
-        features, blocks = len(self.starts) - 1, max(1, self.blocks)
-        cols = np.repeat(np.arange(features, dtype=np.int32), np.diff(self.starts))
-        # By example, for the cosines of single ones.
-        order = np.argsort(self.rows, kind="stable")
-        self.own, self.own_weight = cols[order], self.weight[order]
-        self.own_at = np.append(0, np.cumsum(np.bincount(self.rows, minlength=self.n)))
-        # A cell is a feature's postings in one block: its block, where they begin, and the largest weight.
-        key = cols.astype(np.int64) * blocks + self.rows // BLOCK
-        begin = np.flatnonzero(np.diff(key, prepend=-1))
-        self.cell_at, self.cell_block = np.append(begin, len(key)).astype(np.int32), (key[begin] % blocks).astype(np.int32)
-        self.cell_top = np.maximum.reduceat(self.weight, begin) if len(begin) else np.empty(0)
-        self.cells = np.searchsorted(cols[begin], np.arange(features + 1))
-        self.top = np.zeros(features)
-        np.maximum.at(self.top, cols[begin], self.cell_top)
-        self.query = np.zeros(features)
+        features, sizes = len(self.starts) - 1, np.diff(self.starts)
+        rows, weight = self.rows.astype(np.int32), self.weight.astype(np.float32)
+        cols = np.repeat(np.arange(features, dtype=np.int32), sizes)
+        wide = np.flatnonzero(sizes > max(1, self.n // WIDE_PART))
+        self.place = np.full(features, -1, np.int32)
+        self.place[wide] = np.arange(len(wide))
+        self.table = np.zeros((self.n, len(wide)), np.float32)
+        there = self.place[cols] >= 0
+        self.table[rows[there], self.place[cols[there]]] = weight[there]
+        del cols, there
+        self.top = np.maximum.reduceat(self.table, np.arange(0, self.n, BLOCK), axis=0) if self.n else self.table
+        self.length = np.sqrt(np.einsum("ij,ij->i", self.table, self.table))
+        self.rows, self.weight, self.by_example = rows, weight, None
         self.ready = True
 
     def vector(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of an example."""
         self.prepare()
-        z = slice(self.own_at[n], self.own_at[n + 1])
-        return self.own[z].astype(np.int64), self.own_weight[z]
-
-    def _read(self, cells: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The examples in these cells and what the cells add to their cosines, where above 0; weight: the query's, for each cell."""
-        sizes = self.cell_at[cells + 1] - self.cell_at[cells]
-        at = _spans(self.cell_at[cells], sizes)
-        scores = np.bincount(self.rows[at], self.weight[at] * np.repeat(weight, sizes), self.n)
-        found = np.flatnonzero(scores > 0)
-        return found, scores[found]
-
-    def _exact(self, rows: np.ndarray, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The cosines of these examples."""
-        self.query[which] = weight
-        sizes = self.own_at[rows + 1] - self.own_at[rows]
-        at = _spans(self.own_at[rows], sizes)
-        out = np.bincount(np.repeat(np.arange(len(rows)), sizes), self.own_weight[at] * self.query[self.own[at]], len(rows))
-        self.query[which] = 0
-        return out
+        if self.by_example is None:
+            cols = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))
+            order = np.argsort(self.rows, kind="stable")
+            self.by_example = cols[order], self.weight[order], np.append(0, np.cumsum(np.bincount(self.rows, minlength=self.n)))
+        cols, weight, at = self.by_example
+        return cols[at[n] : at[n + 1]].astype(np.int64), weight[at[n] : at[n + 1]].astype(float)
+
+    def _narrow(self, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What these features add to every example's cosine."""
+        begins, ends = self.starts[which].tolist(), self.starts[which + 1].tolist()
+        if not begins:
+            return np.zeros(self.n)
+        cuts = list(map(slice, begins, ends))
+        adds = np.concatenate([self.weight[z] for z in cuts]) * np.repeat(weight, np.subtract(ends, begins))
+        return np.bincount(np.concatenate([self.rows[z] for z in cuts]), adds, self.n)
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest with a cosine above 0; ties go to the lower position.
-
-        The blocks with the highest bounds are read first; the k-th best cosine there is what any other block must reach.
-        """
-        which, weight = vector
-        if not len(which) or not self.n:
-            return np.empty(0, np.int64), np.empty(0)
+        """Positions and cosines of the k nearest with a cosine above 0; ties go to the lower position."""
+        return self.nearest_of_each([vector], k, [without])[0]
+
+    def nearest_of_each(self, vectors: list, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() for each vector; `without`: for each, the position that does not count (-1: none)."""
+        out = [(np.empty(0, np.int64), np.empty(0))] * len(vectors)
+        if not self.n:
+            return out
         self.prepare()
-        sizes = self.cells[which + 1] - self.cells[which]
-        cells, own = _spans(self.cells[which], sizes), np.repeat(np.arange(len(which)), sizes)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, self.cell_top[cells] * weight[own], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        if not len(order):
-            return np.empty(0, np.int64), np.empty(0)
-        read = np.zeros(self.blocks, bool)
-        read[order[:FIRST_BLOCKS]] = True
-        now = read[block]
-        found, cosine = self._best(*self._read(cells[now], weight[own[now]]), k, without)
-        least = cosine[-1] - 1e-9 if len(found) == k else 0.0
-        rest = ~read & (bound > 0) & (bound >= least)
-        if rest.any():
-            # Features that together cannot reach the k-th best name no candidate; they count for those that others name.
-            most = weight * self.top[which]
-            rising = np.argsort(most, kind="stable")
-            sums = np.cumsum(most[rising])
-            few = int(np.searchsorted(sums, least))
-            names = np.ones(len(which), bool)
-            names[rising[:few]] = False
-            now = rest[block] & names[own]
-            more, part = self._read(cells[now], weight[own[now]])
-            more = more[part + (sums[few - 1] if few else 0.0) >= least]
-            found, cosine = self._best(np.concatenate([found, more]), np.concatenate([cosine, self._exact(more, which, weight)]), k, without)
-        return found, cosine
+        left, few = [], max(4 * k, self.n // MANY_PART)
+        queries = np.zeros((len(vectors), self.table.shape[1]), np.float32)
+        for query, (which, weight) in zip(queries, vectors, strict=True):
+            place = self.place[which]
+            query[place[place >= 0]] = weight[place >= 0]
+        tops, lengths = queries @ self.top.T, np.sqrt((queries * queries).sum(axis=1))
+        for n, ((which, weight), query) in enumerate(zip(vectors, queries, strict=True)):
+            if not len(which):
+                continue
+            narrow = self.place[which] < 0
+            sums = self._narrow(which[narrow], weight[narrow].astype(np.float32))
+            if without is not None and without[n] >= 0:
+                sums[without[n]] = -9.0
+            bound = np.repeat(tops[n] + np.float32(_MARGIN), BLOCK)[: self.n]
+            np.minimum(bound, lengths[n] * self.length + np.float32(_MARGIN), out=bound)
+            bound += sums
+            rows = np.argpartition(bound, -3 * k)[-3 * k :] if self.n > 3 * k else np.arange(self.n)
+            least = self._least(sums[rows] + self.table[rows] @ query, k)
+            rows = np.flatnonzero(bound >= max(least, 2 * _MARGIN))
+            if len(rows) > few:
+                left.append((n, sums, query))
+                if len(left) == TOGETHER:
+                    self._together(left, k, out)
+                    left = []
+            else:
+                out[n] = self._best(rows, sums[rows] + self.table[rows] @ query, sums, query, k)
+        if left:
+            self._together(left, k, out)
+        return out
+
+    def _together(self, left: list, k: int, out: list) -> None:
+        products = np.stack([q for _, _, q in left]) @ self.table.T
+        for (n, sums, query), product in zip(left, products, strict=True):
+            product += sums
+            rows = np.flatnonzero(product >= max(self._least(product, k), _MARGIN))
+            out[n] = self._best(rows, product[rows], sums, query, k)
 
     @staticmethod
-    def _best(found: np.ndarray, cosine: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
-        keep = found != without
-        found, cosine = found[keep], cosine[keep]
-        best = np.lexsort((found, -np.round(cosine, 12)))[:k]
-        return found[best], cosine[best]
+    def _least(near: np.ndarray, k: int) -> float:
+        """What the k-th best of these is at least; 0 where there are fewer."""
+        return float(np.partition(near, len(near) - k)[len(near) - k]) - _MARGIN if len(near) >= k else 0.0
+
+    def _best(self, rows: np.ndarray, near: np.ndarray, sums: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows[near >= self._least(near, k) - _MARGIN]
+        cosine = sums[rows] + (self.table[rows].astype(np.float64) * query).sum(axis=1)
+        rows, cosine = rows[cosine > 0], cosine[cosine > 0]
+        best = np.lexsort((rows, -np.round(cosine, 12)))[:k]
+        return rows[best], cosine[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,6 +313,13 @@ class Model:
         self.full = np.flatnonzero(~bare)
         self.seen: dict[bytes, tuple] = {}
         self.ends, self.values = np.array([1.0]), np.array([self.prior])
+        self.held = None
+
+    def shared(self, spark: SparkSession):
+        """The model as the tasks read it, sent once; the calibration's steps are not part of it and go with each job."""
+        if self.held is None:
+            self.held = spark.sparkContext.broadcast(self)
+        return self.held
 
     def calibrate(self, own: np.ndarray) -> None:
         """own: the votes on the examples in `full`, each without itself."""
@@ -287,24 +330,32 @@ class Model:
         self.ends, self.values = np.stack([begins, ends], 1).ravel(), np.repeat(values, 2)
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
-
-    def vote(self, vector, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, cosine = self.index.nearest(vector, K, without)
-        weight = 1 / (1.05 - np.minimum(cosine, 1.0))
-        return float(((weight * self.toxic[at]).sum() + PRIOR_VOTES * self.prior) / (weight.sum() + PRIOR_VOTES)), at, cosine
-
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        vector = self.vectors(text)
-        if not len(vector[0]):
-            return self.bare, [], []
-        key = vector[0].tobytes() + vector[1].tobytes()
-        if key not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            vote, at, cosine = self.vote(vector)
-            self.seen[key] = float(np.interp(vote, self.ends, self.values)), self.ids[at].tolist(), cosine.tolist()
-        return self.seen[key]
+        return self.__dict__ | {"seen": {}, "held": None}
+
+    def votes(self, vectors: list, without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        out = []
+        for at, cosine in self.index.nearest_of_each(vectors, K, without):
+            weight = 1 / (1.05 - np.minimum(cosine, 1.0))
+            out.append((float(((weight * self.toxic[at]).sum() + PRIOR_VOTES * self.prior) / (weight.sum() + PRIOR_VOTES)), at, cosine))
+        return out
+
+    @property
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.ends, self.values
+
+    def scores(self, texts: list[str], steps: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, list[int], list[float]]]:
+        """Score, neighbours and cosines of each text; equal vectors are searched once."""
+        vectors = [self.vectors(t) for t in texts]
+        keys = [xxhash.xxh3_128_digest(w.tobytes() + x.tobytes()) if len(w) else b"" for w, x in vectors]
+        if len(self.seen) > 20_000:
+            self.seen.clear()
+        seen, new = self.seen, {}
+        for key, vector in zip(keys, vectors, strict=True):
+            if key and key not in seen:
+                new[key] = vector
+        for key, (vote, at, cosine) in zip(new, self.votes(list(new.values())), strict=True):
+            seen[key] = vote, self.ids[at].tolist(), cosine.tolist()
+        return [(float(np.interp(seen[key][0], *steps)), *seen[key][1:]) if key else (self.bare, [], []) for key in keys]
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
@@ -318,9 +369,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPL
     texts = keyed_texts(docs).where("doc_id is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
     examples = Table(texts, "examples")
     texts = examples.read()
-    telling = choose_features(texts)
-    words, n = word_counts(texts)
-    vectors = Vectors(words, telling, n)
+    words, counts, n = word_counts(texts)
+    vectors = Vectors(words, counts, choose_features(texts), n)
     held = spark.sparkContext.broadcast(vectors)
 
     def make(batches):
@@ -335,49 +385,62 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPL
     made = [(np.frombuffer(w, "<i4"), np.frombuffer(x)) for w, x in zip(rows["which"].to_pylist(), rows["weight"].to_pylist(), strict=True)]
     model = Model(vectors, np.array(rows["doc_id"].to_pylist(), np.int64), np.array(rows["toxic"].to_pylist(), float), made)
     del rows, made
+    held.destroy()
     if len(model.full):
-        ready = spark.sparkContext.broadcast(model)
+        ready = model.shared(spark)
 
         def votes(batches):
             for b in batches:
-                yield pd.DataFrame({"n": b["n"], "vote": [ready.value.vote(ready.value.index.vector(n), n)[0] for n in b["n"].tolist()]})
+                for a in range(0, len(b), SCORED_TOGETHER):
+                    own = b["n"].iloc[a : a + SCORED_TOGETHER].tolist()
+                    found = ready.value.votes([ready.value.index.vector(n) for n in own], own)
+                    yield pd.DataFrame({"n": own, "vote": [f[0] for f in found]})
+            ready.value.index.by_example = None
 
         places = spark.createDataFrame(pd.DataFrame({"n": model.full})).repartition(slices_of(len(model.full), 500, 1))
         own = places.mapInPandas(votes, "n long, vote double").toArrow()
         order = np.argsort(np.array(own["n"]))
         model.calibrate(np.array(own["vote"])[order])
-        ready.destroy()
     return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of docs: doc_id, score, predicted, neighbours, cosines. Null text counts as empty."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """One row per row of docs: doc_id, score, predicted, neighbours, cosines.
+
+    Null text counts as empty; texts without a word of the examples get the share of label 1 among such examples. A null
+    doc_id stays null, repeated rows each get a row, ties of cosines go to the lower position. An empty table gives no
+    rows. Columns other than doc_id and text are not read. A labelled text is its own neighbour.
+    """
+    held, steps = model.shared(docs.sparkSession), model.steps
 
     def score(batches):
         for b in batches:
-            rows = [held.value.score(t) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "score": [r[0] for r in rows], "predicted": [int(r[0] >= THRESHOLD) for r in rows],
-                "neighbours": [r[1] for r in rows], "cosines": [r[2] for r in rows],
-            })
+            for a in range(0, len(b), SCORED_TOGETHER):
+                own = b.iloc[a : a + SCORED_TOGETHER]
+                rows = held.value.scores(own["text"].tolist(), steps)
+                yield pd.DataFrame({
+                    "doc_id": own["doc_id"].astype("Int64"), "score": [r[0] for r in rows], "predicted": [int(r[0] >= THRESHOLD) for r in rows],
+                    "neighbours": [r[1] for r in rows], "cosines": [r[2] for r in rows],
+                })
 
     return keyed_texts(docs).mapInPandas(score, "doc_id long, score double, predicted int, neighbours array<long>, cosines array<double>")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that are not predicted toxic."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs, all columns, that are not predicted toxic. Each row is judged by its own text (null: empty)."""
+    held, steps = model.shared(docs.sparkSession), model.steps
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series([held.value.score(t)[0] for t in text], dtype=float)
+        parts = (text.iloc[a : a + SCORED_TOGETHER].tolist() for a in range(0, len(text), SCORED_TOGETHER))
+        return pd.Series([r[0] for part in parts for r in held.value.scores(part, steps)], dtype=float)
 
     return docs.where(score(text_of(docs)) < THRESHOLD)
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from the rows whose id remainder is not 2, score every row."""
+    """Learn from the rows whose id remainder is not 2, score every row. Rows without an id are not learned from: held out."""
     model = fit_model(docs.where(id_remainder(docs["doc_id"], 4) != 2), labels)
     scored = score_toxicity(docs, model)
-    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "neighbours", "cosines")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted", "neighbours", "cosines")

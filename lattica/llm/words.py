@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import xxhash
 
 # ASCII letters and digits stay, ASCII signs and controls become spaces, bytes of other letters stay.
 _SIGNS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+_PUNCTUATION = re.compile("[\u2000-\u206f]")
 CACHE_WORDS = 500_000
 
 
 def plain_words(text: str) -> list[bytes]:
     """Lower-cased words without ASCII punctuation or the general punctuation block."""
     raw = text.lower()
-    if " " <= max(raw, default="") and any(" " <= c <= "⁯" for c in raw):
-        raw = "".join(" " if " " <= c <= "⁯" else c for c in raw)
+    if not raw.isascii():
+        raw = _PUNCTUATION.sub(" ", raw)
     return raw.encode("utf-8", "surrogatepass").translate(_SIGNS).split()
 
 
