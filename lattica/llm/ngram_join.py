@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import MASK63, Table, keyed_texts, mix64, slices_of, text_of, tidy
-from .words import shingle_set
+from .words import shingle_sets
 
 SPARE = 10
 BAND = 1.3
@@ -65,8 +65,7 @@ def class_rows(texts: DataFrame, width: int) -> DataFrame:
         for b in batches:
             sizes, cids, sets, held = [], [], [], 0
             doc_ids = b["doc_id"].astype("Int64")
-            for text in b["text"]:
-                s = shingle_set(text, width)
+            for s in shingle_sets(b["text"], width):
                 sizes.append(len(s))
                 cids.append(set_digest(s) if len(s) else None)
                 sets.append(s)
@@ -177,8 +176,7 @@ def candidate_edges(texts: DataFrame, total_shingles: int, heavy, width: int, nu
             return pd.DataFrame(rows, columns=["bucket", "sigs", "cids", "edges"])
 
         for b in batches:
-            for text in b["text"]:
-                s = shingle_set(text, width)
+            for s in shingle_sets(b["text"], width):
                 if not len(s):
                     continue
                 own = signatures(s, heavy.value, num, den)
@@ -545,7 +543,7 @@ def _rows_and_roots(texts: DataFrame, width: int, num: int, den: int) -> tuple[D
 
     def rebuild(batches):
         for b in batches:
-            sets = [shingle_set(t, width) for t in b["text"]]
+            sets = list(shingle_sets(b["text"], width))
             right = [n for n, s in enumerate(sets) if len(s) and set_digest(s) == b["cid"].iloc[n]]
             yield pd.DataFrame({
                 "cluster": b["cluster"].iloc[right], "cid": b["cid"].iloc[right],
@@ -557,7 +555,7 @@ def _rows_and_roots(texts: DataFrame, width: int, num: int, den: int) -> tuple[D
         seen: set[int] = set()
         for b in batches:
             own = {}
-            for s in (shingle_set(t, width) for t in b["text"]):
+            for s in shingle_sets(b["text"], width):
                 if len(s) and (c := set_digest(s)) not in seen:
                     seen.add(c)
                     own[c] = s
@@ -601,8 +599,7 @@ def keep_representatives(docs: DataFrame, width: int = 5, num: int = 4, den: int
 
     @F.pandas_udf("long")
     def digest(text: pd.Series) -> pd.Series:
-        sets = (shingle_set(t, width) for t in text)
-        return pd.Series([set_digest(s) if len(s) else None for s in sets], dtype="Int64")
+        return pd.Series([set_digest(s) if len(s) else None for s in shingle_sets(text, width)], dtype="Int64")
 
     unsure = unsure.withColumn("cid", digest("text"))
     won = winners.select(F.col("rep").alias("id"), F.col("cid").alias("own"))

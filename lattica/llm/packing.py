@@ -32,12 +32,12 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids:
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut(batches):
-        enc, end = encoder("byte", path), int(end_id).to_bytes(4, "little")
+        enc, end = encoder("byte", path), np.array([end_id], np.uint32)
         step = 4 * capacity
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["text"], strict=True):
-                ids = enc.ids(text) + end
+            for doc_id, own in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), enc.ids_of_each(b["text"]), strict=True):
+                ids = np.concatenate([own, end]).tobytes()
                 first = len(ids) % step or step
                 for n, end_at in enumerate(range(first, len(ids) + 1, step)):
                     at = max(0, end_at - step)

@@ -20,18 +20,21 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import gather
 from .shared import Table, keyed_texts
 from .tokens import encoder
 
 SHARD_IDS = 1 << 20
 MIN_PAIR = 24
 PAIRS_A_ROUND = 4096
+DECODE_DOCS = 256
 _TOP = 1 << 16
 _MOST_LETTERS = _TOP - 4096
 _SLOT_BITS = 18
@@ -178,23 +181,34 @@ class TokenFile:
             offsets = _TOP + np.concatenate([[0], np.cumsum(lengths)])
             flat = np.empty(int(offsets[-1]), "<u4")
             flat[: self.first_new] = self.letters
-            for n, (a, b) in enumerate(self.rules.tolist()):
-                s, cut = offsets[n], self.length[a]
-                flat[s : s + cut] = flat[starts[a] : starts[a] + cut]
-                flat[s + cut : offsets[n + 1]] = flat[starts[b] : starts[b] + self.length[b]]
-                starts[self.first_new + n] = s
+            starts[self.first_new : self.first_new + len(self.rules)] = offsets[:-1]
+            # A rule is spelled out once both its symbols are: level by level.
+            level = np.zeros(_TOP, np.int64)
+            for n, (a, b) in enumerate(self.rules.tolist(), self.first_new):
+                level[n] = max(level[a], level[b]) + 1
+            for depth in range(1, int(level.max(initial=0)) + 1):
+                own = np.flatnonzero(level == depth)
+                pairs = self.rules[own - self.first_new].reshape(-1)
+                flat[gather(starts[own], self.length[own])] = flat[gather(starts[pairs], self.length[pairs])]
             self._flat = flat, starts
         return self._flat
 
     def decode(self, n: int) -> np.ndarray:
-        symbols = self.symbols[self.symbol_ends[n - 1] if n else 0 : self.symbol_ends[n]]
+        return self._decoded(self.symbols[self.symbol_ends[n - 1] if n else 0 : self.symbol_ends[n]])
+
+    def _decoded(self, symbols: np.ndarray) -> np.ndarray:
         if self.wide:
             return symbols
         flat, starts = self._expansions()
-        lengths = self.length[symbols]
-        ends = np.cumsum(lengths)
-        at = np.repeat(starts[symbols] - (ends - lengths), lengths) + np.arange(int(ends[-1]))
-        return flat[at]
+        return flat[gather(starts[symbols], self.length[symbols])]
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        """Each document's ids, decoded DECODE_DOCS documents at a time."""
+        for a in range(0, len(self.doc_ids), DECODE_DOCS):
+            ends = self.id_ends[a : a + DECODE_DOCS]
+            begin = int(self.id_ends[a - 1]) if a else 0
+            flat = self._decoded(self.symbols[self.symbol_ends[a - 1] if a else 0 : self.symbol_ends[a + len(ends) - 1]])
+            yield from np.split(flat, ends[:-1] - begin)
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = 2) -> Table:
@@ -203,23 +217,22 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2) -> Table:
     def encode(batches):
         from pyspark import TaskContext
 
-        enc, end = encoder("word", path), int(end_id).to_bytes(4, "little")
+        enc, end = encoder("word", path), np.array([end_id], np.uint32)
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         held, ids, ends, total = [], [], [], 0
 
         def flush():
             nonlocal shard, before, held, ids, ends, total
-            file = write_file(held, np.array(ends, np.int64), np.frombuffer(b"".join(ids), "<u4"), before, end_id)
+            file = write_file(held, np.array(ends, np.int64), np.concatenate(ids), before, end_id)
             row = pd.DataFrame([(part, shard, total, file)], columns=["part", "shard", "n_ids", "file"])
             shard, before, held, ids, ends, total = shard + 1, before + total, [], [], [], 0
             return row
 
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["text"], strict=True):
-                own = enc.ids(text) + end
-                total += len(own) // 4
+            for doc_id, own in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), enc.ids_of_each(b["text"]), strict=True):
+                total += len(own) + 1
                 held.append(doc_id)
-                ids.append(own)
+                ids += own, end
                 ends.append(total)
                 if total >= SHARD_IDS:
                     yield flush()
@@ -243,8 +256,8 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
             for part, data in zip(b["part"], b["file"], strict=True):
                 f = TokenFile(data)
                 rows, start = [], bases[part] + f.before
-                for n, doc_id in enumerate(f.doc_ids):
-                    own = f.decode(n).astype("<u4").tobytes()
+                for doc_id, ids in zip(f.doc_ids, f, strict=True):
+                    own = ids.astype("<u4").tobytes()
                     rows.append((doc_id, start, len(own) // 4, zlib.crc32(own)) + ((own,) if with_ids else ()))
                     start += len(own) // 4
                 frame = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import Table as Numbers
+from .hashing import Words, grown
 from .shared import Table, id_remainder, keyed_texts, slices_of, text_of
-from .words import plain_words, word_hashes
+from .words import plain_groups, plain_words
 
 MAX_EXAMPLES = 16_000
 MAX_FEATURES = 4096
@@ -40,7 +43,7 @@ PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
 TELLING = 0.8
 _SIDES = (4, 5, 6, 7, 8)
-_HELD = 200_000
+_HELD = 400_000
 _MARGIN = 1e-5
 
 
@@ -82,10 +85,10 @@ def word_counts(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
     def count(batches):
         for b in batches:
-            held: Counter = Counter()
-            for text in b["text"]:
-                held.update(set(plain_words(text)))
-            yield pd.DataFrame({"word": word_hashes(list(held)).view(np.int64), "n": list(held.values())})
+            for w in plain_groups(b["text"]):
+                each = [np.unique(w.hash[x:y]) for x, y in zip(w.first, w.first[1:])]
+                words, n = np.unique(np.concatenate(each), return_counts=True)
+                yield pd.DataFrame({"word": words.view(np.int64), "n": n})
 
     rows = examples.mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     words, n = np.array(rows["word"]).view(np.uint64), np.array(rows["n"])
@@ -103,44 +106,48 @@ class Vectors:
         idf = lambda n: np.log((1 + examples) / (1 + n)) + 1
         self.idf = idf(np.concatenate([counts, [telling[f] for f in self.telling]]).astype(float))
         self.strange = float(idf(0))
-        self.clear()
+        self.forget()
 
-    def clear(self) -> None:
-        """Forget the words met so far; they are numbered as they come."""
-        self.held: dict[bytes, int] = {}
-        self.place = np.empty(1 << 16, np.int64)  # by number: the word's place in the vector, -1 if no example has it
-        self.tells: dict[int, list[int]] = {}  # by number, where there are any: its telling features
+    def forget(self) -> None:
+        """The words met so far are numbered as they come, in `table`; place: the word's place in the vector, -1 if no example
+        has it; tells: its telling features, where there are any."""
+        self.table: Numbers | None = None
+        self.place, self.tells = np.empty(0, np.int64), {}
 
     def __len__(self) -> int:
         return len(self.idf)
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}, "tells": {}, "place": self.place[:1]}
-
-    def _numbered(self, words: list[bytes]) -> np.ndarray:
-        held = self.held
-        try:
-            return np.fromiter(map(held.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            pass
-        if len(held) > _HELD:
-            self.clear()
-            held = self.held
-        new, first = [w for w in dict.fromkeys(words) if w not in held], len(held)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
-        while len(self.place) < first + len(new):
-            self.place = np.concatenate([self.place, np.empty_like(self.place)])
-        self.place[first : first + len(new)] = np.where(self.words[at] == hashes, at, -1) if len(self.words) else -1
-        for n, word in enumerate(new, first):
-            held[word] = n
-            own = [self.telling[f] for f in features_of(word) if f in self.telling]
-            if own:
-                self.tells[n] = own
-        return np.fromiter(map(held.__getitem__, words), np.int64, len(words))
+        return self.__dict__ | {"table": None, "tells": {}, "place": self.place[:0]}
+
+    def _numbers(self, w: Words) -> np.ndarray:
+        if self.table is None:
+            self.table = Numbers(_HELD)
+
+        def learn(first: int, new: np.ndarray, at: np.ndarray) -> None:
+            if not first:
+                self.tells = {}
+            self.place = grown(self.place, first + len(new))
+            known = np.minimum(np.searchsorted(self.words, new), max(0, len(self.words) - 1))
+            self.place[first : first + len(new)] = np.where(self.words[known] == new, known, -1) if len(self.words) else -1
+            for n, word in enumerate(w.words(at), first) if self.telling else ():
+                own = [self.telling[f] for f in features_of(word) if f in self.telling]
+                if own:
+                    self.tells[n] = own
+
+        return self.table.numbered(w.hash, learn)
+
+    def of_each(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for w in plain_groups(texts):
+            numbers = self._numbers(w)
+            for a, b in zip(w.first.tolist(), w.first[1:].tolist()):
+                yield self._vector(numbers[a:b])
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        numbers, tf = np.unique(self._numbered(plain_words(text)), return_counts=True)
+        return next(self.of_each([text]))
+
+    def _vector(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers, tf = np.unique(words, return_counts=True)
         place, weight = self.place[numbers], 1 + np.log(tf)
         strange = ((weight[place < 0] * self.strange) ** 2).sum()
         order = np.argsort(place)[int((place < 0).sum()) :]
@@ -345,7 +352,7 @@ class Model:
 
     def scores(self, texts: list[str], steps: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, list[int], list[float]]]:
         """Score, neighbours and cosines of each text; equal vectors are searched once."""
-        vectors = [self.vectors(t) for t in texts]
+        vectors = list(self.vectors.of_each(texts))
         keys = [xxhash.xxh3_128_digest(w.tobytes() + x.tobytes()) if len(w) else b"" for w, x in vectors]
         if len(self.seen) > 20_000:
             self.seen.clear()
@@ -375,7 +382,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPL
 
     def make(batches):
         for b in batches:
-            made = [held.value(t) for t in b["text"]]
+            made = list(held.value.of_each(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "which": [w.astype("<i4").tobytes() for w, _ in made], "weight": [x.tobytes() for _, x in made]})
 
     # Equal texts are one example: the lowest id, the share of label 1.

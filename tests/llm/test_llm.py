@@ -613,9 +613,46 @@ def test_ids_of_a_whole_table_are_the_tokenizers_own(kind, path, monkeypatch):
 
     import pyarrow.parquet as pq
 
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 3000)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3000)
     texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
     enc = tokens.ByteBpe(path) if kind == "byte" else tokens.WordBpe(path)
     marks = [t.replace(" ", "  ", 3).replace(". ", ".\n ", 2) + " \n" * (n % 3) for n, t in enumerate(texts[:300])]
-    for t in [*texts, *marks, *(" " + t[:200] + "\n" for t in texts[:300])]:
-        assert enc.ids(t) == enc.whole(t), t
+    every = [*texts, *marks, *(" " + t[:200] + "\n" for t in texts[:300]), *(t + " <|endoftext|>x\xa0y" for t in texts[:20])]
+    for t, ids in zip(every, enc.ids_of_each(every), strict=True):
+        assert ids.tobytes() == enc.whole(t), t
+    assert list(enc.ids_of_each([])) == [] and [len(x) for x in enc.ids_of_each(["", "", "a"])] == [0, 0, 1]
+
+
+def test_hashes_name_words_and_tables_number_them(monkeypatch):
+    from lattica.llm import hashing
+
+    monkeypatch.setattr(hashing, "BLOCK", 64)
+    hashing._powers.cache_clear()
+    r = random.Random(1)
+    texts = ["".join(r.choice("aAb \t\né\x1c") for _ in range(n)) for n in [0, 1, 5, 300, 40, 0, 3]] + ["x" * 1500 + " " + "x" * 1501, "y" * 999 + " z"]
+    w = hashing.Words(texts, hashing.values(lower=True))
+    hashing._powers.cache_clear()
+    known = {}
+    for n, t in enumerate(texts):
+        own, got = t.encode().lower().split(), w.hash[w.first[n] : w.first[n + 1]].tolist()
+        assert len(own) == len(got) and all(known.setdefault(h, x) == x for h, x in zip(got, own, strict=True))
+    assert len(set(known.values())) == len(known) and 0 not in known
+    hashes, table = np.array(list(known), np.uint64), hashing.Table(len(known) // 2)
+    told = []
+    for part in (hashes[:5], hashes, hashes[:7], np.repeat(hashes[:3], 4)):
+        numbers = table.numbered(part, lambda first, new, at, part=part: told.append((first, new.tolist(), part[at].tolist())))
+        assert len(set(numbers.tolist())) == len(set(part.tolist())) and (table.find(part) == numbers).all() and numbers.min() >= 0
+    assert [t[0] for t in told] == [0, 0] and all(a == b for _, a, b in told)
+
+
+def test_shingle_sets_by_brute_force():
+    from lattica.llm.words import shingle_sets
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice("aAbc") for _ in range(n)) for n in (0, 1, 2, 3, 9, 50)] * 2
+    for width in (1, 3):
+        names = {}
+        for t, s in zip(texts, shingle_sets(iter(texts), width), strict=True):
+            own = t.lower().split()
+            want = {tuple(own[i : i + width]) for i in range(len(own) - width + 1)} if len(own) >= width else {tuple(own)} - {()}
+            assert len(s) == len(want) and (np.diff(s.astype(object)) > 0).all() and names.setdefault(frozenset(want), s.tobytes()) == s.tobytes()
