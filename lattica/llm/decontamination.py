@@ -130,26 +130,30 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]
         yield block
 
 
-MATCH_SCHEMA = "doc_id long, item_id long, first_word long, end_word long, distance int"
+MATCH_SCHEMA = "doc_id long, mark long, item_id long, first_word long, end_word long, distance int"
 
 
 def contamination_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """One row for each document and item found in it: doc_id, item_id, first_word, end_word, distance.
 
     Null or empty texts and items without words match nothing. Equal items each match. Repeated rows of docs give repeated
-    rows. Empty tables give no rows.
+    rows. Empty tables give no rows. Columns other than doc_id and text are not read.
     """
-    texts = keyed_texts(docs)
-    out = docs.sparkSession.createDataFrame([], MATCH_SCHEMA)
+    return _matches(keyed_texts(docs).withColumn("mark", F.lit(0).cast("long")), benchmark, rate).drop("mark")
+
+
+def _matches(texts: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
+    """texts: doc_id, text, mark, which is carried to the matches."""
+    out = texts.sparkSession.createDataFrame([], MATCH_SCHEMA)
     for block in item_blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        held = texts.sparkSession.sparkContext.broadcast(block)
 
         def search(batches, held=held):
             pieces = Pieces(held.value, rate)
             get = pieces.code.get
             for b in batches:
                 out = []
-                for chunk in _chunks(zip(b["doc_id"], b["text"], strict=True)):
+                for chunk in _chunks(zip(zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["mark"], strict=True), b["text"], strict=True)):
                     codes = [np.fromiter((get(w, 0) for w in words), np.uint64, len(words)) for _, words in chunk]
                     gap = np.zeros(1, np.uint64)
                     starts = np.cumsum([0] + [len(c) + 1 for c in codes])
@@ -158,8 +162,8 @@ def contamination_matches(docs: DataFrame, benchmark: DataFrame, rate: float = R
                         doc = int(np.searchsorted(starts, p, side="right")) - 1
                         per[doc].append((n, p - int(starts[doc]) - a))
                     for doc, hits in sorted(per.items()):
-                        out += [(chunk[doc][0], *m) for m in pieces.matches(chunk[doc][1], hits)]
-                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "first_word", "end_word", "distance"])
+                        out += [(*chunk[doc][0], *m) for m in pieces.matches(chunk[doc][1], hits)]
+                frame = pd.DataFrame(out, columns=["doc_id", "mark", "item_id", "first_word", "end_word", "distance"])
                 yield frame.astype({"doc_id": "Int64"})
 
         out = out.union(texts.mapInPandas(search, MATCH_SCHEMA))
@@ -168,9 +172,9 @@ def contamination_matches(docs: DataFrame, benchmark: DataFrame, rate: float = R
 
 def _chunks(rows):
     held, size = [], 0
-    for doc_id, text in rows:
+    for key, text in rows:
         words = plain_words(text)
-        held.append((doc_id, words))
+        held.append((key, words))
         size += len(words)
         if size >= CHUNK_WORDS // 4:
             yield held
@@ -180,7 +184,10 @@ def _chunks(rows):
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """One row per doc_id of docs: doc_id, contaminated, n_items, item_ids (ascending), best_distance (null if clean)."""
+    """One row per doc_id of docs: doc_id, contaminated, n_items, item_ids (ascending), best_distance (null if clean).
+
+    Rows that share an id count as one document; so do those without an id, as one with a null doc_id.
+    """
     found = contamination_matches(docs, benchmark, rate).distinct()
     per = found.groupBy("doc_id").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.min("distance").alias("best_distance")
@@ -195,6 +202,13 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs, all columns, in which no item was found."""
-    found = contamination_matches(docs, benchmark, rate).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_found"]), "left_anti")
+    """The rows of docs, all columns, in which no item was found.
+
+    Rows that share an id (or have none) are judged each by its own text; null or empty texts stay. An empty table stays
+    empty; columns of any name are carried through.
+    """
+    mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    texts = keyed_texts(docs).withColumn("mark", F.xxhash64("text"))
+    found = _matches(texts, benchmark, rate).select("doc_id", "mark").distinct()
+    tagged = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), mark.alias("own"))
+    return tagged.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark")), "left_anti").select("row.*")

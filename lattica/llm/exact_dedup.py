@@ -159,15 +159,12 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 def keep_winners(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, one for each distinct text: that with the largest doc_id (of repeated rows any one).
 
-    A text that only rows without an id have keeps one of them.
+    Null text counts as empty. A text that only rows without an id have keeps one of them. Rows that share an id but not
+    the text are told apart by the text. An empty table stays empty; columns of any name are carried through.
     """
-    named = exact_dedup(docs)
-    kept = named.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.where(docs["doc_id"].isNotNull())
-    out = rows.join(kept, rows["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(docs["doc_id"].isNull())
-    if nameless.isEmpty():
-        return out
-    alone = named.where("keep_id is null").select(F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.coalesce(nameless["text"], F.lit("")).cast("binary"), 256)
-    return out.unionByName(nameless.join(alone, sha == alone["_sha"], "left_semi").dropDuplicates(["text"]))
+    named = exact_dedup(docs).select("keep_id", "text_sha256").distinct()
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    tagged = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), sha.alias("sha"))
+    kept = tagged.join(named, (F.col("sha") == F.col("text_sha256")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    # Only repeated rows of one id and text are left to tell apart, and those without an id.
+    return kept.dropDuplicates(["id", "sha"]).select("row.*")

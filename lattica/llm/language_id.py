@@ -27,7 +27,7 @@ PROBES = 2
 SHARE = 0.5
 MAX_LANGUAGES = 1024
 FLUSH_BYTES = 1 << 23
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 _KEEP = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -117,7 +117,8 @@ def identify_languages(docs: DataFrame, train: DataFrame) -> DataFrame:
     train: text, lang; null languages and texts without a letter are left out. score is the winner's part of all
     languages' corrected counts; ties go to the language first in the alphabet. Null text or text without a letter is
     `und` with score 0; so is every text when nothing could be learnt. A text with letters but no n-gram that any language
-    contains gets the language with most training texts, with that language's part of them.
+    contains gets the language with most training texts, with that language's part of them. Repeated rows each get a row; a null
+    doc_id stays null; an empty table gives no rows; columns other than doc_id and text are not read.
     """
     known = train.where("lang is not null and text is not null").select("text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
@@ -145,7 +146,7 @@ def identify_languages(docs: DataFrame, train: DataFrame) -> DataFrame:
                 texts = chunk["text"].tolist()
                 scores = filter_scores(held.value, fill, texts)
                 total, won = scores.sum(axis=1), scores.argmax(axis=1)
-                letter = np.array([_LETTER.search(t) is not None for t in texts], bool)
+                letter = np.array([_PLAIN_LETTER.search(t) is not None or any(map(str.isalpha, t)) for t in texts], bool)
                 lang = np.array(languages, object)[won]
                 score = scores[np.arange(len(texts)), won] / np.where(total > 0, total, 1)
                 lang, score = np.where(total > 0, lang, usual), np.where(total > 0, score, usual_part)
@@ -155,6 +156,7 @@ def identify_languages(docs: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def language_query(docs: DataFrame) -> DataFrame:
-    """Learn from the rows whose id remainder is not 2, predict every row."""
+    """Learn from the rows whose id remainder is not 2, predict every row. Rows without an id are not learned from: held out."""
     out = identify_languages(docs, docs.where(id_remainder(docs["doc_id"], 4) != 2))
-    return out.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out")
+    return out.select("doc_id", held_out, "lang_pred", "score")

@@ -33,9 +33,8 @@ SAMPLE_ZONES = 800
 EPOCHS = 12
 SHAPES = 2048
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
-_EMAIL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
+_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_EMAIL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A leftmost address always begins where its run of digits does, so the look-behind changes no match.
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -60,15 +59,19 @@ def _digits(s: str) -> str:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    at = text.find("@")
+    """Leftmost addresses, in one pass: of the signs before an at-sign all belong to it, and its host fits or does not."""
+    free, at = 0, text.find("@")
     while at >= 0:
         begin = at
-        while begin and text[begin - 1] in _EMAIL_SIGNS:
+        while begin > free and text[begin - 1] in _EMAIL_SIGNS:
             begin -= 1
-        end = _EMAIL_RUN.match(text, at).end()
-        for m in _EMAIL.finditer(text, begin, end):
-            yield m.span()
-        at = text.find("@", end)
+        host = _HOST.match(text, at + 1) if begin < at else None
+        if host:
+            free = host.end()
+            yield begin, free
+        else:
+            free = at + 1
+        at = text.find("@", free)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -188,11 +188,14 @@ class WordBpe(_Cached):
 
     def word(self, word: str) -> bytes:
         """The ids of a word that may hold any white space but ASCII's, or a special token."""
+        if _LETTER.fullmatch(word):
+            return self._letters(word)
         return self.piece(word) if self.regular(word) else self.whole(word)
 
     def _letters(self, part: str) -> bytes:
         own = self.merge(part.lower().encode() + b"\xff")
-        return self.little[own[0]] if len(own) == 1 else b"".join([self.little[x] for x in own])
+        little = self.little
+        return little[own[0]] if len(own) == 1 else b"".join([little[x] for x in own])
 
 
 def _byte_letters() -> dict[int, str]:

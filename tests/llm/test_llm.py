@@ -68,6 +68,21 @@ def test_exact_dedup_with_null_ids_repeats_and_history(spark):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and kept.count() == 2
 
 
+def test_winners_are_rows_and_not_ids(spark):
+    rows = [(3, "x"), (3, "y"), (5, "z"), (4, "x"), (3, "y"), (None, "z"), (None, "q"), (None, "q"), (7, None), (6, "")]
+    kept = exact_dedup.keep_winners(clashing(table(spark, [t for _, t in rows], [i for i, _ in rows])))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(4, "x"), (3, "y"), (5, "z"), (None, "q"), (7, None)], key=str)
+
+
+def test_decontamination_judges_rows_and_not_ids(spark):
+    item = " ".join(words(30, 5, 4000))
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"a b {item} c"), (None, "clean one"), (4, item), (4, "clean two"), (5, ""), (6, None)]
+    left = decontamination.decontaminate(clashing(table(spark, [t for _, t in rows], [i for i, _ in rows])), benchmark)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(None, "clean one"), (4, "clean two"), (5, ""), (6, None)], key=str)
+    assert decontamination.decontaminate(table(spark, []), benchmark).count() == 0
+
+
 def test_hash_is_minimal_and_perfect_and_rejects_strangers():
     own = [hashlib.sha256(str(n).encode()).digest() for n in range(3000)]
     shard = exact_dedup.build_shard(own, np.arange(3000), np.ones(3000))
@@ -141,6 +156,20 @@ def test_base_score_and_model(spark):
     assert attention_lm.score_texts(table(spark, []), WORD).count() == 0
 
 
+def test_both_scores_of_a_row_are_its_own(spark):
+    texts = [" ".join(words(40, n, 60)) for n in range(30)]
+    rows = [(n, t) for n, t in enumerate(texts)] + [(None, texts[3]), (None, texts[4]), (None, texts[3]), (5, texts[6]), (5, texts[5]), (None, None), (None, "")]
+    got = attention_lm.score_texts(clashing(table(spark, [t for _, t in rows], [i for i, _ in rows])), WORD).collect()
+    assert len(got) == len(rows)
+    alone = {(x["n_tokens"], round(x["base_score"], 6)): x["score"] for x in got if x["doc_id"] is not None}
+    per = collections.Counter((x["doc_id"], round(x["base_score"], 6)) for x in got)
+    assert all(x["held_out"] for x in got if x["doc_id"] is None) and sum(n for (i, _), n in per.items() if i is None) == 5
+    for x in got:
+        if x["n_tokens"] > 1:
+            assert x["score"] == pytest.approx(alone[x["n_tokens"], round(x["base_score"], 6)], rel=1e-6)
+    assert attention_lm.score_texts(table(spark, []), WORD).count() == 0
+
+
 def test_model_is_a_distribution_and_its_gradient_is_right():
     r = np.random.default_rng(0)
     bigram = np.log(r.dirichlet(np.ones(attention_lm.CLASSES), attention_lm.CLASSES + 1)).astype(np.float32)
@@ -279,6 +308,8 @@ def test_language_id(spark):
     assert all(0 <= x["score"] <= 1 and x["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, x in got.items())
     assert language_id.language_query(table(spark, [])).count() == 0
     assert language_id.language_query(table(spark, ["a b"])).first()["lang_pred"] == "und"
+    odd = language_id.language_query(table(spark, [*texts[:40], "²½ Ⅷ", texts[0], texts[0]], [*range(40), 900, None, None], [*langs[:40], None, None, None])).collect()
+    assert [x["lang_pred"] for x in odd if x["doc_id"] == 900] == ["und"] and [(x["held_out"], x["lang_pred"]) for x in odd if x["doc_id"] is None] == [(True, "en")] * 2
 
 
 # 5
@@ -493,6 +524,19 @@ def test_pii_base_and_added_spans(spark):
     assert pii.pii_query(table(spark, [])).count() == 0
 
 
+def test_long_runs_of_address_signs_take_linear_time():
+    import re
+    import time
+
+    rule = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    r = random.Random(6)
+    for n in range(3000):
+        t = "".join(r.choice("ab.@-_ ") for _ in range(r.randrange(30)))
+        assert list(pii._emails(t)) == [m.span() for m in rule.finditer(t)], t
+    began = time.process_time()
+    assert list(pii._emails("a" * 300_000 + "@ " + "b@" * 100_000 + "a@b.c")) and time.process_time() - began < 5
+
+
 def test_semi_markov_sums_match_enumeration():
     z = pii.Zone("a 12-34567 b", 0, 12)
     scores = np.random.default_rng(1).standard_normal((len(z.segments), len(pii.KINDS)))
