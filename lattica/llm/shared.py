@@ -24,6 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="lattica-")
             with contextlib.suppress(Exception):

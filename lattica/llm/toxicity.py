@@ -39,6 +39,8 @@ WIDE_PART = 16
 MANY_PART = 32
 TOGETHER = 64
 SCORED_TOGETHER = 512
+COUNTED_TOGETHER = 60_000
+SEEN = 5000
 PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
 TELLING = 0.8
@@ -55,13 +57,21 @@ def choose_features(examples: DataFrame) -> dict[bytes, int]:
     """examples: text, toxic. The features that tell the labels apart, with their number of examples."""
 
     def count(batches):
+        yes, no = Counter(), Counter()
+
+        def flush():
+            keys = list(yes.keys() | no.keys())
+            rows = pd.DataFrame({"feature": keys, "yes": [yes[k] for k in keys], "no": [no[k] for k in keys]})
+            yes.clear(), no.clear()
+            return rows
+
         for b in batches:
-            yes, no = Counter(), Counter()
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 own = {f for w in set(plain_words(text)) for f in features_of(w)}
                 (yes if toxic else no).update(own)
-            keys = list(yes.keys() | no.keys())
-            yield pd.DataFrame({"feature": keys, "yes": [yes[k] for k in keys], "no": [no[k] for k in keys]})
+                if len(yes) + len(no) > COUNTED_TOGETHER:
+                    yield flush()
+        yield flush()
 
     per = examples.mapInPandas(count, "feature binary, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     sizes = examples.groupBy("toxic").count().collect()
@@ -182,7 +192,7 @@ class BlockMaxIndex:
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
         rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])
         cols = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
+        weight = np.concatenate([v[1] for v in vectors]).astype(np.float32) if vectors else np.empty(0, np.float32)
         order = np.argsort(cols, kind="stable")
         self.rows, self.weight, self.starts = rows[order], weight[order], np.append(0, np.cumsum(np.bincount(cols, minlength=features)))
         self.ready = False
@@ -354,7 +364,7 @@ class Model:
         """Score, neighbours and cosines of each text; equal vectors are searched once."""
         vectors = list(self.vectors.of_each(texts))
         keys = [xxhash.xxh3_128_digest(w.tobytes() + x.tobytes()) if len(w) else b"" for w, x in vectors]
-        if len(self.seen) > 20_000:
+        if len(self.seen) > SEEN:
             self.seen.clear()
         seen, new = self.seen, {}
         for key, vector in zip(keys, vectors, strict=True):
