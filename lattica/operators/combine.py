@@ -75,7 +75,10 @@ def update_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One row per coordinate: the first by order. A min over structs, so duplicates shrink before they travel."""
+    """One row per coordinate: the first by order. A min over structs, so duplicates shrink before they travel.
+
+    Of rows that tie in order any one wins; name a total order (the value last, say) where that matters.
+    """
     best = rows.groupBy(*IJK).agg(F.min_by("v", F.struct(*order)).alias("v"))
     return best.select(*IJK, "v")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..model import FACES, IJK, NEAR26, shifted
 
 
@@ -73,7 +74,8 @@ def ijk_to_index(queries: DataFrame, cells: DataFrame, order: str = "ord") -> Da
 
 def ordered(cells: DataFrame, *by: str) -> DataFrame:
     """Adds ord: each row's place from 0. Places come from range-sorted slices and the slices' sizes, so no task sees all."""
-    placed = cells.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    # Cut here: the sizes and the rows below must see one and the same slicing.
+    placed = cut(cells.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per slice

@@ -134,7 +134,7 @@ def update_counts(spark, sf_dir):
 
 @register("from_sparse_first_wins", """WITH p AS (SELECT CAST(floor(l_quantity / 5) AS INT) AS i, CAST(floor(l_discount * 100) AS INT) AS j, CAST(floor(l_tax * 100) AS INT) AS k,
     CAST(l_extendedprice AS FLOAT) AS v, l_orderkey, l_linenumber FROM lineitem), f AS (SELECT i, j, k, v FROM p
-    QUALIFY row_number() OVER (PARTITION BY i, j, k ORDER BY l_orderkey, l_linenumber) = 1)
+    QUALIFY row_number() OVER (PARTITION BY i, j, k ORDER BY l_orderkey, l_linenumber, v) = 1)
     SELECT i, j, k, v, i >> 3 AS leaf_i, j >> 3 AS leaf_j, k >> 3 AS leaf_k, i >> 7 AS lower_i, j >> 7 AS lower_j, k >> 7 AS lower_k,
     i >> 12 AS upper_i, j >> 12 AS upper_j, k >> 12 AS upper_k FROM f""")
 def from_sparse_first_wins(spark, sf_dir):
@@ -142,7 +142,7 @@ def from_sparse_first_wins(spark, sf_dir):
         F.floor(F.col("x") / 5).cast("int").alias("i"), F.floor(F.col("y") * 100).cast("int").alias("j"),
         F.floor(F.col("z") * 100).cast("int").alias("k"), "v", "l_orderkey", "l_linenumber",
     )
-    return combine.with_tree_keys(combine.first_wins(rows, ["l_orderkey", "l_linenumber"]))
+    return combine.with_tree_keys(combine.first_wins(rows, ["l_orderkey", "l_linenumber", "v"]))
 
 
 @register("sparse_to_dense", f"""WITH {A_SQL} SELECT CAST(x.i AS INT) AS i, CAST(y.j AS INT) AS j, CAST(z.k AS INT) AS k, coalesce(a.v, CAST(-1 AS FLOAT)) AS v

@@ -14,16 +14,27 @@ class Fusion:
 
     Versions are written whole and named by the batch, so a batch that is run again after a failure writes the same version
     from the one before it, and readers never see half of one. frames: frame_id to its camera (see integrate_tsdf).
+
+    The folder itself says which versions there are (a written one ends with _SUCCESS), so a new driver with the same folder
+    and checkpoint goes on where the last one stopped; an existing start is kept.
     """
 
     def __init__(self, voxels: DataFrame, path: str, frames: dict[int, dict], size: float):
         self.spark, self.path, self.frames, self.size = voxels.sparkSession, path, frames, size
-        voxels.select("i", "j", "k", "v", "w").write.mode("overwrite").parquet(f"{path}/start")
-        self.done: list[int] = []
+        if "start" not in self._written():
+            voxels.select("i", "j", "k", "v", "w").write.mode("overwrite").parquet(f"{path}/start")
+
+    def _written(self) -> list[str]:
+        """The names of the versions that are written whole."""
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        return [f.getPath().getParent().getName() for f in found or []]
 
     def version(self, before: int | None = None) -> DataFrame:
         """The latest version, or that before a batch."""
-        names = [n for n in self.done if before is None or n < before]
+        numbers = [int(n.removeprefix("batch-")) for n in self._written() if n.startswith("batch-")]
+        names = [n for n in numbers if before is None or n < before]
         return self.spark.read.parquet(f"{self.path}/{f'batch-{max(names)}' if names else 'start'}")
 
     def batch(self, pixels: DataFrame, batch_id: int) -> None:
@@ -35,8 +46,6 @@ class Fusion:
             state = integrate_tsdf(state, pixels.where(pixels["frame_id"] == row["frame_id"]), frame, self.size)
         state.write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
         pixels.unpersist()
-        if batch_id not in self.done:
-            self.done.append(batch_id)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         sink: Callable[[DataFrame, int], None] = self.batch
