@@ -5,9 +5,11 @@ in k slots, and one probe - the AND of k slots - returns every language that con
 per language (bit-sliced popcounts), each sum is corrected for the false positives that its plane's fill predicts, and the
 largest wins.
 
-n-grams are windows of four bytes of the lower-cased text with signs as spaces, named by a hash of NAME_BITS bits; that
-bounds the count table and the filter at any corpus size. All training texts are counted. An n-gram belongs to the
-languages whose rate of it is at least SHARE of the highest.
+n-grams are windows of four bytes of the lower-cased text with signs as spaces, each named by its own bytes. All training
+texts are counted. An n-gram belongs to the languages whose rate of it is at least SHARE of the highest and at least
+LEAST_RATE. Rates of a language add up to 1, so it has at most 1 / LEAST_RATE n-grams, and its plane of the filter is at
+most 40 % full, at any corpus size. Slots are combined by the cluster; the driver gets at most 2^SLOT_BITS of them for each
+64 languages.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .shared import Table, id_remainder, mix64, text_of
 
-NAME_BITS = 20
 SLOT_BITS = 22
 PROBES = 2
 SHARE = 0.5
+LEAST_RATE = 2.0**-20
 MAX_LANGUAGES = 1024
 FLUSH_BYTES = 1 << 23
 _PLAIN_LETTER = re.compile("[A-Za-z]")
@@ -32,7 +34,7 @@ _KEEP = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def gram_names(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram names of all texts end to end, and how many each text has."""
+    """The n-grams of all texts end to end, four bytes as a number each, and how many each text has."""
     parts = [b"   " + t.lower().encode("utf-8", "replace").translate(_KEEP) + b" " for t in texts]
     raw = np.frombuffer(b"".join(parts) + b"   ", np.uint8)
     wide = raw.astype(np.uint32)
@@ -42,7 +44,7 @@ def gram_names(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     per = np.add.reduceat(valid.astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
-    return (window[valid] * np.uint32(2654435769)) >> np.uint32(32 - NAME_BITS), per
+    return window[valid], per
 
 
 def _chunks(frame: pd.DataFrame):
@@ -67,38 +69,59 @@ def count_grams(docs: DataFrame, languages: list[str]) -> DataFrame:
             for lang, own in b.groupby("lang"):
                 for chunk in _chunks(own):
                     names, n = np.unique(gram_names(chunk["text"].tolist())[0], return_counts=True)
-                    yield pd.DataFrame({"language": np.full(len(names), index[lang], np.int32), "name": names.astype(np.int32), "n": n})
+                    yield pd.DataFrame({"language": np.full(len(names), index[lang], np.int32), "name": names.astype(np.int64), "n": n})
 
-    each = docs.mapInPandas(count, "language int, name int, n long")
+    each = docs.mapInPandas(count, "language int, name long, n long")
     return each.groupBy("language", "name").agg(F.sum("n").alias("n"))
 
 
-def slots_of(names: np.ndarray) -> list[np.ndarray]:
+def slots_of(names: np.ndarray, slot_bits: int = SLOT_BITS) -> list[np.ndarray]:
     mixed = mix64(names.astype(np.uint64) + np.uint64(1))
-    return [((mixed >> np.uint64(31 * j)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for j in range(PROBES)]
+    return [((mixed >> np.uint64(31 * j)) & np.uint64((1 << slot_bits) - 1)).astype(np.int64) for j in range(PROBES)]
 
 
-def build_filter(members: pd.DataFrame, languages: int) -> np.ndarray:
-    """members: name, language. Planes x slots; a plane's type is the narrowest that holds its languages."""
+def member_grams(counts: DataFrame) -> DataFrame:
+    """name, language: the n-grams that a language contains. counts: language, name, n."""
+    sizes = counts.groupBy("language").agg(F.sum("n").alias("all"))
+    rates = counts.join(F.broadcast(sizes), "language").withColumn("rate", F.col("n") / F.col("all"))  # a row a language
+    best = rates.groupBy("name").agg(F.max("rate").alias("best"))
+    frequent = rates.where(F.col("rate") >= LEAST_RATE)
+    return frequent.join(best, "name").where(F.col("rate") >= SHARE * F.col("best")).select("name", "language")
+
+
+def filter_slots(members: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
+    """plane, slot, bits: the filter's slots that are not empty, each with the bits of its languages."""
+
+    def place(batches):
+        for b in batches:
+            language = b["language"].to_numpy()
+            bits = (np.uint64(1) << (language % 64).astype(np.uint64)).view(np.int64)
+            for s in slots_of(b["name"].to_numpy(), slot_bits):
+                yield pd.DataFrame({"plane": (language // 64).astype(np.int32), "slot": s.astype(np.int32), "bits": bits})
+
+    return members.mapInPandas(place, "plane int, slot int, bits long").groupBy("plane", "slot").agg(F.bit_or("bits").alias("bits"))
+
+
+def build_filter(slots: pd.DataFrame, languages: int, slot_bits: int = SLOT_BITS) -> np.ndarray:
+    """Planes x slots; a plane's type is the narrowest that holds its languages."""
     kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if languages <= bits or bits == 64)
-    planes = np.zeros((max(1, -(-languages // 64)), 1 << SLOT_BITS), kind)
-    language = members["language"].to_numpy()
-    slots = slots_of(members["name"].to_numpy())
-    for plane in range(len(planes)):
-        own = language // 64 == plane
-        bit = (np.uint64(1) << (language[own] % 64).astype(np.uint64)).astype(kind)
-        for s in slots:
-            np.bitwise_or.at(planes[plane], s[own], bit)
+    planes = np.zeros((max(1, -(-languages // 64)), 1 << slot_bits), kind)
+    planes[slots["plane"], slots["slot"]] = slots["bits"].to_numpy().view(np.uint64).astype(kind)
     return planes
 
 
+def filter_fill(planes: np.ndarray, languages: int) -> np.ndarray:
+    """For each language the part of its plane that is set."""
+    return np.array([((planes[i // 64] >> planes.dtype.type(i % 64)) & planes.dtype.type(1)).mean() for i in range(languages)])
+
+
 def filter_scores(planes: np.ndarray, fill: np.ndarray, texts: list[str]) -> np.ndarray:
     """Texts x languages: the n-grams that a language contains, corrected for false positives."""
     names, per = gram_names(texts)
     out = np.zeros((len(texts), len(fill)))
     if not len(names):
         return out
-    slots, full = slots_of(names), per > 0
+    slots, full = slots_of(names, planes.shape[1].bit_length() - 1), per > 0
     starts = (np.cumsum(per) - per)[full]
     wrong = fill**PROBES
     for plane in range(len(planes)):
@@ -131,12 +154,8 @@ def identify_languages(docs: DataFrame, train: DataFrame) -> DataFrame:
     if not languages:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     counts = Table(count_grams(known, languages), "grams").read()
-    top = counts.groupBy("language").agg(F.sum("n").alias("all"))
-    rates = counts.join(F.broadcast(top), "language").withColumn("rate", F.col("n") / F.col("all"))
-    best = rates.groupBy("name").agg(F.max("rate").alias("best"))
-    members = rates.join(best, "name").where(F.col("rate") >= SHARE * F.col("best")).select("name", "language").toPandas()
-    planes = build_filter(members, len(languages))
-    fill = np.array([((planes[i // 64] >> planes.dtype.type(i % 64)) & planes.dtype.type(1)).mean() for i in range(len(languages))])
+    planes = build_filter(filter_slots(member_grams(counts)).toPandas(), len(languages))
+    fill = filter_fill(planes, len(languages))
     held, usual = sc.broadcast(planes), max(sizes, key=lambda x: sizes[x])
     usual_part = sizes[usual] / sum(sizes.values())
 

@@ -312,6 +312,48 @@ def test_language_id(spark):
     assert [x["lang_pred"] for x in odd if x["doc_id"] == 900] == ["und"] and [(x["held_out"], x["lang_pred"]) for x in odd if x["doc_id"] is None] == [(True, "en")] * 2
 
 
+def test_filter_holds_every_gram_and_its_corrected_counts_are_near_the_exact_ones(spark):
+    small = 11  # slot bits, so few that false positives are many
+    r = random.Random(5)
+    languages = [f"l{n:02}" for n in range(70)]  # two planes
+    own = {la: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40)] for la in languages}
+    train = [(la, " ".join(own[la][n % 40 :])) for la in languages for n in range(0, 40, 20)]
+    counts = language_id.count_grams(spark.createDataFrame([(t, la) for la, t in train], "text string, lang string"), languages)
+    exact = {la: collections.Counter() for la in languages}
+    for la, t in train:
+        exact[la].update(language_id.gram_names([t])[0].tolist())
+    assert {(languages[x["language"]], x["name"]): x["n"] for x in counts.collect()} == {(la, g): n for la, c in exact.items() for g, n in c.items()}
+    rate = {la: {g: n / sum(c.values()) for g, n in c.items()} for la, c in exact.items()}
+    best = collections.defaultdict(float)
+    for c in rate.values():
+        for g, x in c.items():
+            best[g] = max(best[g], x)
+    members = {la: {g for g, x in c.items() if x >= language_id.SHARE * best[g]} for la, c in rate.items()}
+    found = language_id.member_grams(counts)
+    assert {(languages[x["language"]], x["name"]) for x in found.collect()} == {(la, g) for la, c in members.items() for g in c}
+    planes = language_id.build_filter(language_id.filter_slots(found, small).toPandas(), 70, small)
+    fill = language_id.filter_fill(planes, 70)
+    for n, la in enumerate(languages):
+        bits = [planes[n // 64][s] >> np.uint64(n % 64) & np.uint64(1) for s in language_id.slots_of(np.array(sorted(members[la])), small)]
+        assert all(b.all() for b in bits)
+    text = " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(8000))  # mostly grams of no language
+    grams, per = language_id.gram_names([text])
+    scores = language_id.filter_scores(planes, fill, [text])[0]
+    want = np.array([np.isin(grams, sorted(members[la])).sum() for la in languages])
+    wrong = fill**language_id.PROBES
+    raw = scores * (1 - wrong) + wrong * per[0]  # hits before the correction
+    assert np.abs(raw - want).mean() > 0.02 * per[0] and np.abs(scores - want).mean() < 0.25 * np.abs(raw - want).mean()
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {x["doc_id"]: x["lang"] for x in docs.select("doc_id", "lang").collect()}
+    held = [x for x in language_id.language_query(docs).collect() if x["held_out"] and x["lang_pred"] != "und"]
+    most = collections.Counter(truth.values()).most_common(1)[0][1] / len(truth)
+    right = sum(x["lang_pred"] == truth[x["doc_id"]] for x in held) / len(held)
+    assert len(held) > 200 and right > max(most, 0.95)
+
+
 # 5
 
 
