@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import IJK
-from .sampling import _linear, _parabola, _taps
+from .sampling import _finite, _linear, _parabola, _taps, trilinear
 
 
 def conv3d_vjp_values(grads: DataFrame, kernel: dict[tuple[int, int, int], float], topology: DataFrame) -> DataFrame:
@@ -34,11 +34,47 @@ def sample_vjp_grid(points: DataFrame, dims, order: int = 1, origin=(0.0, 0.0, 0
     return spread.groupBy(*IJK).agg(F.sum(F.col("_w") * F.col("g")).alias("v"))
 
 
-def csg_union_vjp(a: DataFrame, b: DataFrame, grads: DataFrame) -> DataFrame:
-    """i, j, k, ga, gb: the lesser side gets the gradient, b where they tie."""
+def sample_vjp_points(points: DataFrame, key: str, voxels: DataFrame, dims, origin=(0.0, 0.0, 0.0), size=1.0) -> DataFrame:
+    """key, gx, gy, gz: what a move of each point changes. points: key, x, y, z, g (of the sampled value).
+
+    The taps are the sampler's. Along the axis of the derivative a tap weighs -1 or 1, along the others as in the sampler, so
+    at the border, where both taps read one cell, the change is 0. A point that is not finite has no gradient.
+    """
+    slope = lambda f: [F.lit(-1.0 / size), F.lit(1.0 / size)]
+    taps = _taps(points.select(key, "x", "y", "z", "g"), dims, origin, size, 0, 1, _linear, {f"_d{c}": (c, slope) for c in IJK})
+    met = taps.join(voxels.select(*IJK, F.col("v").cast("double").alias("_v")), list(IJK), "left")
+    part = lambda c: F.sum(F.col(f"_d{c}") * F.coalesce("_v", F.lit(0.0)) * F.col("g"))
+    got = met.groupBy(key).agg(*(part(c).alias(f"g{x}") for c, x in zip(IJK, "xyz", strict=True)))
+    fine = points.select(key, _finite(*(F.col(x).cast("double") for x in "xyz")).alias("_fine"))
+    return fine.join(got, key).select(key, *(F.when(F.col("_fine"), F.col(f"g{x}")).otherwise(0.0).alias(f"g{x}") for x in "xyz"))
+
+
+def splat_vjp_values(points: DataFrame, key: str, grads: DataFrame, dims, origin=(0.0, 0.0, 0.0), size=1.0) -> DataFrame:
+    """key, g: splatting is the transpose of sampling, so a value's gradient is the gradient grid (i, j, k, g) sampled there."""
+    return trilinear(points, key, grads.select(*IJK, "g"), dims, origin, size, values=("g",))
+
+
+def _csg_vjp(a: DataFrame, b: DataFrame, grads: DataFrame, order, sign: float) -> DataFrame:
+    """The side that gives the result gets the gradient; where both do, half each. order(va, vb) > 0: a gives it."""
     met = a.select(*IJK, F.col("v").alias("_a")).join(b.select(*IJK, F.col("v").alias("_b")), list(IJK)).join(grads, list(IJK))
-    first = F.col("_a") < F.col("_b")
-    return met.select(*IJK, F.when(first, F.col("g")).otherwise(0.0).alias("ga"), F.when(first, 0.0).otherwise(F.col("g")).alias("gb"))
+    lead = F.signum(order(F.col("_a").cast("double"), F.col("_b").cast("double")))
+    part = (lead + 1) / 2
+    return met.select(*IJK, (part * F.col("g")).alias("ga"), ((1 - part) * sign * F.col("g")).alias("gb"))
+
+
+def csg_union_vjp(a: DataFrame, b: DataFrame, grads: DataFrame) -> DataFrame:
+    """i, j, k, ga, gb of min(a, b)."""
+    return _csg_vjp(a, b, grads, lambda x, y: y - x, 1.0)
+
+
+def csg_intersection_vjp(a: DataFrame, b: DataFrame, grads: DataFrame) -> DataFrame:
+    """i, j, k, ga, gb of max(a, b)."""
+    return _csg_vjp(a, b, grads, lambda x, y: x - y, 1.0)
+
+
+def csg_difference_vjp(a: DataFrame, b: DataFrame, grads: DataFrame) -> DataFrame:
+    """i, j, k, ga, gb of max(a, -b)."""
+    return _csg_vjp(a, b, grads, lambda x, y: x + y, -1.0)
 
 
 def laplacian_vjp(grads: DataFrame, dims, size: float = 1.0) -> DataFrame:

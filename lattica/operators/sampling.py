@@ -23,18 +23,25 @@ def _finite(*columns: Column) -> Column:
     return out
 
 
-def _taps(points: DataFrame, dims, origin, size, low: int, high: int, weights) -> DataFrame:
-    """Each point's taps: clamped cells with their weight. weights(fraction) gives a column per step from low to high."""
+def _taps(points: DataFrame, dims, origin, size, low: int, high: int, weights, others=None) -> DataFrame:
+    """Each point's taps: clamped cells with their weight. weights(fraction) gives a column per step from low to high.
+
+    others: further weights, name to (axis, weights along that axis); along the other axes they are the usual ones.
+    """
+    others = others or {}
     held = points
     for c, x, n, o in zip(IJK, "xyz", dims, origin, strict=True):
         held = held.withColumn(f"_c{c}", _index_coord(F.col(x).cast("double"), n, o, size))
         held = held.withColumn(f"_b{c}", F.floor(f"_c{c}").cast("int"))
     for c, n in zip(IJK, dims, strict=True):
-        w = weights(F.col(f"_c{c}") - F.col(f"_b{c}"))
-        options = F.array(*(F.struct(F.least(F.greatest(F.col(f"_b{c}") + s, F.lit(0)), F.lit(n - 1)).cast("int").alias("at"), w[s - low].alias("w"), F.lit(s).alias("s")) for s in range(low, high + 1)))
+        f = F.col(f"_c{c}") - F.col(f"_b{c}")
+        own = {"w": weights(f)} | {name: kind(f) for name, (axis, kind) in others.items() if axis == c}
+        cell = lambda s: F.least(F.greatest(F.col(f"_b{c}") + s, F.lit(0)), F.lit(n - 1)).cast("int").alias("at")  # noqa: B023, E731
+        options = F.array(*(F.struct(cell(s), F.lit(s).alias("s"), *(w[s - low].alias(name) for name, w in own.items())) for s in range(low, high + 1)))
         held = held.withColumn(f"_t{c}", F.explode(options))
     return held.select(
         *points.columns, *(F.col(f"_t{c}.at").alias(c) for c in IJK), (F.col("_ti.w") * F.col("_tj.w") * F.col("_tk.w")).alias("_w"),
+        *(math.prod((F.col(f"_t{c}.{name if c == axis else 'w'}") for c in IJK), start=F.lit(1.0)).alias(name) for name, (axis, _) in others.items()),
         *((F.col(f"_b{c}") + F.col(f"_t{c}.s")).alias(f"_raw{c}") for c in IJK),
     )
 
@@ -141,15 +148,15 @@ def ray_cast(rays: DataFrame, dense: DataFrame, dims, n: int, iso: float = 0.0)
     return segments_along_ray(rays, dense, dims, n, iso).groupBy("ray_id").agg(F.min("t_in").alias("t"))
 
 
-def voxels_along_ray(rays: DataFrame, dims, most: int) -> DataFrame:
+def voxels_along_ray(rays: DataFrame, dims) -> DataFrame:
     """ray_id, i, j, k: the cells of the unit grid that each ray passes between tmin and tmax.
 
     A ray's cells change where it crosses a plane of the lattice: the crossings of the three axes are made as arrays, merged
-    and sorted, and the middle of each stretch between two of them names a cell. At most `most` planes an axis.
+    and sorted, and the middle of each stretch between two of them names a cell.
     """
     cuts = []
     for x, n in zip("xyz", dims, strict=True):
-        planes, at, along = F.sequence(F.lit(0), F.lit(min(n, most))), F.col(f"o{x}"), F.col(f"d{x}")
+        planes, at, along = F.sequence(F.lit(0), F.lit(n)), F.col(f"o{x}"), F.col(f"d{x}")
         crossed = F.transform(planes, lambda p: (p - at) / along)  # noqa: B023  (used at once)
         cuts.append(F.when(F.abs(along) > 1e-12, crossed).otherwise(F.array().cast("array<double>")))
     inner = F.filter(F.concat(*cuts), lambda t: (t > F.col("tmin")) & (t < F.col("tmax")))
@@ -177,9 +184,11 @@ def volume_render(rays: DataFrame, density: DataFrame, dims, n: int, sigma: floa
     return used.groupBy("ray_id").agg(((1 - through) + through * background).alias("pixel"))
 
 
-def integrate_tsdf(voxels: DataFrame, pixels: DataFrame, frame: dict, size: float, origin=(0.0, 0.0, 0.0)) -> DataFrame:
+def integrate_tsdf(voxels: DataFrame, pixels: DataFrame, frame: dict, size: float, origin=(0.0, 0.0, 0.0), colors: tuple[str, ...] = ()) -> DataFrame:
     """voxels: i, j, k, v, w; pixels: u, v, depth. One frame's running mean; voxels that no pixel reaches stay as they are.
 
+    colors: columns that voxels and pixels both have (such as r, g, b) and whose running means are kept beside the distance.
+
     frame: fx, fy, cx, cy, width, height, pose (12, camera to world), trunc, dmin, dmax.
     """
     m = invert_rigid_pose(frame["pose"])
@@ -191,14 +200,12 @@ def integrate_tsdf(voxels: DataFrame, pixels: DataFrame, frame: dict, size: floa
     placed = placed.withColumn("_v", F.when(front, F.floor(frame["fy"] * cam[1] / F.col("_z") + frame["cy"] + 0.5)))
     seen = pixels.where(F.col("depth").between(frame["dmin"], frame["dmax"]))
     seen = seen.where(F.col("u").between(0, frame["width"] - 1) & F.col("v").between(0, frame["height"] - 1))
-    seen = seen.select(F.col("u").cast("long").alias("_u"), F.col("v").cast("long").alias("_v"), F.col("depth").alias("_d"))
+    seen = seen.select(F.col("u").cast("long").alias("_u"), F.col("v").cast("long").alias("_v"), F.col("depth").alias("_d"), *(F.col(c).alias(f"_{c}") for c in colors))
     sdf = F.col("_d") - F.col("_z")
     met = placed.join(seen, ["_u", "_v"], "left").withColumn("_s", F.when(sdf >= -frame["trunc"], F.least(sdf, F.lit(frame["trunc"]))))
     hit = F.col("_s").isNotNull()
-    return met.select(
-        *IJK, F.when(hit, (F.col("v") * F.col("w") + F.col("_s")) / (F.col("w") + 1)).otherwise(F.col("v")).alias("v"),
-        F.when(hit, F.col("w") + 1).otherwise(F.col("w")).alias("w"),
-    )
+    mean = lambda held, new: F.when(hit, (F.col(held) * F.col("w") + F.col(new)) / (F.col("w") + 1)).otherwise(F.col(held)).alias(held)
+    return met.select(*IJK, mean("v", "_s"), F.when(hit, F.col("w") + 1).otherwise(F.col("w")).alias("w"), *(mean(c, f"_{c}") for c in colors))
 
 
 #: Explicit Runge-Kutta steps: for each stage the weights of the stages before it, then those of the sum.

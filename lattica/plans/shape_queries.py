@@ -245,7 +245,7 @@ def ray_cast(spark, sf_dir):
 
 @register("voxels_along_ray")
 def voxels_along_ray(spark, sf_dir):
-    return sampling.voxels_along_ray(_rays(spark, sf_dir), DENSE_DIMS, 64)
+    return sampling.voxels_along_ray(_rays(spark, sf_dir), DENSE_DIMS)
 
 
 @register("volume_render")
@@ -270,6 +270,21 @@ def integrate_tsdf(spark, sf_dir):
     return _rounded(sampling.integrate_tsdf(voxels, pixels, _FRAME, 1.0), "v")
 
 
+@register("integrate_tsdf_color", f"""WITH {DENSE_SQL}, px AS (SELECT u, v, 3.0 + (u * 7 + v * 3) % 11 * 0.7 AS depth, CAST(u * 15 AS DOUBLE) AS r, CAST(v * 13 AS DOUBLE) AS g, CAST((u + v) * 8 AS DOUBLE) AS b FROM range(0, 16) a(u) CROSS JOIN range(0, 16) b(v)),
+    g AS (SELECT i, j, k, v / 10 AS v, 2.0 AS w, i * 10 AS r0, j * 10 AS g0, k * 10 AS b0, i + 0.5 - 5.5 AS x, j + 0.5 - 5.5 AS y, k + 0.5 + 4.0 AS z FROM dense),
+    m AS (SELECT g.*, px.r, px.g, px.b, CASE WHEN px.depth - z >= -2.5 THEN least(px.depth - z, 2.5) END AS s FROM g LEFT JOIN px
+    ON px.u = floor(9.0 * x / z + 8.0 + 0.5) AND px.v = floor(9.0 * y / z + 8.0 + 0.5) AND px.depth BETWEEN 0.5 AND 20.0)
+    SELECT i, j, k, round(CASE WHEN s IS NULL THEN v ELSE (v * w + s) / (w + 1) END, 6) + 0.0 AS v, CAST(CASE WHEN s IS NULL THEN w ELSE w + 1 END AS DOUBLE) AS w,
+    round(CASE WHEN s IS NULL THEN r0 ELSE (r0 * w + r) / (w + 1) END, 6) + 0.0 AS r, round(CASE WHEN s IS NULL THEN g0 ELSE (g0 * w + g) / (w + 1) END, 6) + 0.0 AS g, round(CASE WHEN s IS NULL THEN b0 ELSE (b0 * w + b) / (w + 1) END, 6) + 0.0 AS b FROM m""")
+def integrate_tsdf_color(spark, sf_dir):
+    n = F.col("id")
+    pixels = spark.range(256).select((n % 16).cast("int").alias("u"), F.floor(n / 16).cast("int").alias("v"))
+    pixels = pixels.withColumn("depth", 3.0 + (F.col("u") * 7 + F.col("v") * 3) % 11 * 0.7)
+    pixels = pixels.withColumns({"r": F.col("u") * 15.0, "g": F.col("v") * 13.0, "b": (F.col("u") + F.col("v")) * 8.0})
+    voxels = dense(spark, sf_dir).select(*IJK, (F.col("v") / 10).alias("v"), F.lit(2.0).alias("w"), (F.col("i") * 10.0).alias("r"), (F.col("j") * 10.0).alias("g"), (F.col("k") * 10.0).alias("b"))
+    return _rounded(sampling.integrate_tsdf(voxels, pixels, _FRAME, 1.0, colors=("r", "g", "b")), "v", "r", "g", "b")
+
+
 @register("apply_affine", f"""WITH {_POINTS} SELECT p_partkey, round(x * 0.5 + y * -0.25 + z * 0.1 + 1, 6) + 0.0 AS x, round(x * 0.0 + y * 2 + z * 1 - 3, 6) + 0.0 AS y, round(x * -1 + y * 0.0 + z * 0.75 + 0.5, 6) + 0.0 AS z FROM pts""")
 def apply_affine(spark, sf_dir):
     return _rounded(sampling.apply_affine(_part_points(spark, sf_dir), [0.5, -0.25, 0.1, 1.0, 0.0, 2.0, 1.0, -3.0, -1.0, 0.0, 0.75, 0.5]), "x", "y", "z")

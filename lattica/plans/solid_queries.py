@@ -184,10 +184,34 @@ def sample_vjp_grid(spark, sf_dir):
     return _rounded(gradients.sample_vjp_grid(points, DENSE_DIMS), "v", places=5)
 
 
-@register("csg_union_vjp", f"""WITH {A_SQL}, {B_SQL}, {_GRADS} SELECT a.i, a.j, a.k, CASE WHEN a.v < b.v THEN g ELSE 0 END AS ga, CASE WHEN a.v < b.v THEN 0 ELSE g END AS gb
-    FROM a JOIN b ON a.i = b.i AND a.j = b.j AND a.k = b.k JOIN gr ON gr.i = a.i AND gr.j = a.j AND gr.k = a.k""")
-def csg_union_vjp(spark, sf_dir):
-    return gradients.csg_union_vjp(lattice(spark, sf_dir, "R"), lattice(spark, sf_dir, "A"), _grads(spark, sf_dir))
+for _op, _a_wins, _b_wins, _sign in (("union", "a.v < b.v", "b.v < a.v", ""), ("intersection", "a.v > b.v", "b.v > a.v", ""), ("difference", "a.v > -b.v", "-b.v > a.v", "-")):
+    _sql = f"""WITH {A_SQL}, {B_SQL}, {_GRADS}
+        SELECT a.i, a.j, a.k, CASE WHEN {_a_wins} THEN g WHEN {_b_wins} THEN 0 ELSE 0.5 * g END + 0.0 AS ga, CASE WHEN {_a_wins} THEN 0 WHEN {_b_wins} THEN {_sign}g ELSE {_sign}0.5 * g END + 0.0 AS gb
+        FROM a JOIN b ON a.i = b.i AND a.j = b.j AND a.k = b.k JOIN gr ON gr.i = a.i AND gr.j = a.j AND gr.k = a.k"""
+    register(f"csg_{_op}_vjp", _sql)(lambda spark, sf_dir, op=_op: _csg_grads(spark, sf_dir, op))
+
+
+def _csg_grads(spark, sf_dir, op):
+    f = {"union": gradients.csg_union_vjp, "intersection": gradients.csg_intersection_vjp, "difference": gradients.csg_difference_vjp}[op]
+    made = f(lattice(spark, sf_dir, "R"), lattice(spark, sf_dir, "A"), _grads(spark, sf_dir))
+    return made.select(*IJK, (F.col("ga") + 0.0).alias("ga"), (F.col("gb") + 0.0).alias("gb"))
+
+
+def _slope_sql(axis):
+    return " * ".join(f"(CASE s{c} WHEN 0 THEN -1 ELSE 1 END)" if c == axis else f"({_LIN.format(c)})" for c in IJK)
+
+
+@register("sample_vjp_points", f"""{_tap_sql(_LIN, (0, 1))} SELECT p_partkey, {", ".join(f"round(sum({_slope_sql(c)} * d.v * (p_partkey % 100) / 10.27642), 5) + 0.0 AS g{x}" for c, x in zip(IJK, "xyz", strict=True))}
+    FROM t {_JOIN} GROUP BY 1""")
+def sample_vjp_points(spark, sf_dir):
+    points = _part_points(spark, sf_dir).withColumn("g", (F.col("p_partkey") % 100) / 10.27642)
+    return _rounded(gradients.sample_vjp_points(points, "p_partkey", dense(spark, sf_dir), DENSE_DIMS), "gx", "gy", "gz", places=5)
+
+
+@register("splat_vjp_values", f"{_tap_sql(_LIN, (0, 1))} SELECT p_partkey, round(sum(w * (d.v * 0.317 + d.i)), 6) + 0.0 AS g FROM t {_JOIN} GROUP BY 1")
+def splat_vjp_values(spark, sf_dir):
+    grads = dense(spark, sf_dir).select(*IJK, (F.col("v") * 0.317 + F.col("i")).alias("g"))
+    return _rounded(gradients.splat_vjp_values(_part_points(spark, sf_dir), "p_partkey", grads, DENSE_DIMS), "g")
 
 
 @register("max_pool_vjp", f"""WITH {DENSE_SQL}, b AS (SELECT i, j, k, row_number() OVER (PARTITION BY i // 2, j // 3, k // 2 ORDER BY v DESC, k, j, i) AS r FROM dense)
@@ -200,37 +224,120 @@ def max_pool_vjp(spark, sf_dir):
     return gradients.max_pool_vjp(dense(spark, sf_dir), (2, 3, 2), grads)
 
 
-_DIR = (0.3, -0.5, 0.8)
+def _sh_sql(degree):
+    """Terms of the sum as text: factor, polynomial of the unit direction."""
+    c1, c2, c3 = splats.SH1, splats.SH2, splats.SH3
+    terms = [
+        (splats.SH0, "1"), (-c1, "y"), (c1, "z"), (-c1, "x"),
+        (c2[0], "x*y"), (c2[1], "y*z"), (c2[2], "(2*z*z - x*x - y*y)"), (c2[3], "x*z"), (c2[4], "(x*x - y*y)"),
+        (c3[0], "y*(3*x*x - y*y)"), (c3[1], "x*y*z"), (c3[2], "y*(4*z*z - x*x - y*y)"), (c3[3], "z*(2*z*z - 3*x*x - 3*y*y)"),
+        (c3[4], "x*(4*z*z - x*x - y*y)"), (c3[5], "z*(x*x - y*y)"), (c3[6], "x*(x*x - 3*y*y)"),
+    ][: (degree + 1) ** 2]
+    total = lambda c: " + ".join(f"CAST({f!r} AS DOUBLE) * {p} * CAST(embedding[{3 * n + c + 1}] AS DOUBLE)" for n, (f, p) in enumerate(terms))
+    return f"""d AS (SELECT vec_id, embedding, CAST(embedding[51] AS DOUBLE) AS a, CAST(embedding[52] AS DOUBLE) AS b, CAST(embedding[53] AS DOUBLE) AS c FROM embeddings),
+        u AS (SELECT *, a / sqrt(a*a + b*b + c*c) AS x, b / sqrt(a*a + b*b + c*c) AS y, c / sqrt(a*a + b*b + c*c) AS z FROM d),
+        sh AS (SELECT vec_id, """ + ", ".join(f"greatest({total(n)} + 0.5, 0) AS {c}" for n, c in enumerate("rgb")) + " FROM u)"
 
 
-def _sh_sql():
-    size = sum(c * c for c in _DIR) ** 0.5
-    x, y, z = (c / size for c in _DIR)
-    basis = [splats.SH0, -splats.SH1 * y, splats.SH1 * z, -splats.SH1 * x, splats.SH2[0] * x * y, splats.SH2[1] * y * z, splats.SH2[2] * (2 * z * z - x * x - y * y), splats.SH2[3] * x * z, splats.SH2[4] * (x * x - y * y)]
-    total = lambda base: " + ".join(f"CAST(embedding[{base + n + 1}] AS DOUBLE) * CAST({b!r} AS DOUBLE)" for n, b in enumerate(basis))
-    return "SELECT vec_id, " + ", ".join(f"round(greatest({total(9 * n)} + 0.5, 0), 6) AS {c}" for n, c in enumerate("rgb")) + " FROM embeddings"
+def _directed(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("sid"), "vec_id", "embedding", *(F.col("embedding")[50 + n].alias(f"d{c}") for n, c in enumerate("xyz")))
 
 
-@register("splat_sh_eval", _sh_sql())
-def splat_sh_eval(spark, sf_dir):
-    return _rounded(splats.sh_eval(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _DIR), "r", "g", "b")
+for _degree in range(4):
+    _sql = f"WITH {_sh_sql(_degree)} SELECT vec_id, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM sh"
+    register(f"splat_sh_eval_{_degree}", _sql)(
+        lambda spark, sf_dir, degree=_degree: _rounded(splats.sh_eval(_directed(spark, sf_dir), "vec_id", "embedding", ("dx", "dy", "dz"), degree), "r", "g", "b")
+    )
 
 
 def _splats(spark, sf_dir):
     e = lambda n: F.col("embedding")[n].cast("double")
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("sid"), (e(0) * 2).alias("x"), (e(1) * 2).alias("y"), (F.abs(e(2)) * 5 + 2).alias("z"), e(3).alias("qx"), e(4).alias("qy"),
-        e(5).alias("qz"), (e(6) + 2).alias("qw"), (e(7) - 2).alias("sx"), (e(8) - 2).alias("sy"), (e(9) - 2).alias("sz"), e(10).alias("logit"), "embedding",
+        e(5).alias("qz"), F.sqrt(1 - e(3) * e(3) - e(4) * e(4) - e(5) * e(5)).alias("qw"), (e(7) - 2).alias("sx"), (e(8) - 2).alias("sy"), (e(9) - 2).alias("sz"),
+        e(10).alias("logit"),
     )
 
 
-@register("splat_project")
+_CAMERA = splats.perspective(40.0, 40.0, 16.0, 16.0)
+_E = "CAST(embedding[{}] AS DOUBLE)".format
+_TURN = {"r00": "1 - 2*(y*y + z*z)", "r01": "2*(x*y - w*z)", "r02": "2*(x*z + w*y)", "r10": "2*(x*y + w*z)", "r11": "1 - 2*(x*x + z*z)", "r12": "2*(y*z - w*x)", "r20": "2*(x*z - w*y)", "r21": "2*(y*z + w*x)", "r22": "1 - 2*(x*x + y*y)"}
+_TURNED = f"""q AS (SELECT vec_id AS sid, embedding, {_E(1)} * 2 AS mx, {_E(2)} * 2 AS my, abs({_E(3)}) * 5 + 2 AS mz, {_E(4)} AS x, {_E(5)} AS y, {_E(6)} AS z,
+    sqrt(1 - {_E(4)} * {_E(4)} - {_E(5)} * {_E(5)} - {_E(6)} * {_E(6)}) AS w, {_E(8)} - 2 AS sx, {_E(9)} - 2 AS sy, {_E(10)} - 2 AS sz, {_E(11)} AS logit FROM embeddings),
+    r AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _TURN.items())} FROM q)"""
+
+
+def _cov_sql(p, q):
+    return f"(r{p}0 * r{q}0 * vx + r{p}1 * r{q}1 * vy + r{p}2 * r{q}2 * vz) AS s{p}{q}"
+
+
+_PROJECT = f"""{_TURNED}, sc AS (SELECT *, pow(2.0, 2 * sx) AS vx, pow(2.0, 2 * sy) AS vy, pow(2.0, 2 * sz) AS vz FROM r),
+    cv AS (SELECT *, {", ".join(_cov_sql(p, q) for p in range(3) for q in range(p, 3))}, 40 / mz AS jx, -40 * mx / (mz * mz) AS jp, -40 * my / (mz * mz) AS jq FROM sc WHERE mz > 0.01),
+    fl AS (SELECT *, jx*jx*s00 + 2*jx*jp*s02 + jp*jp*s22 + 0.3 AS fa, jx*jx*s01 + jx*jq*s02 + jp*jx*s12 + jp*jq*s22 AS fb, jx*jx*s11 + 2*jx*jq*s12 + jq*jq*s22 + 0.3 AS fc FROM cv),
+    pr AS (SELECT sid, 40 * mx / mz + 16 AS u, 40 * my / mz + 16 AS v, mz AS depth, fc / (fa*fc - fb*fb) AS ca, -fb / (fa*fc - fb*fb) AS cb, fa / (fa*fc - fb*fb) AS cc,
+        3 * sqrt((fa + fc) / 2 + sqrt((fa - fc) * (fa - fc) + 4*fb*fb) / 2) AS radius, 1 / (1 + exp(-logit)) AS opacity FROM fl)"""
+_PROJECTED = ("u", "v", "depth", "ca", "cb", "cc", "radius", "opacity")
+
+
+@register("splat_project", f"WITH {_PROJECT} SELECT sid, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _PROJECTED)} FROM pr")
 def splat_project(spark, sf_dir):
-    return _rounded(splats.project(_splats(spark, sf_dir), 40.0, 40.0, 16.0, 16.0), "u", "v", "depth", "ca", "cb", "cc", "opacity")
+    return _rounded(splats.project(_splats(spark, sf_dir), _CAMERA), *_PROJECTED)
+
 
+def _seen(spark, sf_dir):
+    return splats.project(_splats(spark, sf_dir), _CAMERA), splats.sh_eval(_directed(spark, sf_dir), "sid", "embedding", ("dx", "dy", "dz"), 3)
 
-@register("splat_raster")
+
+_BLEND = f"""{_PROJECT}, {_sh_sql(3)}, px AS (SELECT CAST(a.x AS INT) AS px, CAST(b.y AS INT) AS py FROM range(0, 32) a(x) CROSS JOIN range(0, 32) b(y)),
+    al AS (SELECT pr.*, px, py, px - u AS dx, py - v AS dy, greatest(0.5 * (ca * (px - u) * (px - u) + cc * (py - v) * (py - v)) + cb * (px - u) * (py - v), 0) AS power
+        FROM pr JOIN px ON px // 16 BETWEEN floor((u - radius) / 16) AND floor((u + radius) / 16) AND py // 16 BETWEEN floor((v - radius) / 16) AND floor((v + radius) / 16)),
+    av AS (SELECT al.*, opacity * exp(-power) AS alpha, r, g, b FROM al JOIN sh ON sh.vec_id = al.sid WHERE power <= 10 AND opacity * exp(-power) >= 0.005),
+    bf AS (SELECT *, coalesce(product(1 - alpha) OVER (PARTITION BY px, py ORDER BY depth, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM av),
+    us AS (SELECT * FROM bf WHERE before >= 0.001)"""
+
+
+@register("splat_raster", f"""WITH {_BLEND}, im AS (SELECT px, py, sum(before * alpha * r) AS r, sum(before * alpha * g) AS g, sum(before * alpha * b) AS b, product(1 - alpha) AS t FROM us GROUP BY 1, 2)
+    SELECT px.px, px.py, round(coalesce(r, 0) + coalesce(t, 1) * 0.1, 6) AS r, round(coalesce(g, 0) + coalesce(t, 1) * 0.2, 6) AS g, round(coalesce(b, 0) + coalesce(t, 1) * 0.3, 6) AS b, round(coalesce(t, 1), 6) AS through
+    FROM px LEFT JOIN im ON im.px = px.px AND im.py = px.py""")
 def splat_raster(spark, sf_dir):
+    return _rounded(splats.rasterize(*_seen(spark, sf_dir), 32, 32, background=(0.1, 0.2, 0.3)), "r", "g", "b", "through")
+
+
+_ASKED = "px, py, (px % 5) / 7.3 AS gr, (py % 3) / 5.1 AS gg, (px + py) % 4 / 6.7 AS gb, px / 41.3 AS ga"
+
+
+@register("splat_raster_vjp", f"""WITH {_BLEND}, gi AS (SELECT {_ASKED} FROM px),
+    ak AS (SELECT us.*, gr, gg, gb, ga, r * gr + g * gg + b * gb AS shown, 0.1 * gr + 0.2 * gg + 0.3 * gb AS back FROM us JOIN gi ON gi.px = us.px AND gi.py = us.py),
+    en AS (SELECT *, product(1 - alpha) OVER (PARTITION BY px, py) AS t,
+        coalesce(sum(before * alpha * shown) OVER (PARTITION BY px, py ORDER BY depth DESC, sid DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM ak),
+    da AS (SELECT *, before * shown - (later + t * (back - ga)) / (1 - alpha) AS da FROM en)
+    SELECT sid, round(sum(alpha * da * (ca * dx + cb * dy)), 4) + 0.0 AS gu, round(sum(alpha * da * (cb * dx + cc * dy)), 4) + 0.0 AS gv, round(sum(-alpha * da * dx * dx / 2), 4) + 0.0 AS gca,
+        round(sum(-alpha * da * dx * dy), 4) + 0.0 AS gcb, round(sum(-alpha * da * dy * dy / 2), 4) + 0.0 AS gcc, round(sum(da * alpha / opacity), 4) + 0.0 AS gopacity,
+        round(sum(before * alpha * gr), 4) + 0.0 AS gr, round(sum(before * alpha * gg), 4) + 0.0 AS gg, round(sum(before * alpha * gb), 4) + 0.0 AS gb FROM da GROUP BY 1""")
+def splat_raster_vjp(spark, sf_dir):
+    n = F.col("id")
+    grads = spark.range(1024).select((n % 32).cast("int").alias("px"), F.floor(n / 32).cast("int").alias("py"))
+    grads = grads.select("px", "py", (F.col("px") % 5 / 7.3).alias("gr"), (F.col("py") % 3 / 5.1).alias("gg"), ((F.col("px") + F.col("py")) % 4 / 6.7).alias("gb"), (F.col("px") / 41.3).alias("ga"))
+    made = splats.rasterize_vjp(*_seen(spark, sf_dir), grads, 32, 32, background=(0.1, 0.2, 0.3))
+    return _rounded(made, *(c for c in made.columns if c != "sid"), places=4)
+
+
+@register("splat_relocate", f"""WITH p AS (SELECT vec_id AS sid, CAST(vec_id % 7 + 1 AS INT) AS n, 1 / (1 + exp(-{_E(11)})) AS o, exp({_E(8)}) AS sx, exp({_E(9)}) AS sy, exp({_E(10)}) AS sz FROM embeddings),
+    w AS (SELECT *, 1 - pow(1 - o, 1.0 / n) AS p FROM p),
+    d AS (SELECT sid, sum(CAST(factorial(CAST(i - 1 AS INT)) / (factorial(CAST(k AS INT)) * factorial(CAST(i - 1 - k AS INT))) AS DOUBLE) * CASE k % 2 WHEN 0 THEN 1 ELSE -1 END / sqrt(k + 1) * pow(p, k + 1)) AS d
+        FROM w JOIN range(1, 8) a(i) ON i <= n JOIN range(0, 7) b(k) ON k < i GROUP BY 1)
+    SELECT sid, round(p, 6) AS opacity, round(o / d * sx, 6) AS sx, round(o / d * sy, 6) AS sy, round(o / d * sz, 6) AS sz FROM w JOIN d USING (sid)""")
+def splat_relocate(spark, sf_dir):
     s = _splats(spark, sf_dir)
-    colors = splats.sh_eval(s, "sid", "embedding", _DIR)
-    return _rounded(splats.rasterize(splats.project(s, 40.0, 40.0, 16.0, 16.0), colors, 32, 32), "r", "g", "b", "through")
+    plain = s.select("sid", (F.col("sid") % 7 + 1).alias("ratio"), (1 / (1 + F.exp(-F.col("logit")))).alias("opacity"), *(F.exp(F.col(c) + 2).alias(c) for c in ("sx", "sy", "sz")))
+    return _rounded(splats.relocate(plain), "opacity", "sx", "sy", "sz")
+
+
+@register("splat_add_noise", f"""WITH {_TURNED}, v AS (SELECT *, exp(2 * sx) AS vx, exp(2 * sy) AS vy, exp(2 * sz) AS vz, 500 / (1 + exp(-100 * (0.005 - 1 / (1 + exp(8 - logit))))) AS gate FROM r),
+    c AS (SELECT *, {", ".join(_cov_sql(p, q) for p in range(3) for q in range(p, 3))}, {_E(21)} * gate AS gx, {_E(22)} * gate AS gy, {_E(23)} * gate AS gz FROM v)
+    SELECT sid, round(mx + s00*gx + s01*gy + s02*gz, 5) + 0.0 AS x, round(my + s01*gx + s11*gy + s12*gz, 5) + 0.0 AS y, round(mz + s02*gx + s12*gy + s22*gz, 5) + 0.0 AS z FROM c""")
+def splat_add_noise(spark, sf_dir):
+    noise = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sid"), *(F.col("embedding")[20 + n].cast("double").alias(f"n{c}") for n, c in enumerate("xyz")))
+    s = _splats(spark, sf_dir).withColumn("logit", F.col("logit") - 8).join(noise, "sid")
+    return _rounded(splats.add_noise(s, 500.0), "x", "y", "z", places=5)

@@ -136,7 +136,7 @@ def test_voxels_along_ray(spark):
     r = np.random.default_rng(2)
     rows = [(n, *map(float, r.uniform(0.1, 4.9, 3)), *map(float, r.uniform(-1, 1, 3)), 0.0, 6.0) for n in range(8)]
     got = defaultdict(set)
-    for x in sampling.voxels_along_ray(rays(spark, rows), (5, 5, 5), 64).collect():
+    for x in sampling.voxels_along_ray(rays(spark, rows), (5, 5, 5)).collect():
         got[x["ray_id"]].add((x["i"], x["j"], x["k"]))
     for n, *o in rows:
         t = np.linspace(0, 6, 60001)[:, None]
@@ -234,10 +234,56 @@ def test_regular_tetrahedron_quality(spark):
 def test_splat_projection_of_a_round_splat(spark):
     row = (1, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)
     s = spark.createDataFrame([row], "sid int, x double, y double, z double, qx double, qy double, qz double, qw double, sx double, sy double, sz double, logit double")
-    got = splats.project(s, 8.0, 8.0, 5.0, 6.0).first()
+    got = splats.project(s, splats.perspective(8.0, 8.0, 5.0, 6.0)).first()
     assert (got["u"], got["v"], got["depth"], got["opacity"]) == (5.0, 6.0, 4.0, 0.5)
     assert got["ca"] == pytest.approx(1 / 4.3) and got["cb"] == pytest.approx(0)
     colors = spark.createDataFrame([(1, 1.0, 0.5, 0.0)], "sid int, r double, g double, b double")
-    image = {(r["px"], r["py"]): r for r in splats.rasterize(splats.project(s, 8.0, 8.0, 5.0, 6.0), colors, 12, 12).collect()}
+    image = {(r["px"], r["py"]): r for r in splats.rasterize(splats.project(s, splats.perspective(8.0, 8.0, 5.0, 6.0)), colors, 12, 12).collect()}
     assert image[5, 6]["r"] == pytest.approx(0.5) and image[5, 6]["through"] == pytest.approx(0.5)
     assert image[6, 6]["g"] == pytest.approx(0.25 * math.exp(-0.5 / 4.3))
+
+
+def test_splat_gradient_is_that_of_the_picture(spark):
+    r = np.random.default_rng(4)
+    names = ["u", "v", "ca", "cb", "cc", "opacity"]
+    rows = [(n, *r.uniform(3, 9, 2), float(n // 2), 0.2, 0.05, 0.3, 30.0, *r.uniform(0.3, 0.9, 4)) for n in range(6)]
+    layout = ["sid", "u", "v", "depth", "ca", "cb", "cc", "radius", "opacity", "r", "g", "b"]
+    rows[3] = (*rows[3][:8], 1.0, *rows[3][9:])  # one that hides what is behind it, and ties in depth
+    ask = [(x, y, *r.uniform(-1, 1, 4)) for x in range(12) for y in range(12)]
+    grads = spark.createDataFrame([(x, y, *map(float, g)) for x, y, *g in ask], "px int, py int, gr double, gg double, gb double, ga double")
+
+    def picture(values):
+        total = 0.0
+        for x, y, gr, gg, gb, ga in ask:
+            through, seen = 1.0, np.zeros(3)
+            for s in sorted(values, key=lambda s: (s["depth"], s["sid"])):
+                dx, dy = x - s["u"], y - s["v"]
+                power = 0.5 * (s["ca"] * dx * dx + s["cc"] * dy * dy) + s["cb"] * dx * dy
+                alpha = s["opacity"] * math.exp(-power) if power <= 10 else 0
+                if alpha >= 1e-9 and through >= 0.001:
+                    seen += through * alpha * np.array([s["r"], s["g"], s["b"]])
+                    through *= 1 - alpha
+            total += (seen + through * np.array([0.1, 0.2, 0.3])) @ [gr, gg, gb] + (1 - through) * ga
+        return total
+
+    base = [dict(zip(layout, map(float, row))) for row in rows]
+    df = spark.createDataFrame([(int(a), *map(float, rest)) for a, *rest in rows], "sid int, " + ", ".join(f"{c} double" for c in layout[1:]))
+    projected, colors = df.drop("r", "g", "b"), df.select("sid", "r", "g", "b")
+    got = {x["sid"]: x for x in splats.rasterize_vjp(projected, colors, grads, 12, 12, threshold=1e-9, background=(0.1, 0.2, 0.3)).collect()}
+    for n in range(6):
+        for c in [*names, "r", "g", "b"]:
+            ends = [picture([{**s, c: s[c] + (step if s["sid"] == n else 0)} for s in base]) for step in (-1e-6, 1e-6)]
+            assert got[n][f"g{c}"] == pytest.approx((ends[1] - ends[0]) / 2e-6, rel=1e-3, abs=1e-4), (n, c)
+    image = {(x["px"], x["py"]): x for x in splats.rasterize(projected, colors, 12, 12, threshold=1e-9, background=(0.1, 0.2, 0.3)).collect()}
+    assert len(image) == 144
+    assert sum(image[x, y]["r"] * gr + image[x, y]["g"] * gg + image[x, y]["b"] * gb + (1 - image[x, y]["through"]) * ga for x, y, gr, gg, gb, ga in ask) == pytest.approx(picture(base))
+
+
+def test_cameras_move_and_cut(spark):
+    row = (1, 1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)
+    s = spark.createDataFrame([row], "sid int, x double, y double, z double, qx double, qy double, qz double, qw double, sx double, sy double, sz double, logit double")
+    moved = (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, -1, 0, 1, 1)
+    got = splats.project(s, splats.perspective(8.0, 8.0, 5.0, 6.0, extrinsics=moved)).first()
+    assert (got["u"], got["v"], got["depth"]) == (5.0, 10.0, 4.0)
+    assert splats.project(s, splats.perspective(8.0, 8.0, 5.0, 6.0, far=3.0)).count() == 0
+    assert splats.orthographic(0.5, 5.0, 6.0, 16, 32).fy == 16.0
