@@ -350,6 +350,25 @@ def offset_active(spark, sf_dir):
     return stencil.offset_active(lattice(spark, sf_dir, "R"), 2.5)
 
 
-@register("mean_curvature_flow")
+def _curvature_sql():
+    """Two steps, each a table of a cell's neighbours by offset and the closed form in their differences."""
+    near = [o for o in CUBE if 0 < sum(map(abs, o)) <= 2]
+    name = lambda o: "v_" + "".join("lmh"[x + 1] for x in o)
+    unit = {"x": (1, 0, 0), "y": (0, 1, 0), "z": (0, 0, 1)}
+    at = lambda **s: name(tuple(sum(unit[c][n] * s[c] for c in s) for n in range(3)))
+    first = ", ".join(f"({at(**{c: 1})} - {at(**{c: -1})}) / 2 AS d{c}, {at(**{c: 1})} - 2 * v + {at(**{c: -1})} AS d{c}{c}" for c in "xyz")
+    mixed = ", ".join(f"({at(**{p: 1, q: 1})} - {at(**{p: 1, q: -1})} - {at(**{p: -1, q: 1})} + {at(**{p: -1, q: -1})}) / 4 AS d{p}{q}" for p, q in ("xy", "xz", "yz"))
+    top = "dx*dx*(dyy + dzz) + dy*dy*(dxx + dzz) + dz*dz*(dxx + dyy) - 2*(dx*dy*dxy + dx*dz*dxz + dy*dz*dyz)"
+    out, last = f"WITH {DENSE_SQL}, {offsets_sql(near)}", "dense"
+    for n in (1, 2):
+        seen = ", ".join(f"max(CASE WHEN di = {a} AND dj = {b} AND dk = {c} THEN s.v END) AS {name((a, b, c))}" for a, b, c in near)
+        out += f""", n{n} AS (SELECT t.i, t.j, t.k, t.v, {seen} FROM {last} t CROSS JOIN o JOIN {last} s ON s.i = t.i + di AND s.j = t.j + dj AND s.k = t.k + dk GROUP BY t.i, t.j, t.k, t.v),
+            d{n} AS (SELECT i, j, k, v, {first}, {mixed} FROM n{n}),
+            m{n} AS (SELECT i, j, k, CASE WHEN i IN (0, 10) OR j IN (0, 10) OR k IN (0, 8) OR dx*dx + dy*dy + dz*dz <= 1e-12 THEN v ELSE v + CAST(0.1 AS DOUBLE) * ({top}) / (dx*dx + dy*dy + dz*dz) END AS v FROM d{n})"""
+        last = f"m{n}"
+    return f"{out} SELECT i, j, k, round(v, 6) + 0.0 AS v FROM {last}"
+
+
+@register("mean_curvature_flow", _curvature_sql())
 def mean_curvature_flow(spark, sf_dir):
     return _rounded(stencil.mean_curvature_flow(dense(spark, sf_dir), DENSE_DIMS, 0.1, 2), "v")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import A_SQL, CUBE, DENSE_DIMS, DENSE_SQL, IJK, dense, lattice, table
+from ..model import A_SQL, CUBE, DENSE_DIMS, DENSE_SQL, FACES, IJK, NEAR26, dense, lattice, offsets_sql, table
 from ..operators import levelset, sampling
 from .field_queries import _rounded
 from .registry import register
@@ -90,27 +90,47 @@ def euler_characteristic(spark, sf_dir):
     return levelset.euler_characteristic(lattice(spark, sf_dir, "R"))
 
 
-@register("segmentation_6")
+def _labels(offsets):
+    """l(id, label): the least id that each cell of a reaches; ids are in scan order."""
+    return f"""WITH RECURSIVE {A_SQL}, {offsets_sql(offsets, "near")}, cell AS (SELECT i, j, k, (CAST(k AS BIGINT) << 42) + (CAST(j AS BIGINT) << 21) + i AS id FROM a),
+        link AS MATERIALIZED (SELECT t.id AS p, s.id AS q FROM cell t CROSS JOIN near JOIN cell s ON s.i = t.i + di AND s.j = t.j + dj AND s.k = t.k + dk),
+        l(id, label) USING KEY (id) AS (SELECT id, id FROM cell
+            UNION SELECT link.q, min(l.label) FROM l JOIN link ON link.p = l.id JOIN recurring.l AS known ON known.id = link.q WHERE l.label < known.label GROUP BY link.q)"""
+
+
+_FIRST = "SELECT i, j, k, CAST(label & 2097151 AS INT) AS label_i, CAST((label >> 21) & 2097151 AS INT) AS label_j, CAST(label >> 42 AS INT) AS label_k FROM l JOIN cell USING (id)"
+
+
+@register("segmentation_6", f"{_labels(FACES)} {_FIRST}")
 def segmentation_6(spark, sf_dir):
     return levelset.first_cells(levelset.segmentation(lattice(spark, sf_dir, "R"), 6))
 
 
-@register("segmentation_26")
+@register("segmentation_26", f"{_labels(NEAR26)} {_FIRST}")
 def segmentation_26(spark, sf_dir):
     return levelset.first_cells(levelset.segmentation(lattice(spark, sf_dir, "R"), 26))
 
 
-@register("genus")
+@register("genus", f"""{_labels(NEAR26)}, {_COMPLEX.split(A_SQL + ", ")[1]}, u AS (SELECT count(DISTINCT label) AS components FROM l)
+    SELECT components, v - e + f - c AS chi, components - (v - e + f - c) AS genus FROM u CROSS JOIN t""")
 def genus(spark, sf_dir):
     return levelset.genus(lattice(spark, sf_dir, "R"))
 
 
-@register("enclosed_regions")
+def _reach_sql(where):
+    """open(i, j, k): the cells with the property that reach the border of the box through such cells."""
+    return f"""WITH RECURSIVE {DENSE_SQL}, {offsets_sql(FACES, "near")}, able AS MATERIALIZED (SELECT i, j, k FROM dense WHERE {where}),
+        open(i, j, k) AS (SELECT i, j, k FROM able WHERE i IN (0, 10) OR j IN (0, 10) OR k IN (0, 8)
+            UNION SELECT able.i, able.j, able.k FROM open CROSS JOIN near JOIN able ON able.i = open.i + di AND able.j = open.j + dj AND able.k = open.k + dk)"""
+
+
+@register("enclosed_regions", f"{_reach_sql('v >= 2.0')} SELECT i, j, k FROM able ANTI JOIN open USING (i, j, k)")
 def enclosed_regions(spark, sf_dir):
     return levelset.enclosed_regions(dense(spark, sf_dir), DENSE_DIMS, 2.0)
 
 
-@register("signed_flood_fill")
+@register("signed_flood_fill", f"""{_reach_sql("abs(v) >= 4.0")} SELECT d.i, d.j, d.k, CASE WHEN abs(v) < 4.0 THEN v WHEN open.i IS NULL THEN -4.0 ELSE 4.0 END AS v
+    FROM dense d LEFT JOIN open ON open.i = d.i AND open.j = d.j AND open.k = d.k""")
 def signed_flood_fill(spark, sf_dir):
     return levelset.signed_flood_fill(dense(spark, sf_dir), DENSE_DIMS, 4.0)
 
@@ -233,22 +253,58 @@ def uniform_ray_samples(spark, sf_dir):
     return _rounded(sampling.uniform_ray_samples(_rays(spark, sf_dir), 9), "t", "x", "y", "z")
 
 
-@register("segments_along_ray")
+_RAYS = """r AS (SELECT s_suppkey AS ray_id, CAST(s_suppkey AS DOUBLE) % 11 AS ox, CAST(s_acctbal AS DOUBLE) / 1000 AS oy, CAST(0.3 AS DOUBLE) - (CAST(s_suppkey AS DOUBLE) % 7) / 10 AS dx FROM supplier),
+    along AS (SELECT ray_id, CAST(n AS INT) AS s, {at} AS t, ox + {at} * dx AS x, oy + {at} * CAST(0.2 AS DOUBLE) AS y, -1.5 + {at} AS z FROM r CROSS JOIN range(0, {n}) q(n))"""
+
+
+def _sampled(name, source, keys, field, *values):
+    """CTEs that end in name(keys, values): the field's columns at the points x, y, z of source."""
+    s = "(VALUES (0), (1))"
+    w = " * ".join(f"({_LIN.format(c)})" for c in IJK)
+    return f"""{name}_c AS (SELECT {keys}, least(greatest(x - 0.5, -1), 10) AS ci, least(greatest(y - 0.5, -1), 10) AS cj, least(greatest(z - 0.5, -1), 8) AS ck FROM {source}),
+        {name}_b AS (SELECT *, CAST(floor(ci) AS INT) AS bi, CAST(floor(cj) AS INT) AS bj, CAST(floor(ck) AS INT) AS bk, ci - floor(ci) AS fi, cj - floor(cj) AS fj, ck - floor(ck) AS fk FROM {name}_c),
+        {name}_t AS (SELECT {keys}, {w} AS w, bi + si AS ri, bj + sj AS rj, bk + sk AS rk FROM {name}_b CROSS JOIN {s} u(si) CROSS JOIN {s} v(sj) CROSS JOIN {s} x(sk)),
+        {name} AS (SELECT {keys}, {", ".join(f"sum(w * d.{v}) AS {v}" for v in values)} FROM {name}_t {_JOIN.replace("JOIN dense d", f"JOIN {field} d")} GROUP BY ALL)"""
+
+
+_RUNS = f"""WITH {DENSE_SQL}, {_RAYS.format(at="(CAST(11 AS DOUBLE) * n / 32)", n=33)}, {_sampled("got", "along", "ray_id, s, t", "dense", "v")},
+    pair AS (SELECT *, lag(v) OVER o AS v0, lag(t) OVER o AS t0 FROM got WINDOW o AS (PARTITION BY ray_id ORDER BY s)),
+    edge AS (SELECT *, v < 0 AS now, coalesce(v0 < 0, false) AS was, CASE WHEN v0 IS NULL THEN t WHEN v0 * v < 0 THEN t0 + v0 / (v0 - v) * (t - t0) WHEN v0 = 0 THEN t0 ELSE t END AS met FROM pair),
+    number AS (SELECT *, sum(CAST(now AND NOT was AS INT)) OVER (PARTITION BY ray_id ORDER BY s) AS run FROM edge),
+    runs AS (SELECT ray_id, CAST(run - 1 AS INT) AS run, min(CASE WHEN now AND NOT was THEN met END) AS t_in, coalesce(min(CASE WHEN was AND NOT now THEN met END), 11.0) AS t_out FROM number WHERE run > 0 GROUP BY 1, 2)"""
+
+
+@register("segments_along_ray", f"{_RUNS} SELECT ray_id, run, round(t_in, 6) + 0.0 AS t_in, round(t_out, 6) + 0.0 AS t_out FROM runs")
 def segments_along_ray(spark, sf_dir):
     return _rounded(sampling.segments_along_ray(_rays(spark, sf_dir), dense(spark, sf_dir), DENSE_DIMS, 33), "t_in", "t_out")
 
 
-@register("ray_cast")
+@register("ray_cast", f"{_RUNS} SELECT ray_id, round(min(t_in), 6) + 0.0 AS t FROM runs GROUP BY 1")
 def ray_cast(spark, sf_dir):
     return _rounded(sampling.ray_cast(_rays(spark, sf_dir), dense(spark, sf_dir), DENSE_DIMS, 33), "t")
 
 
-@register("voxels_along_ray")
+def _slab_sql(o, d, cell):
+    """When a ray is within a cell's slab: from, to; a ray along the slab is always in its own."""
+    still = f"abs({d}) <= 1e-12"
+    own = f"floor({o}) = {cell}"
+    ends = [f"(({cell} + {n}) - {o}) / {d}" for n in (0, 1)]
+    return f"CASE WHEN {still} THEN CASE WHEN {own} THEN -1e9 ELSE 1e9 END ELSE least({ends[0]}, {ends[1]}) END", f"CASE WHEN {still} THEN 1e9 ELSE greatest({ends[0]}, {ends[1]}) END"
+
+
+_SLABS = [_slab_sql(o, d, c) for o, d, c in (("ox", "dx", "i"), ("oy", "CAST(0.2 AS DOUBLE)", "j"), ("CAST(-1.5 AS DOUBLE)", "CAST(1 AS DOUBLE)", "k"))]
+
+
+@register("voxels_along_ray", f"""WITH {DENSE_SQL}, {_RAYS.format(at="n", n=1)} SELECT ray_id, i, j, k FROM r CROSS JOIN dense
+    WHERE greatest(0, {", ".join(low for low, _ in _SLABS)}) < least(11, {", ".join(high for _, high in _SLABS)})""")
 def voxels_along_ray(spark, sf_dir):
     return sampling.voxels_along_ray(_rays(spark, sf_dir), DENSE_DIMS)
 
 
-@register("volume_render")
+@register("volume_render", f"""WITH {DENSE_SQL}, fog AS (SELECT i, j, k, least(greatest(-v / 7, 0), 1) AS v FROM dense), {_RAYS.format(at="((n + CAST(0.5 AS DOUBLE)) * CAST(11 AS DOUBLE) / 32)", n=32)},
+    {_sampled("got", "along", "ray_id, s", "fog", "v")}, th AS (SELECT ray_id, s, greatest(v, 0) * CAST(0.6 AS DOUBLE) * 11 / 32 AS thick FROM got),
+    bf AS (SELECT *, coalesce(sum(thick) OVER (PARTITION BY ray_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM th)
+    SELECT ray_id, round(1 - exp(-sum(thick)) + exp(-sum(thick)) * 0.25, 6) + 0.0 AS pixel FROM bf WHERE exp(-before) > 1e-3 GROUP BY 1""")
 def volume_render(spark, sf_dir):
     fog = levelset.sdf_to_fog(dense(spark, sf_dir), 7.0)
     return _rounded(sampling.volume_render(_rays(spark, sf_dir), fog, DENSE_DIMS, 32, 0.6, 0.25), "pixel")
@@ -295,10 +351,41 @@ def _wind(spark, sf_dir):
     return d, d.select(*IJK, (F.col("j") / 10.0).alias("x"), F.lit(0.3).alias("y"), (F.col("v") / 40).alias("z"))
 
 
+#: For each order, where each stage looks (weights of the stages before) and how the stages are summed.
+_LOOKS = {1: [[]], 2: [[], [1 / 2]], 3: [[], [1 / 2], [-1, 2]], 4: [[], [1 / 2], [0, 1 / 2], [0, 0, 1]]}
+_SUMS = {1: [1], 2: [0, 1], 3: [1 / 6, 2 / 3, 1 / 6], 4: [1 / 6, 1 / 3, 1 / 3, 1 / 6]}
+_WIND = f"WITH {DENSE_SQL}, wind AS (SELECT i, j, k, CAST(j / 10.0 AS DOUBLE) AS x, CAST(0.3 AS DOUBLE) AS y, v / 40 AS z FROM dense)"
+
+
+def _carried(name, field, step, order):
+    """CTEs that end in name(i, j, k, v): the field where each cell's content came from."""
+
+    def place(at, weights):
+        tables = "".join(f" JOIN {name}_k{n} k{n} USING (pi, pj, pk)" for n in range(1, len(weights)))
+        moved = ", ".join(
+            f"{p} + 0.5 - CAST({step} AS DOUBLE) * ({' + '.join([f'CAST({w!r} AS DOUBLE) * k{n}.{x}' for n, w in enumerate(weights)])}) AS {x}" for p, x in zip(("pi", "pj", "pk"), "xyz", strict=True)
+        )
+        return f"{at} AS (SELECT pi, pj, pk, {moved} FROM {name}_k0 k0{tables})"
+
+    out = [f"{name}_k0 AS (SELECT i AS pi, j AS pj, k AS pk, x, y, z FROM wind)"]
+    for n, weights in enumerate(_LOOKS[order][1:], 1):
+        out += [place(f"{name}_p{n}", weights), _sampled(f"{name}_k{n}", f"{name}_p{n}", "pi, pj, pk", "wind", "x", "y", "z")]
+    out += [place(f"{name}_end", _SUMS[order]), _sampled(f"{name}_got", f"{name}_end", "pi, pj, pk", field, "v")]
+    return ", ".join([*out, f"{name} AS (SELECT pi AS i, pj AS j, pk AS k, v FROM {name}_got)"])
+
+
+_THERE_BACK = f"{_WIND}, {_carried('there', 'dense', 0.7, 2)}, {_carried('back', 'there', -0.7, 2)}"
+_HALF = "(d.v - b.v) / 2 AS v FROM dense d JOIN back b USING (i, j, k)"
+_SCHEMES = {
+    "maccormack": f"{_THERE_BACK} SELECT i, j, k, round(t.v + (d.v - b.v) / 2, 6) + 0.0 AS v FROM dense d JOIN back b USING (i, j, k) JOIN there t USING (i, j, k)",
+    "bfecc": f"{_THERE_BACK}, better AS (SELECT i, j, k, d.v + {_HALF}), {_carried('last', 'better', 0.7, 2)} SELECT i, j, k, round(v, 6) + 0.0 AS v FROM last",
+}
+
 for _order in (1, 2, 3, 4):
-    register(f"advect_rk{_order}")(lambda spark, sf_dir, order=_order: _rounded(sampling.advect(*_placed(_wind(spark, sf_dir)), 0.7, order), "v"))
-for _scheme in ("maccormack", "bfecc"):
-    register(f"advect_{_scheme}")(lambda spark, sf_dir, scheme=_scheme: _rounded(sampling.advect(*_placed(_wind(spark, sf_dir)), 0.7, 2, scheme), "v"))
+    _sql = f"{_WIND}, {_carried('got', 'dense', 0.7, _order)} SELECT i, j, k, round(v, 6) + 0.0 AS v FROM got"
+    register(f"advect_rk{_order}", _sql)(lambda spark, sf_dir, order=_order: _rounded(sampling.advect(*_placed(_wind(spark, sf_dir)), 0.7, order), "v"))
+for _scheme, _sql in _SCHEMES.items():
+    register(f"advect_{_scheme}", _sql)(lambda spark, sf_dir, scheme=_scheme: _rounded(sampling.advect(*_placed(_wind(spark, sf_dir)), 0.7, 2, scheme), "v"))
 
 
 def _placed(pair):

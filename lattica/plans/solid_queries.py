@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import combinations, product
 
 from pyspark.sql import functions as F
 
@@ -92,12 +92,43 @@ def _octahedron(spark):
     return spark.createDataFrame(rows, "fid int, " + ", ".join(f"{p}{x} double" for p in "abc" for x in "xyz"))
 
 
-@register("winding")
+_PARTS_OF = {"a": ("ax", "ay", "az"), "b": ("bx", "by_", "bz"), "c": ("cx", "cy", "cz")}
+
+
+def _winding_sql(points, key):
+    """wn(key, winding) of the points x, y, z against the octahedron."""
+    faces = ", ".join("(" + ", ".join(f"CAST({c} AS DOUBLE)" for c in row) + ")" for row in _octahedron_rows())
+    near = {p: [f"({a} - {x})" for a, x in zip(names, "xyz", strict=True)] for p, names in _PARTS_OF.items()}
+    dot = lambda p, q: "(" + " + ".join(f"{m} * {n}" for m, n in zip(near[p], near[q], strict=True)) + ")"
+    (x1, y1, z1), (x2, y2, z2), (x3, y3, z3) = near.values()
+    det = f"({x1} * ({y2} * {z3} - {z2} * {y3}) + {y1} * ({z2} * {x3} - {x2} * {z3}) + {z1} * ({x2} * {y3} - {y2} * {x3}))"
+    size = {p: f"sqrt({dot(p, p)})" for p in near}
+    low = f"({size['a']} * {size['b']} * {size['c']} + {dot('a', 'b')} * {size['c']} + {dot('b', 'c')} * {size['a']} + {dot('c', 'a')} * {size['b']})"
+    return f"""oct(ax, ay, az, bx, by_, bz, cx, cy, cz) AS (VALUES {faces}), wn AS (SELECT {key}, sum(2 * atan2({det}, {low})) / (4 * pi()) AS winding FROM {points} CROSS JOIN oct GROUP BY ALL)"""
+
+
+def _octahedron_rows():
+    out = []
+    for sx, sy, sz in product((0, 1), repeat=3):
+        turned = [_TIPS[2 + sy], _TIPS[4 + sz]] if (sx + sy + sz) % 2 else [_TIPS[4 + sz], _TIPS[2 + sy]]
+        out.append((*_TIPS[sx], *turned[0], *turned[1]))
+    return out
+
+
+@register("winding", f"WITH {_POINTS}, {_winding_sql('pts', 'p_partkey')} SELECT p_partkey, round(winding, 6) + 0.0 AS winding FROM wn")
 def winding(spark, sf_dir):
     return _rounded(mesh.winding(_part_points(spark, sf_dir), "p_partkey", _octahedron(spark)), "winding")
 
 
-@register("mesh_to_sdf")
+_SIDES = " AND ".join(_side_sql(p, q) for p, q in ("ab", "bc", "ca"))
+_FLAT = "((x - ax) * nx + (y - ay) * ny + (z - az) * nz)"
+
+
+@register("mesh_to_sdf", f"""WITH {DENSE_SQL}, mid AS (SELECT i, j, k, i + CAST(0.5 AS DOUBLE) AS x, j + CAST(0.5 AS DOUBLE) AS y, k + CAST(0.5 AS DOUBLE) AS z FROM dense), {_winding_sql("mid", "i, j, k")},
+    nn AS (SELECT *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM oct),
+    ds AS (SELECT i, j, k, min(sqrt(CASE WHEN {_SIDES} THEN {_FLAT} * {_FLAT} / (nx * nx + ny * ny + nz * nz) ELSE least({_edge_sql("a", "b")}, {_edge_sql("b", "c")}, {_edge_sql("c", "a")}) END)) AS d
+        FROM mid CROSS JOIN nn GROUP BY ALL)
+    SELECT i, j, k, round(CASE WHEN winding >= 0.5 THEN -1 ELSE 1 END * least(d, 2.0), 6) + 0.0 AS v FROM ds JOIN wn USING (i, j, k)""")
 def mesh_to_sdf(spark, sf_dir):
     return _rounded(mesh.mesh_to_sdf(dense(spark, sf_dir), _octahedron(spark), 2.0), "v")
 
@@ -147,7 +178,28 @@ def tet_quality(spark, sf_dir):
     return _rounded(mesh.tet_quality(_tetrahedra(spark, sf_dir)).select("tid", "volume"), "volume")
 
 
-@register("tet_mesh_quality")
+def _dihedral_sql():
+    """The angles between the faces of a tetrahedron (p0 to p3), a text for each edge."""
+    point = lambda n, x: f"p{n}{x}"
+    out = []
+    for a, b in combinations(range(4), 2):
+        c, d = (n for n in range(4) if n not in (a, b))
+        e = [f"({point(b, x)} - {point(a, x)})" for x in "xyz"]
+        sides = []
+        for o in (c, d):
+            w = [f"({point(o, x)} - {point(a, x)})" for x in "xyz"]
+            sides.append([f"({e[(n + 1) % 3]} * {w[(n + 2) % 3]} - {e[(n + 2) % 3]} * {w[(n + 1) % 3]})" for n in range(3)])
+        dot = lambda p, q: "(" + " + ".join(f"{m} * {n}" for m, n in zip(p, q, strict=True)) + ")"
+        out.append(f"degrees(acos(least(greatest({dot(*sides)} / sqrt({dot(sides[0], sides[0])} * {dot(sides[1], sides[1])}), -1), 1)))")
+    return out
+
+
+_TETS4 = f"""t AS (SELECT ax AS p0x, ay AS p0y, az AS p0z, bx AS p1x, by_ AS p1y, bz AS p1z, cx AS p2x, cy AS p2y, cz AS p2z, ax + CAST(0.4 AS DOUBLE) AS p3x, ay + CAST(0.3 AS DOUBLE) AS p3y, az + CAST(1.2 AS DOUBLE) AS p3z,
+    (0.4 * nx + 0.3 * ny + 1.2 * nz) / 6 AS volume FROM n)"""
+
+
+@register("tet_mesh_quality", f"""WITH {_SOUP}, {_TETS4}, q AS (SELECT volume, least({", ".join(_dihedral_sql())}) AS least, greatest({", ".join(_dihedral_sql())}) AS largest FROM t)
+    SELECT round(min("least"), 4) AS "least", round(max(largest), 4) AS largest, round(sum(volume), 4) AS volume, count(*) FILTER (volume <= 0) AS inverted, count(*) AS tets FROM q""")
 def tet_mesh_quality(spark, sf_dir):
     return _rounded(mesh.tet_mesh_quality(_tetrahedra(spark, sf_dir)), "least", "largest", "volume", places=4)
 
