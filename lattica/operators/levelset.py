@@ -191,15 +191,16 @@ def tile_dilation(cells: DataFrame, bits: int = 3) -> DataFrame:
     return shifted(bricks, CUBE).select(*IJK).distinct()
 
 
-def fast_sweeping(dense: DataFrame, dims, band: float, rounds: int, size: float = 1.0) -> DataFrame:
+def fast_sweeping(dense: DataFrame, dims, band: float, size: float = 1.0) -> DataFrame:
     """Distances from the frozen band (|v| <= band) outwards, the sign kept: Godunov updates of all cells at once.
 
-    Simultaneous updates have the same fixed point as ordered sweeps; `rounds` bounds how far the front gets. Cells that
-    no round reaches keep their input.
+    Simultaneous updates have the same fixed point as ordered sweeps. Four rounds are one job; it ends when the last of four
+    moved no cell by more than a billionth of a cell. Without a frozen cell all keep their input.
     """
     far = F.lit(1e30)
     state = dense.select(*IJK, F.col("v").alias("v0"), (F.abs("v") <= band).alias("frozen"), F.when(F.abs("v") <= band, F.abs("v")).otherwise(far).alias("d"))
-    for n in range(rounds):
+    n = 0
+    while True:
         # One scatter: each axis' lesser neighbour comes with its axis.
         sent = shifted(state, FACES, "d").where(inside(dims))
         axis = lambda a: F.min(F.when(F.col(a) != 0, F.col("d")))
@@ -212,8 +213,12 @@ def fast_sweeping(dense: DataFrame, dims, band: float, rounds: int, size: float
         disc = total * total - 3 * (a * a + b * b + c * c - size * size)
         three = F.when(disc < 0, two).otherwise((total + F.sqrt(F.greatest(disc, F.lit(0.0)))) / 3)
         made = F.when(one <= b, one).when(two <= c, two).otherwise(three)
-        state = state.join(per, list(IJK)).select(*IJK, "v0", "frozen", F.when(F.col("frozen") | (a >= far), F.col("d")).otherwise(F.least(F.col("d"), made)).alias("d"))
-        if n % 4 == 3:
+        new = F.when(F.col("frozen") | (a >= far), F.col("d")).otherwise(F.least(F.col("d"), made))
+        state = state.join(per, list(IJK)).select(*IJK, "v0", "frozen", new.alias("d"), (F.col("d") - new).alias("fell"))
+        n += 1
+        if n % 4 == 0:
             state = cut(state)
+            if state.where(F.col("fell") > 1e-9 * size).isEmpty():
+                break
     sign = F.when(F.col("v0") < 0, -1.0).otherwise(1.0)
     return state.select(*IJK, F.when(F.col("frozen") | (F.col("d") >= far), F.col("v0")).otherwise(sign * F.col("d")).alias("v"))

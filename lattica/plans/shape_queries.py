@@ -142,7 +142,7 @@ def brick_dilation(spark, sf_dir):
 
 @register("fast_sweeping")
 def fast_sweeping(spark, sf_dir):
-    return _rounded(levelset.fast_sweeping(dense(spark, sf_dir), DENSE_DIMS, 4.0, 12), "v")
+    return _rounded(levelset.fast_sweeping(dense(spark, sf_dir), DENSE_DIMS, 4.0), "v")
 
 
 def _part_points(spark, sf_dir):

@@ -76,7 +76,7 @@ def test_genus_of_a_ring_and_a_ball(spark):
 def test_fast_sweeping_of_a_plane(spark):
     v = np.broadcast_to((np.arange(9) - 3.3)[:, None, None], (9, 3, 3)).copy()
     start = np.where(np.abs(v) <= 1, v, np.sign(v) * 50)
-    got = array(levelset.fast_sweeping(grid(spark, start), v.shape, 1.0, 12), v.shape)
+    got = array(levelset.fast_sweeping(grid(spark, start), v.shape, 1.0), v.shape)
     assert np.allclose(got, v)
 
 
