@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..model import IJK, inside, shifted
 
 
@@ -161,31 +162,91 @@ def crossing_vertices(dense: DataFrame, dims, iso: float = 0.0) -> DataFrame:
 KUHN = ((0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7))
 
 
-def surface_triangles(dense: DataFrame, dims, iso: float = 0.0) -> DataFrame:
+def cells_near(soup: DataFrame, reach: float, size: float, shift: float) -> DataFrame:
+    """i, j, k, x, y, z: cells whose centre (i + shift) * size may be within reach of a triangle.
+
+    Each triangle names the cells of its own box grown by the reach; those farther than the reach from its plane go at once,
+    so that a large slanting triangle sends about its area in cells and not its box. One distinct count follows.
+    """
+    n = _cross(_sub("b", "a"), _sub("c", "a"))
+    rows = soup.select(*(f"{p}{x}" for p in "abc" for x in "xyz"), *(v.alias(f"n{x}") for v, x in zip(n, "xyz", strict=True)), F.sqrt(_dot(n, n)).alias("nn"))
+    for c, x in zip(IJK, "xyz", strict=True):
+        corners = [F.col(f"{p}{x}") for p in "abc"]
+        low = F.ceil((F.least(*corners) - reach) / size - shift).cast("int")
+        high = F.floor((F.greatest(*corners) + reach) / size - shift).cast("int")
+        rows = rows.withColumn(c, F.explode(F.when(low <= high, F.sequence(low, high))))
+    off = sum((((F.col(c) + shift) * size - F.col(f"a{x}")) * F.col(f"n{x}") for c, x in zip(IJK[1:], "yz", strict=True)), ((F.col("i") + shift) * size - F.col("ax")) * F.col("nx"))
+    near = rows.where(F.abs(off) <= reach * F.col("nn") * (1 + 1e-9)).select(*IJK).distinct()
+    return near.select(*IJK, *(((F.col(c) + shift) * size).alias(x) for c, x in zip(IJK, "xyz", strict=True)))
+
+
+def mesh_to_level_set(soup: DataFrame, size: float, outside: float, inside: float) -> DataFrame:
+    """i, j, k, v with -inside < v < outside: the narrow band around a mesh, without its box. Cell i has its centre at i * size.
+
+    Distances are exact; a cell is inside where the winding number is beyond a half either way, so open and inside-out meshes
+    get a sign too. Cells that are not there are outside or inside by the flood of their neighbours' signs. An empty mesh
+    gives no cells.
+    """
+    reach = max(outside, inside)
+    cells = cells_near(soup, reach, size, 0.0).select(F.struct(*IJK).alias("cell"), "x", "y", "z")
+    near = closest_triangle(cells, "cell", soup, reach)
+    held = near.join(winding(cells, "cell", soup), "cell")
+    v = F.when(F.abs("winding") > 0.5, -F.col("distance")).otherwise(F.col("distance"))
+    return held.select("cell.*", v.alias("v")).where((F.col("v") > -inside) & (F.col("v") < outside))
+
+
+def level_set_rebuild(voxels: DataFrame, outside: float, inside: float, iso: float = 0.0, size: float = 1.0) -> DataFrame:
+    """i, j, k, v with -inside < v < outside: true distances to the surface v = iso of a field that need not hold distances.
+
+    voxels may be sparse; the surface is that of the cubes whose eight corners are there. Cells it reaches keep the side they
+    had. A cell that was not there takes the side that its nearest triangle faces: triangles face the side at or above iso.
+    """
+    found = surface_triangles(voxels, None, iso)
+    corners = [f"{p}{x}" for p in "abc" for x in "xyz"]
+    soup = found.select(F.struct(*IJK, "tet", "n").alias("fid"), *((F.col(c) * size).alias(c) for c in corners))
+    soup = cut(soup)  # read three times
+    reach = max(outside, inside)
+    cells = cells_near(soup, reach, size, 0.5).select(F.struct(*IJK).alias("cell"), "x", "y", "z")
+    near = closest_triangle(cells, "cell", soup, reach).join(soup, "fid").join(cells, "cell")
+    ahead = _dot(_cross(_sub("b", "a"), _sub("c", "a")), [F.col(x) - F.col(f"a{x}") for x in "xyz"])
+    placed = near.select("cell.*", "distance", F.when(ahead < 0, -1.0).otherwise(1.0).alias("facing"))
+    had = voxels.select(*IJK, F.when(F.col("v") < iso, -1.0).otherwise(1.0).alias("had"))
+    v = F.coalesce("had", "facing") * F.col("distance")
+    return placed.join(had, list(IJK), "left").select(*IJK, v.alias("v")).where((F.col("v") > -inside) & (F.col("v") < outside))
+
+
+def level_set_track(voxels: DataFrame, outside: float, inside: float, size: float = 1.0) -> DataFrame:
+    """The band after its values were edited: rebuilt around the surface v = 0, grown and cut to the widths."""
+    return level_set_rebuild(voxels, outside, inside, 0.0, size)
+
+
+def surface_triangles(dense: DataFrame, dims=None, iso: float = 0.0) -> DataFrame:
     """A triangle soup of the isosurface (i, j, k, tet, n, ax..cz), facing the side at or above iso.
 
+    Cubes whose eight corners are there count; dims, if given, only saves the others of a full box from being tried.
     Each cube is cut into six tetrahedra that share its diagonal, so neighbouring cubes agree on their faces and no case is
     ambiguous; a tetrahedron gives one triangle, or two where two corners are inside.
     """
     corners = [(-a, -b, -c) for c, b, a in product((0, 1), repeat=3)]
     place = (-F.col("di")) + (-F.col("dj")) * 2 + (-F.col("dk")) * 4
-    small = tuple(n - 1 for n in dims)
-    per = shifted(dense, corners, "v").where(inside(small)).groupBy(*IJK).agg(*(F.max(F.when(place == n, F.col("v"))).alias(f"c{n}") for n in range(8)))
+    sent = shifted(dense, corners, "v")
+    sent = sent if dims is None else sent.where(inside(tuple(n - 1 for n in dims)))
+    per = sent.groupBy(*IJK).agg(F.count("v").alias("there"), *(F.max(F.when(place == n, F.col("v"))).alias(f"c{n}") for n in range(8)))
     low, high = F.least(*(f"c{n}" for n in range(8))), F.greatest(*(f"c{n}" for n in range(8)))
-    per = per.where((low < iso) & (high >= iso))
+    per = per.where((F.col("there") == 8) & (low < iso) & (high >= iso))
     tets = F.array(*(F.array(*(F.struct(F.col(f"c{c}").alias("v"), *((F.col(a) + (0.5 + (c >> n & 1))).alias(x) for n, (a, x) in enumerate(zip(IJK, "xyz", strict=True)))) for c in tet)) for tet in KUHN))
     rows = per.select(*IJK, F.posexplode(tets).alias("tet", "t"))
     ins, outs = F.filter("t", lambda p: p["v"] < iso), F.filter("t", lambda p: p["v"] >= iso)
     rows = rows.withColumn("ins", ins).withColumn("outs", outs).where((F.size("ins") > 0) & (F.size("outs") > 0))
 
-    def cut(p, q) -> Column:
+    def crossing(p, q) -> Column:
         h = (F.lit(iso) - p["v"]) / (q["v"] - p["v"])
         return F.struct(*((p[x] + h * (q[x] - p[x])).alias(x) for x in "xyz"))
 
     i, o = (lambda n: F.get("ins", F.lit(n))), (lambda n: F.get("outs", F.lit(n)))
-    one = F.array(F.array(cut(i(0), o(0)), cut(i(0), o(1)), cut(i(0), o(2))))
-    three = F.array(F.array(cut(i(0), o(0)), cut(i(1), o(0)), cut(i(2), o(0))))
-    two = F.array(F.array(cut(i(0), o(0)), cut(i(0), o(1)), cut(i(1), o(1))), F.array(cut(i(0), o(0)), cut(i(1), o(1)), cut(i(1), o(0))))
+    one = F.array(F.array(crossing(i(0), o(0)), crossing(i(0), o(1)), crossing(i(0), o(2))))
+    three = F.array(F.array(crossing(i(0), o(0)), crossing(i(1), o(0)), crossing(i(2), o(0))))
+    two = F.array(F.array(crossing(i(0), o(0)), crossing(i(0), o(1)), crossing(i(1), o(1))), F.array(crossing(i(0), o(0)), crossing(i(1), o(1)), crossing(i(1), o(0))))
     made = rows.withColumn("s", F.when(F.size("ins") == 1, one).when(F.size("ins") == 2, two).otherwise(three))
     made = made.select(*IJK, "tet", F.get("ins", F.lit(0)).alias("seen"), F.posexplode("s").alias("n", "p"))
     flat = made.select(*IJK, "tet", "n", "seen", *(F.col("p")[n][x].alias(f"{a}{x}") for n, a in enumerate("abc") for x in "xyz"))

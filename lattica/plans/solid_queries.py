@@ -133,6 +133,21 @@ def mesh_to_sdf(spark, sf_dir):
     return _rounded(mesh.mesh_to_sdf(dense(spark, sf_dir), _octahedron(spark), 2.0), "v")
 
 
+@register("mesh_to_level_set", f"""WITH mid AS (SELECT CAST(a.i AS INT) AS i, CAST(b.j AS INT) AS j, CAST(c.k AS INT) AS k, a.i * CAST(0.5 AS DOUBLE) AS x, b.j * CAST(0.5 AS DOUBLE) AS y, c.k * CAST(0.5 AS DOUBLE) AS z
+        FROM range(-2, 24) a(i) CROSS JOIN range(-4, 22) b(j) CROSS JOIN range(-6, 20) c(k)), {_winding_sql("mid", "i, j, k")},
+    nn AS (SELECT *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM oct),
+    ds AS (SELECT i, j, k, min(sqrt(CASE WHEN {_SIDES} THEN {_FLAT} * {_FLAT} / (nx * nx + ny * ny + nz * nz) ELSE least({_edge_sql("a", "b")}, {_edge_sql("b", "c")}, {_edge_sql("c", "a")}) END)) AS d
+        FROM mid CROSS JOIN nn GROUP BY ALL), sd AS (SELECT i, j, k, CASE WHEN abs(winding) > 0.5 THEN -d ELSE d END AS v FROM ds JOIN wn USING (i, j, k))
+    SELECT i, j, k, round(v, 6) + 0.0 AS v FROM sd WHERE v > -0.917 AND v < 1.213""")
+def mesh_to_level_set(spark, sf_dir):
+    return _rounded(mesh.mesh_to_level_set(_octahedron(spark), 0.5, 1.213, 0.917), "v")
+
+
+@register("level_set_rebuild")
+def level_set_rebuild(spark, sf_dir):
+    return _rounded(mesh.level_set_rebuild(dense(spark, sf_dir), 1.5, 1.5, 0.5), "v")
+
+
 _CASES = f"""WITH {DENSE_SQL}, x AS (SELECT t.i, t.j, t.k, CAST(sum(CASE WHEN s.v < 0 THEN 1 << (a + 2 * b + 4 * c) ELSE 0 END) AS INT) AS "case"
     FROM dense t CROSS JOIN (VALUES (0), (1)) p(a) CROSS JOIN (VALUES (0), (1)) q(b) CROSS JOIN (VALUES (0), (1)) r(c)
     JOIN dense s ON s.i = t.i + a AND s.j = t.j + b AND s.k = t.k + c WHERE t.i < 10 AND t.j < 10 AND t.k < 8 GROUP BY 1, 2, 3)"""

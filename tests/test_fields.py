@@ -287,3 +287,31 @@ def test_cameras_move_and_cut(spark):
     assert (got["u"], got["v"], got["depth"]) == (5.0, 10.0, 4.0)
     assert splats.project(s, splats.perspective(8.0, 8.0, 5.0, 6.0, far=3.0)).count() == 0
     assert splats.orthographic(0.5, 5.0, 6.0, 16, 32).fy == 16.0
+
+
+def test_rebuilt_band_holds_distances_on_full_and_sparse_fields(spark):
+    cells = np.array(list(product(range(16), repeat=3)), float)
+    true = np.linalg.norm(cells + 0.5 - 8, axis=1) - 4.2
+    damaged = 3 * true + 0.2 * true**3 + 0.7
+    field = grid(spark, damaged.reshape(16, 16, 16))
+    want = {tuple(map(int, c)): d for c, d in zip(cells, true, strict=True)}
+    exact = {c for c, d in want.items() if -1.4 < d < 1.9}
+    for voxels in (field, field.where("abs(v - 0.7) < 5")):  # the second holds less than the band that is asked for
+        got = {(r["i"], r["j"], r["k"]): r["v"] for r in mesh.level_set_rebuild(voxels, 2.0, 1.5, 0.7).collect()}
+        assert exact <= set(got) and all(-1.5 < v < 2.0 for v in got.values())
+        assert max(abs(v - want[c]) for c, v in got.items()) < 0.1  # a flat cut of a cell's diagonal is off by up to 3 / (8 * 4.2)
+    again = {(r["i"], r["j"], r["k"]): r["v"] for r in mesh.level_set_track(field.selectExpr("i", "j", "k", "v - 0.7 as v"), 2.0, 1.5).collect()}
+    assert again.keys() >= exact and mesh.level_set_rebuild(field.where("v > 1e9"), 2.0, 1.5).count() == 0
+
+
+def test_level_set_of_an_inside_out_mesh(spark):
+    tips = [(0.0, 0.0, 0.0), (3.0, 0.0, 0.0), (0.0, 3.0, 0.0), (0.0, 0.0, 3.0)]
+    faces = [(0, 1, 2), (0, 3, 1), (0, 2, 3), (1, 3, 2)]
+    layout = "fid int, " + ", ".join(f"{p}{x} double" for p in "abc" for x in "xyz")
+    both = []
+    for turn in (1, -1):
+        rows = [(n, *(c for v in f[::turn] for c in tips[v])) for n, f in enumerate(faces)]
+        both.append({(r["i"], r["j"], r["k"]): r["v"] for r in mesh.mesh_to_level_set(spark.createDataFrame(rows, layout), 0.35, 1.0, 1.0).collect()})
+    assert both[0].keys() == both[1].keys() and all(both[1][c] == pytest.approx(v) for c, v in both[0].items())
+    assert both[0][2, 2, 2] == pytest.approx(-(3 - 3 * 0.7) / math.sqrt(3)) and both[0][-1, 1, 1] == pytest.approx(0.35)
+    assert mesh.mesh_to_level_set(spark.createDataFrame([], layout), 0.35, 1.0, 1.0).count() == 0
