@@ -5,8 +5,12 @@ from __future__ import annotations
 import math
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..checkpoint import cut
 from ..model import IJK, inside, shifted
@@ -88,22 +92,136 @@ def point_triangle_distance2() -> Column:
     return F.when(inside_, _dot(w, n) * _dot(w, n) / size).otherwise(edges)
 
 
+def point_triangle_distance(p: list, t: list) -> np.ndarray:
+    """Distances of points to triangles, pair by pair: the plane's foot if inside, else the nearest edge. p: x, y, z; t: ax..cz."""
+    a, b, c = t[:3], t[3:6], t[6:]
+    sub = lambda u, v: [x - y for x, y in zip(u, v, strict=True)]
+
+    def edge(s, t):
+        d, w = sub(t, s), sub(p, s)
+        length = _dot(d, d)
+        h = np.where(length > 0, np.minimum(np.maximum(_dot(w, d) / np.where(length > 0, length, 1), 0), 1), 0)
+        r = [x - h * y for x, y in zip(w, d, strict=True)]
+        return _dot(r, r)
+
+    n = _cross(sub(b, a), sub(c, a))
+    size = _dot(n, n)
+    side = lambda s, t: _dot(_cross(sub(t, s), sub(p, s)), n) >= 0
+    inside_ = side(a, b) & side(b, c) & side(c, a) & (size > 0)
+    above = _dot(sub(p, a), n)
+    edges = np.minimum(np.minimum(edge(a, b), edge(b, c)), edge(c, a))
+    return np.sqrt(np.where(inside_, above * above / np.where(size > 0, size, 1), edges))
+
+
+LEAF = 16
+SLICE = 20_000  # points, and triangles, that one call holds at most, but for chance
+PAIRS = 100_000
+
+
+def leaves(boxes: np.ndarray) -> np.ndarray:
+    """Rows of at most LEAF places of boxes (n, 2, 3) near each other, filled up with repeats: halved along the longest side."""
+    middle, order, ends = boxes.sum(axis=1), np.arange(len(boxes)), np.array([0, len(boxes)])
+    while np.diff(ends).max() > LEAF:
+        sizes = np.diff(ends)
+        at = middle[order]
+        wide = (np.maximum.reduceat(at, ends[:-1]) - np.minimum.reduceat(at, ends[:-1])).argmax(axis=1)
+        part = np.repeat(np.arange(len(sizes)), sizes)
+        order = order[np.lexsort((at[np.arange(len(at)), wide[part]], part))]
+        ends = np.unique(np.concatenate([ends, ends[:-1] + sizes // 2]))
+    return order[np.minimum(ends[:-1, None] + np.arange(np.diff(ends).max()), ends[1:, None] - 1)]
+
+
+def _gap2(p: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Squared distances of points (..., 3) to boxes (..., 2, 3)."""
+    out = 0
+    for x in range(3):
+        gap = np.maximum(np.maximum(boxes[..., 0, x] - p[..., x], p[..., x] - boxes[..., 1, x]), 0)
+        out = out + gap * gap
+    return out
+
+
+def nearest_triangles(points: np.ndarray, soup: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of the triangles (n, 9) to each point (m, 3), ties to the first, and its distance; -1 beyond the reach.
+
+    The leaf whose box is nearest bounds a point's distance; only triangles whose boxes are within that bound are tried.
+    """
+    corners = soup.reshape(-1, 3, 3)
+    boxes = np.stack([corners.min(axis=1), corners.max(axis=1)], axis=1)
+    members = leaves(boxes)
+    around = np.stack([boxes[members, 0].min(axis=1), boxes[members, 1].max(axis=1)], axis=1)
+    slack = 1e-9 * (reach + (boxes[:, 1] - boxes[:, 0]).max())  # far above what rounding takes from a distance
+    best, which = np.full(len(points), np.inf), np.full(len(points), len(soup))
+
+    def measure(at, face):
+        d = point_triangle_distance(list(points[at].T), list(soup[face].T))
+        near = d <= reach
+        at, face, d = at[near], face[near], d[near]
+        had = best[at]
+        np.minimum.at(best, at, d)
+        which[at[best[at] < had]] = len(soup)
+        first = d == best[at]
+        np.minimum.at(which, at[first], face[first])
+
+    step = max(1, min(512, 2_000_000 // len(members)))
+    for a in range(0, len(points), step):
+        here = np.arange(a, min(a + step, len(points)))
+        gap = _gap2(points[here, None], around[None])
+        own = members[gap.argmin(axis=1)]
+        measure(np.repeat(here, own.shape[1]), own.ravel())
+        bound = (np.minimum(best[here], reach) + slack) ** 2
+        at, leaf = np.nonzero(gap <= bound[:, None])
+        each = max(1, PAIRS // members.shape[1])
+        for n in range(0, len(at), each):
+            p, face = np.repeat(at[n : n + each], members.shape[1]), members[leaf[n : n + each]].ravel()
+            kept = _gap2(points[here[p]], boxes[face]) <= bound[p]
+            measure(here[p[kept]], face[kept])
+    return np.where(np.isfinite(best), which, -1), best
+
+
+def _columns(x) -> list:
+    """A struct's columns, in its order."""
+    return [c for child in x.flatten() for c in _columns(child)] if pa.types.is_struct(x.type) else [x]
+
+
 def closest_triangle(points: DataFrame, key: str, soup: DataFrame, reach: float) -> DataFrame:
-    """key, fid, distance: the nearest triangle within reach (ties to the lower fid).
+    """key, fid, distance: the nearest triangle within reach (ties to the lower fid). Rows that lack a coordinate are left out.
 
-    Triangles are sent to the buckets, one reach wide, that their box grown by the reach touches; points meet only those of
-    their own bucket.
+    Triangles are sent to the buckets, two reaches wide, that their box grown by the reach touches; a point is in one bucket
+    and finds its nearest there by a tree of boxes. A bucket of more than SLICE points or triangles is cut into slices, each
+    of which meets each of the other side's.
     """
-    bucket = lambda c: F.floor(c / reach).cast("int")
-    sent = soup
+    bucket = lambda c: F.floor(c / (2 * reach)).cast("int")
+    corners, place = [f"{p}{x}" for p in "abc" for x in "xyz"], ["gx", "gy", "gz"]
+    sent = soup.select("fid", *(F.col(c).cast("double").alias(c) for c in corners)).dropna(subset=corners)
     for x in "xyz":
-        corners = [F.col(f"{p}{x}") for p in "abc"]
-        span = F.sequence(bucket(F.least(*corners) - reach), bucket(F.greatest(*corners) + reach))
+        own = [F.col(f"{p}{x}") for p in "abc"]
+        span = F.sequence(bucket(F.least(*own) - reach), bucket(F.greatest(*own) + reach))
         sent = sent.withColumn(f"g{x}", F.explode(span))
-    placed = points.select(key, "x", "y", "z", *(bucket(F.col(x)).alias(f"g{x}") for x in "xyz"))
-    met = placed.join(sent, ["gx", "gy", "gz"]).withColumn("d", F.sqrt(point_triangle_distance2())).where(F.col("d") <= reach)
-    best = met.groupBy(key).agg(F.min(F.struct("d", "fid")).alias("m"))
-    return best.select(key, F.col("m.fid").alias("fid"), F.col("m.d").alias("distance"))
+    placed = points.select(F.col(key).alias("key"), *(F.col(x).cast("double").alias(x) for x in "xyz")).dropna(subset=["x", "y", "z"])
+    placed = placed.select("*", *(bucket(F.col(x)).alias(f"g{x}") for x in "xyz"))
+    slices = lambda rows, name: rows.groupBy(*place).agg(F.ceil(F.count("*") / SLICE).alias(name))
+    sizes = slices(placed, "np").join(slices(sent, "nt"), place)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = placed.join(sizes, place).select("*", F.pmod(F.xxhash64("key", "x", "y", "z"), "np").alias("sp"), every("nt").alias("st"))
+    right = sent.join(sizes, place).select("*", F.pmod(F.xxhash64("fid"), "nt").alias("st"), every("np").alias("sp"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            parts = _columns(right["fid"].combine_chunks())
+            named = pa.table(parts, names=[str(n) for n in range(len(parts))])
+            right = right.take(pc.sort_indices(named, sort_keys=[(n, "ascending") for n in named.column_names], null_placement="at_start"))
+            at, d = nearest_triangles(*(np.stack([t[c].to_numpy() for c in names], 1) for t, names in ((left, list("xyz")), (right, corners))), reach)
+            met = np.flatnonzero(at >= 0)
+            columns = [left["key"].take(pa.array(met)), right["fid"].take(pa.array(at[met])), pa.array(d[met])]
+        else:
+            columns = [left["key"].slice(0, 0), right["fid"].slice(0, 0), pa.array([], "double")]
+        return pa.table(columns, names=["key", "fid", "d"])
+
+    schema = StructType([placed.schema["key"], sent.schema["fid"], StructField("d", DoubleType())])
+    cell = [*place, "sp", "st"]
+    met = left.select("key", "x", "y", "z", *cell).groupBy(*cell).cogroup(right.select("fid", *corners, *cell).groupBy(*cell)).applyInArrow(meet, schema)
+    best = met.groupBy("key").agg(F.min(F.struct("d", "fid")).alias("m"))
+    return best.select(F.col("key").alias(key), F.col("m.fid").alias("fid"), F.col("m.d").alias("distance"))
 
 
 def winding(points: DataFrame, key: str, soup: DataFrame) -> DataFrame:

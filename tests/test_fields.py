@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.model import CUBE, FACES, NEAR26, box
 from lattica.operators import combine, index, levelset, mesh, pde, sampling, splats, stencil
@@ -228,6 +229,42 @@ def test_winding_and_signed_distance(spark):
     assert near[1] == pytest.approx((2 - 0.4) / math.sqrt(3)) and near[2] == pytest.approx(1.0)
 
 
+def test_closest_triangle_by_brute_force_in_slices(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    corners = (r.uniform(0, 4, (300, 1, 3)) + r.uniform(-0.4, 0.4, (300, 3, 3))).round(2)
+    corners[200:] = corners[:100]  # the same triangles again, by higher numbers
+    corners[100:110, 1] = corners[100:110, 0]  # no area
+    p = r.uniform(-1, 5, (400, 3)).round(2)
+    names = [f"{c}{x}" for c in "abc" for x in "xyz"]
+    soup = spark.createDataFrame([(n, *map(float, t.ravel())) for n, t in enumerate(corners)] + [(-1, *[None] * 9)], "fid int, " + ", ".join(f"{c} double" for c in names))
+    points = spark.createDataFrame([(n, *map(float, x)) for n, x in enumerate(p)] + [(-1, None, 0.0, 0.0)], "pid int, x double, y double, z double")
+    near = np.stack([mesh.point_triangle_distance(list(p.T), list(t.ravel())) for t in corners], axis=1)
+    want = {n: (int(d.argmin()), float(d.min())) for n, d in enumerate(near) if d.min() <= 0.5}
+    assert 100 < len(want) < 400
+    got = {}
+    for size in (20_000, 7):
+        monkeypatch.setattr(mesh, "SLICE", size)
+        got[size] = {r["pid"]: (r["fid"], r["distance"]) for r in mesh.closest_triangle(points, "pid", soup, 0.5).collect()}
+        assert got[size] == want
+    whole = mesh.closest_triangle(points.select(F.struct("pid").alias("pid"), "x", "y", "z"), "pid", soup.select(F.struct("fid").alias("fid"), *names), 0.5)
+    assert {r["pid"]["pid"]: (r["fid"]["fid"], r["distance"]) for r in whole.collect()} == want
+    d2 = points.crossJoin(soup).where("pid < 20 and pid >= 0 and fid >= 0").select("pid", "fid", mesh.point_triangle_distance2().alias("d"))
+    assert all(near[r["pid"], r["fid"]] == math.sqrt(r["d"]) for r in d2.collect())
+
+
+def test_closest_triangle_has_no_method_that_is_never_compiled(spark):
+    # HotSpot leaves methods above 8,000 bytes to its interpreter: most of the time at 0.1 of the tables went there.
+    names = [f"{c}{x}" for c in "abc" for x in "xyz"]
+    found = mesh.closest_triangle(spark.range(9).selectExpr("id", "id + 0.5D x", "0.5D y", "0.5D z"), "id", spark.range(9).selectExpr("id fid", *(f"id * 0.9D {c}" for c in names)), 1.5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(stages.apply(n)._3().maxMethodCodeSize()) for n in range(stages.size())]
+    assert sizes and max(sizes) < 8000
+
+
 def test_surface_is_closed_and_faces_outwards(spark):
     p = np.stack(np.meshgrid(*[np.arange(8) - 3.4] * 3, indexing="ij"))
     v = np.sqrt((p**2).sum(axis=0)) - 2.5
