@@ -231,6 +231,30 @@ def test_attention_is_fitted_on_all_training_documents(spark, monkeypatch):
     assert (n, m) == (size, 2 * size) and all(np.allclose(one[k], two[k], atol=1e-6) for k in one)
 
 
+def test_attention_learns_from_every_block_of_a_document(spark):
+    r = np.random.default_rng(4)
+    classes = r.integers(0, attention_lm.CLASSES, 49408).astype(np.int32)
+    bigram = np.log(r.dirichlet(np.ones(attention_lm.CLASSES), attention_lm.CLASSES + 1)).astype(np.float32)
+    ids, start = np.append(r.integers(0, 49000, 90), 49407), attention_lm.Weights.fresh()
+    row = spark.createDataFrame([(1, bytes(ids.astype("<u2").tobytes()))], "doc_id long, ids binary")
+    got, _ = attention_lm.train_on_all(row, classes, bigram, start, len(ids))
+    want = attention_lm.Weights({n: x.copy() for n, x in start.items()})
+    # Twelve blocks are one batch: its gradient holds the targets of all of them.
+    inputs, targets, _, depth = attention_lm.blocks_of([ids], 49408)
+    named = np.append(classes, attention_lm.CLASSES).astype(np.int32)
+    now, t = named[inputs], targets.reshape(-1)
+    p, held = attention_lm.forward(want, bigram, now, named[attention_lm.previous(inputs)], depth, keep=True)
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(t)), named[np.maximum(t, 0)]] -= 1
+    p[t < 0] = 0
+    g = attention_lm.backward(want, now, held, p / np.float32(len(ids)))
+    attention_lm.Adam(want).step(want, g, attention_lm.PASS_RATE)
+    # Which way each output weight goes, where the gradient is well above rounding.
+    sure = np.abs(g["u"]) > 1e-5
+    assert sure.mean() > 0.5 and np.allclose(got["u"][sure], want["u"][sure], atol=2e-4)
+
+
 def test_attention_reads_ids_and_not_classes_alone():
     r, k = np.random.default_rng(8), attention_lm.CLASSES
     classes = np.full(49408, 3, np.int32)
