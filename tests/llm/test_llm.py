@@ -1,12 +1,14 @@
 """The operators on small fixtures: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import collections
+import contextlib
 import hashlib
 import math
 import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +257,57 @@ def test_attention_learns_from_every_block_of_a_document(spark):
     assert sure.mean() > 0.5 and np.allclose(got["u"][sure], want["u"][sure], atol=2e-4)
 
 
+def test_stages_after_the_scan_give_back_what_it_took(spark):
+    """In a worker that Spark uses again: neither the scan's encoder nor freed blocks stay beside what the next stage holds."""
+
+    class Docs:
+        def mapInPandas(self, f, schema):
+            self.task = f
+            raise StopIteration
+
+    def held() -> float:
+        lines = open("/proc/self/smaps_rollup").read().splitlines()
+        return sum(int(x.split()[1]) for x in lines if x.startswith("Pss_Anon:")) / 1024
+
+    docs = Docs()
+    with contextlib.suppress(StopIteration):
+        attention_lm.company_counts(docs)
+
+    def work(batches):
+        for _ in batches:
+            encoder("word", WORD)
+            blocks = [bytes(2000) for _ in range(150_000)]
+            last = blocks.pop()  # the heap's end is in use, so free() alone returns nothing
+            del blocks
+            before = held()
+            list(docs.task([pd.DataFrame({"ids": [np.array([1, 49407], "<u2").tobytes()]})]))
+            yield pd.DataFrame({"kept": [encoder.cache_info().currsize], "given": [before - held()], "size": [len(last)]})
+
+    got = spark.range(1).coalesce(1).mapInPandas(work, "kept int, given double, size int").first()
+    assert got["kept"] == 0 and got["given"] > 200
+
+
+def test_gradients_by_distinct_ids_are_those_of_every_place():
+    r, k = np.random.default_rng(6), attention_lm.CLASSES
+    classes = r.integers(0, k, 49408).astype(np.int32)
+    bigram = np.log(r.dirichlet(np.ones(k), k + 1)).astype(np.float32)
+    vectors = r.standard_normal((49409, attention_lm.AXES + attention_lm.CODE)).astype(np.float32)
+    docs, w = [np.append(r.integers(0, 50, n), 49407) for n in (3, 200, 64, 0)], attention_lm.Weights.fresh()
+    inputs, targets, _, depth = attention_lm.blocks_of(docs, 49408)
+    past, named, t = attention_lm.previous(inputs), np.append(classes, k), targets.reshape(-1)
+    for own in (vectors, None):
+        (got,) = attention_lm.gradients(w, bigram, docs, classes, own, r)
+        at = None if own is None else own[np.concatenate([past, inputs], axis=1)]
+        p, held = attention_lm.forward(w, bigram, named[inputs], named[past], depth, keep=True, vectors=at)
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(t)), named[np.maximum(t, 0)]] -= 1
+        p[t < 0] = 0
+        want = attention_lm.backward(w, named[inputs], held, p / np.float32((t >= 0).sum()))
+        assert got.keys() == want.keys() == w.keys()
+        assert all(np.allclose(got[n], want[n], rtol=1e-3, atol=1e-5 * np.abs(want[n]).max()) for n in want)
+
+
 def test_attention_reads_ids_and_not_classes_alone():
     r, k = np.random.default_rng(8), attention_lm.CLASSES
     classes = np.full(49408, 3, np.int32)
